@@ -129,6 +129,12 @@ def fixed_band(c, edges: list[tuple], low=None) -> Column:
     return out
 
 
-def half_even(c, digits: int = 0) -> Column:
-    """Half-even rounding (Python / numpy ``round``)."""
-    return F.bround(_c(c), digits)
+def np_round(c, digits: int = 0) -> Column:
+    """Numpy / pandas ``round``: rint(x·10^d) / 10^d (half-even on the
+    scaled binary value — differs from exact-decimal ``bround`` on inputs
+    such as 16118.505)."""
+    m = float(10 ** digits)
+    return F.rint(_c(c) * m) / m if digits else F.rint(_c(c))
+
+
+half_even = np_round

@@ -34,11 +34,17 @@ def _with(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols) if cols else df
 
 
+def _staged(df: DataFrame, stage) -> DataFrame:
+    """Hand the row-local result to ``stage`` (e.g. write + re-read as
+    Parquet) before the global-statistics passes; identity when None."""
+    return stage(df) if stage is not None else df
+
+
 # --------------------------------------------------------------------------
 # clients
 # --------------------------------------------------------------------------
 
-def clean_clients(raw: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+def clean_clients(raw: DataFrame, order_cols: list[str] | None = None, stage=None) -> DataFrame:
     df = align.normalize_columns(raw)
     df = align.require_column(df, K.CLIENT_ID_ALIASES, "client_id")
     df = df.withColumn("client_id", T.normalize_id("client_id")).where(F.col("client_id").isNotNull())
@@ -78,7 +84,7 @@ def clean_clients(raw: DataFrame, order_cols: list[str] | None = None) -> DataFr
             step[c] = N.flag01(c)
     if "driving_behavior" in has:
         step["driving_behavior"] = T.canonical_driving("driving_behavior")
-    df = _with(df, step)
+    df = _staged(_with(df, step), stage)
 
     # pass 1: clip bounds
     clip_cols = [c for c in ["revenu_annuel", "score_credit", *K.CLIENT_RISK_COLS] if c in has]
@@ -115,7 +121,7 @@ def clean_clients(raw: DataFrame, order_cols: list[str] | None = None) -> DataFr
 # policies
 # --------------------------------------------------------------------------
 
-def clean_policies(raw: DataFrame) -> DataFrame:
+def clean_policies(raw: DataFrame, stage=None) -> DataFrame:
     df = align.normalize_columns(raw)
     df = align.require_column(df, K.CONTRACT_ID_ALIASES, "contract_id")
     df = align.require_column(df, K.CLIENT_ID_ALIASES, "client_id")
@@ -137,7 +143,7 @@ def clean_policies(raw: DataFrame) -> DataFrame:
     if "delai_souscription_sinistre_jours" in has:
         v = N.to_double("delai_souscription_sinistre_jours", _dtype(df, "delai_souscription_sinistre_jours"))
         step["delai_souscription_sinistre_jours"] = F.when(~(v < 0), v)
-    df = _with(df, step)
+    df = _staged(_with(df, step), stage)
 
     clip_cols = [c for c in ["prime_assurance_annuelle", "delai_souscription_sinistre_jours"] if c in has]
     df = stats.attach_quantiles(df, {c: (F.col(c), [K.CLIP_LOW, K.CLIP_HIGH]) for c in clip_cols})
@@ -156,7 +162,7 @@ def clean_policies(raw: DataFrame) -> DataFrame:
 # vehicles
 # --------------------------------------------------------------------------
 
-def clean_vehicles(raw: DataFrame, as_of: _dt.date = AS_OF_DATE) -> DataFrame:
+def clean_vehicles(raw: DataFrame, as_of: _dt.date = AS_OF_DATE, stage=None) -> DataFrame:
     df = align.normalize_columns(raw)
     df = align.require_column(df, K.VEHICLE_ID_ALIASES, "vehicle_id")
     df = align.require_column(df, K.CONTRACT_ID_ALIASES, "contract_id")
@@ -187,6 +193,7 @@ def clean_vehicles(raw: DataFrame, as_of: _dt.date = AS_OF_DATE) -> DataFrame:
                                                          0, K.VEHICLE_MAX_AGE))
     else:
         df = df.withColumn("vehicle_age", F.lit(None).cast("double"))
+    df = _staged(df, stage)
 
     clip_cols = [c for c in ["puissance_fiscale", "kilometrage_actuel", "valeur_vehicule"] if c in has]
     df = stats.attach_quantiles(df, {c: (F.col(c), [K.CLIP_LOW, K.CLIP_HIGH]) for c in clip_cols})
@@ -219,7 +226,7 @@ def clean_vehicles(raw: DataFrame, as_of: _dt.date = AS_OF_DATE) -> DataFrame:
 # claims
 # --------------------------------------------------------------------------
 
-def clean_claims(raw: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+def clean_claims(raw: DataFrame, order_cols: list[str] | None = None, stage=None) -> DataFrame:
     df = align.normalize_columns(raw)
     df = align.require_column(df, K.CLAIM_ID_ALIASES, "claim_id")
     df = align.require_column(df, K.CONTRACT_ID_ALIASES, "contract_id")
@@ -266,6 +273,7 @@ def clean_claims(raw: DataFrame, order_cols: list[str] | None = None) -> DataFra
         # null comparison counts as "not delayed" (ruling Q2)
         df = df.withColumn("is_delayed", F.coalesce(
             F.col("duree_traitement_jours") > F.col("sla_jours"), F.lit(False)).cast("int"))
+    df = _staged(df, stage)
 
     # pass 1: clip the money columns
     df = stats.attach_quantiles(df, {c: (F.col(c), [K.CLIP_LOW, K.CLIP_HIGH]) for c in money})

@@ -99,7 +99,7 @@ def _left_join_coalesced(left: DataFrame, right: DataFrame, key: str,
     return j.withColumns(fixes).drop(*[f"__r_{c}" for c in shared])
 
 
-def fact_claim(cl: CleanLayer) -> DataFrame:
+def fact_claim(cl: CleanLayer, stage=None) -> DataFrame:
     """Claims ⟕ policies ⟕ clients ⟕ vehicles, date_key, clipped loss ratio."""
     fact = cl.claims
     pol = align.whitelist(cl.policies, K.FACT_POLICY_COLS)
@@ -113,12 +113,13 @@ def fact_claim(cl: CleanLayer) -> DataFrame:
     if "montant_indemnisation_claim" in fact.columns and "prime_assurance_annuelle" in fact.columns:
         fact = fact.withColumn("loss_ratio", N.safe_ratio(F.col("montant_indemnisation_claim"),
                                                           F.col("prime_assurance_annuelle")))
+        fact = stage(fact) if stage is not None else fact
         fact = stats.attach_quantiles(fact, {"loss_ratio": (F.col("loss_ratio"), [K.CLIP_LOW, K.CLIP_HIGH])})
         fact = stats.drop_quantiles(fact.withColumn("loss_ratio", stats.clip(F.col("loss_ratio"), "loss_ratio")))
     return align.drop_present(fact, K.FACT_DROP_COLS)
 
 
-def ml_claim(cl: CleanLayer) -> DataFrame:
+def ml_claim(cl: CleanLayer, stage=None) -> DataFrame:
     """Feature join + ratios + date parts − leakage columns."""
     base = cl.claims
     if "statut_sinistre_claim" not in base.columns:
@@ -129,6 +130,7 @@ def ml_claim(cl: CleanLayer) -> DataFrame:
     if "prime_assurance_annuelle" in base.columns and "valeur_vehicule" in base.columns:
         base = base.withColumn("premium_to_value_ratio",
                                N.safe_ratio(F.col("prime_assurance_annuelle"), F.col("valeur_vehicule")))
+        base = stage(base) if stage is not None else base
         base = stats.attach_quantiles(base, {"ptv": (F.col("premium_to_value_ratio"), [K.CLIP_LOW, K.CLIP_HIGH])})
         base = stats.drop_quantiles(base.withColumn("premium_to_value_ratio",
                                                     stats.clip(F.col("premium_to_value_ratio"), "ptv")))
