@@ -1,3 +1,76 @@
 """Further registered queries (series / forecast, audit, sources & sinks)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalog import Ctx, query
+from .functions import dates as D
+from .functions import numeric as N
+from .operators import forecast as FC
+from .operators import series
+from .plans import forecast_run
+
+R = N.np_round
+
+
+# ==========================================================================
+# monthly series and forecast
+# ==========================================================================
+
+@query("h11_j8_j9_monthly_kpi_series")
+def q_series(spark, sf_dir):
+    h = forecast_run.monthly_history(Ctx(spark, sf_dir).ml)
+    return h.select(D.period_label("period").alias("period"),
+                    R(F.col("claim_volume"), 4).alias("claim_volume"),
+                    R(F.col("total_indemnisation"), 2).alias("total_indemnisation"),
+                    R(F.col("delay_rate"), 6).alias("delay_rate"),
+                    R(F.col("fraud_rate"), 6).alias("fraud_rate"),
+                    R(F.col("avg_claim_amount"), 2).alias("avg_claim_amount"))
+
+
+@query("h12_kpi_baselines")
+def q_baselines(spark, sf_dir):
+    h = forecast_run.monthly_history(Ctx(spark, sf_dir).ml)
+    b = series.baselines(series.to_long(h, series.KPI_NAMES))
+    return b.select("kpi", R(F.col("mean"), 4).alias("mean"), R(F.col("std"), 4).alias("std"),
+                    R(F.col("last_3m_avg"), 4).alias("last_3m_avg"),
+                    R(F.col("last_12m_avg"), 4).alias("last_12m_avg"), "n_months",
+                    D.period_label("last_period").alias("last_period"))
+
+
+@query("j10_trailing_volume_means")
+def q_trailing(spark, sf_dir):
+    h = forecast_run.monthly_history(Ctx(spark, sf_dir).ml)
+    h = series.trailing_mean(series.trailing_mean(h, "claim_volume", 3), "claim_volume", 12)
+    return h.select(D.period_label("period").alias("period"),
+                    R(F.col("claim_volume_trailing_3m"), 4).alias("trailing_3m"),
+                    R(F.col("claim_volume_trailing_12m"), 4).alias("trailing_12m"))
+
+
+@query("k1_k2_k3_adjusted_point_forecasts")
+def q_adjusted(spark, sf_dir):
+    r = forecast_run.run(Ctx(spark, sf_dir).ml)
+    return r.adjusted.select("kpi", D.period_label("period").alias("period"), R(F.col("value"), 6).alias("value"))
+
+
+@query("k5_k6_k7_forecast_monthly_kpis")
+def q_monthly(spark, sf_dir):
+    m = forecast_run.run(Ctx(spark, sf_dir).ml).monthly
+    return m.drop("period", "alerts", "recommendations")
+
+
+@query("k8_k9_forecast_alerts")
+def q_alerts(spark, sf_dir):
+    return FC.explode_alerts(forecast_run.run(Ctx(spark, sf_dir).ml).monthly)
+
+
+@query("k10_k12_forecast_monthly_flat")
+def q_flat(spark, sf_dir):
+    m = forecast_run.run(Ctx(spark, sf_dir).ml).monthly
+    return FC.flatten_month(m).drop("period")
+
+
+@query("h13_k11_forecast_summary")
+def q_fsummary(spark, sf_dir):
+    return FC.portfolio_summary(forecast_run.run(Ctx(spark, sf_dir).ml).monthly)

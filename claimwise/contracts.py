@@ -339,3 +339,28 @@ UPLOAD_CONTRACTS = {
         "Duree_Traitement_Heures", "SLA_Jours", "Is_Delayed",
     ],
 }
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — forecast alert / recommendation / insight message templates
+# (Java format_string syntax; the sentences are the published wording)
+# ---------------------------------------------------------------------------
+MSG_VOLUME_SURGE = ("Claim surge expected in %s (+%.0f%% vs recent avg). "
+                    "Recommend %d additional agent(s) above baseline.")
+MSG_DELAY_CRITICAL = ("Critical delay rate forecast: %.0f%% in %s. "
+                      "Immediate SLA process review and fast-track queue activation required.")
+MSG_DELAY_HIGH = ("High delay rate forecast: %.0f%% in %s. "
+                  "Intensify SLA monitoring and assign senior handlers to flagged cases.")
+MSG_FRAUD = "Elevated fraud rate forecast: %.1f%% (%.0f cases) in %s. Deploy %d fraud investigator(s)."
+MSG_BUDGET = "Indemnisation costs forecast +%.0f%% above recent average in %s. Review reserve allocation."
+REC_SAVINGS = "Early intervention this month could prevent up to %dK TND in losses."
+REC_DELAYS = "Pre-assign %d high-risk claims to fast-track handlers."
+REC_FRAUD = "Flag %d suspected fraud dossiers for proactive investigation."
+REC_WORKLOAD = "Agent workload at %.0f%% capacity – consider temporary staffing."
+REC_BACKLOG = "Claims activity lower than average – opportunity to accelerate pending backlog."
+INS_SURGE = "Volume surges forecast in %s – proactive staffing strongly recommended."
+INS_HIGH_RISK = "High-risk periods: %s. Escalate monitoring and resource allocation."
+INS_DELAY = "Sustained delay rate of %.0f%% requires structural process optimisation across the horizon."
+INS_FRAUD = "Elevated fraud index (%.1f%%) warrants enhanced investigation protocols."
+INS_SAVINGS = "Proactive interventions could prevent up to %dK TND in losses over 6 months – ROI positive."
+INS_STABLE = ("Operations appear stable over the forecast horizon. Maintain current protocols and leverage "
+              "quiet periods for staff training.")

@@ -78,8 +78,13 @@ class Materializer:
 
 
 def layer_root(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """``root`` argument, else session conf ``claimwise.layers.root`` (+ the
+    input fingerprint), else ``<spark.checkpoint.dir>/claimwise/layers/<fp>``."""
     if root:
         return root
+    conf_root = spark.conf.get("claimwise.layers.root", None)
+    if conf_root:
+        return f"{conf_root.rstrip('/')}/{input_fingerprint(sf_dir)}"
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/claimwise/layers/{input_fingerprint(sf_dir)}"
 

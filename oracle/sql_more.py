@@ -2,6 +2,194 @@
 
 from __future__ import annotations
 
-from .sql import S  # noqa: F401
+from claimwise import contracts as K
 
-EXTRA_CTES: dict[str, str] = {}
+from .sql import S
+
+ACTIVE = "('Ouvert', 'En_cours', 'En_cours_d_expertise')"
+KPIS = ["claim_volume", "total_indemnisation", "delay_rate", "fraud_rate", "avg_claim_amount"]
+
+
+def _f(x: float) -> str:
+    """A Python float as an exact DOUBLE literal."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _interp(c: str) -> str:
+    pv = f"last_value({c} IGNORE NULLS) OVER wb"
+    pi = f"last_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) OVER wb"
+    nv = f"first_value({c} IGNORE NULLS) OVER wf"
+    ni = f"first_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) OVER wf"
+    return (f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN ({pv}) IS NOT NULL AND ({nv}) IS NOT NULL "
+            f"THEN ({pv}) + (({nv}) - ({pv})) * (idx - ({pi})) / (({ni}) - ({pi})) "
+            f"WHEN ({pv}) IS NOT NULL THEN ({pv}) END AS {c}")
+
+
+_SEAS = ", ".join(f"('{k}', {m}, {_f(float(v))})" for k, tab in (("claim_volume", K.SEASONAL_VOLUME),
+                                                                 ("delay_rate", K.SEASONAL_DELAY),
+                                                                 ("fraud_rate", K.SEASONAL_FRAUD))
+                  for m, v in tab.items())
+_CLAMP = ", ".join(f"('{k}', {_f(lo)}, {_f(hi)}, {'true' if k in ('delay_rate', 'fraud_rate') else 'false'})"
+                   for k, (lo, hi) in K.FORECAST_CLAMPS.items())
+_NOTES = " ".join(f"WHEN {m} THEN '{t}'" for m, t in K.SEASONAL_NOTE.items())
+
+EXTRA_CTES: dict[str, str] = {
+    "ms": f"""SELECT CAST(date_trunc('month', date_sinistre_claim) AS DATE) AS period,
+  CAST(count(claim_id) AS DOUBLE) AS claim_volume, COALESCE(sum(montant_indemnisation_claim), 0.0) AS total_indemnisation,
+  avg(CAST(is_delayed AS DOUBLE)) AS delay_rate, avg(CAST(est_frauduleux_claim AS DOUBLE)) AS fraud_rate,
+  avg(montant_indemnisation_claim) AS avg_claim_amount
+FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN {ACTIVE}, false) AND date_sinistre_claim IS NOT NULL
+GROUP BY 1 HAVING CAST(date_trunc('month', date_sinistre_claim) AS DATE) < DATE '2026-04-01'""",
+    "mgrid": """SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM ms""",
+    "mg": """SELECT g.period, m.claim_volume, m.total_indemnisation, m.delay_rate, m.fraud_rate, m.avg_claim_amount,
+  datediff('month', (SELECT min(period) FROM ms), g.period) AS idx FROM mgrid g LEFT JOIN ms m ON g.period = m.period""",
+    "hist": "SELECT period, " + ", ".join(_interp(c) for c in KPIS) + """ FROM mg
+WINDOW wb AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       wf AS (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    "lng": " UNION ALL ".join(f"SELECT '{c}' AS kpi, period, {c} AS value FROM hist" for c in KPIS),
+    "bl": """SELECT kpi, avg(value) AS mean, stddev_samp(value) AS std, avg(value) FILTER (WHERE rn <= 3) AS last_3m_avg,
+  CASE WHEN count(*) >= 12 THEN avg(value) FILTER (WHERE rn <= 12) ELSE avg(value) END AS last_12m_avg,
+  count(*) AS n_months, max(period) AS last_period
+FROM (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY period DESC) AS rn FROM lng) r GROUP BY kpi""",
+    "anc": f"""SELECT greatest(CAST(date_trunc('month', (SELECT max(period) FROM hist)) AS DATE),
+  CAST(date_trunc('month', CAST((SELECT max(date_sinistre_claim) FROM ml_claim WHERE statut_sinistre_claim IN {ACTIVE}) AS DATE)) AS DATE)) AS anchor""",
+    "fgrid": f"SELECT CAST(anchor + INTERVAL (i) MONTH AS DATE) AS period FROM anc, range(1, {K.FORECAST_HORIZON + 1}) t(i)",
+    "lastv": """SELECT kpi, month(period) AS mn, arg_max(value, period) AS value FROM lng WHERE value IS NOT NULL
+GROUP BY kpi, month(period)""",
+    "pf": "SELECT l.kpi, g.period, l.value FROM fgrid g JOIN lastv l ON month(g.period) = l.mn",
+    "f1": "SELECT pf.kpi, pf.period, greatest(pf.value, 0.0) AS value, bl.last_12m_avg AS h12 FROM pf LEFT JOIN bl ON pf.kpi = bl.kpi",
+    "f2": f"""SELECT kpi, period, h12, CASE WHEN kpi = 'claim_volume' AND h12 > 0
+  AND avg(value) OVER (PARTITION BY kpi) > {_f(K.VOLUME_ANCHOR_FACTOR)} * h12
+  THEN value * ({_f(K.VOLUME_SCALE_TARGET)} * h12) / avg(value) OVER (PARTITION BY kpi) ELSE value END AS value FROM f1""",
+    "seas": f"SELECT * FROM (VALUES {_SEAS}) s(kpi, mn, factor)",
+    "f3": """SELECT f2.kpi, f2.period, f2.h12, CASE WHEN s.factor IS NOT NULL
+  THEN f2.value * (s.factor / avg(s.factor) OVER (PARTITION BY f2.kpi)) ELSE f2.value END AS value
+FROM f2 LEFT JOIN seas s ON s.kpi = f2.kpi AND s.mn = month(f2.period)""",
+    "clampt": f"SELECT * FROM (VALUES {_CLAMP}) c(kpi, lo, hi, always)",
+    "f4": """SELECT f3.kpi, f3.period, CASE WHEN c.lo IS NOT NULL AND (c.always OR f3.h12 > 0) AND f3.h12 IS NOT NULL
+  THEN least(greatest(f3.value, f3.h12 * c.lo), f3.h12 * c.hi) ELSE f3.value END AS value
+FROM f3 LEFT JOIN clampt c ON f3.kpi = c.kpi""",
+    "adj": """SELECT kpi, period, CASE WHEN kpi IN ('delay_rate', 'fraud_rate') THEN least(greatest(value, 0.0), 1.0)
+  ELSE greatest(value, 0.0) END AS value FROM f4""",
+    "fw": "SELECT period, " + ", ".join(f"max(value) FILTER (WHERE kpi = '{k}') AS {k}" for k in KPIS) + " FROM adj GROUP BY period",
+    "blr": """SELECT max(last_12m_avg) FILTER (WHERE kpi = 'claim_volume') AS hist12_claim_volume,
+  max(last_12m_avg) FILTER (WHERE kpi = 'total_indemnisation') AS hist12_total_indemnisation,
+  max(last_3m_avg) FILTER (WHERE kpi = 'claim_volume') AS last3_claim_volume FROM bl""",
+    "k1": f"""SELECT period, vol, hist12_claim_volume, hist12_total_indemnisation, last3_claim_volume,
+  greatest(COALESCE(total_indemnisation, vol * 800.0), 0.0) AS cost,
+  least(greatest(COALESCE(delay_rate, {_f(K.BASELINE_DELAY_RATE)}), 0.0), 1.0) AS dr,
+  least(greatest(COALESCE(fraud_rate, {_f(K.BASELINE_FRAUD_RATE)}), 0.0), 1.0) AS fr, avg_claim_amount,
+  CAST(least(greatest(round_even({_f(float(K.BASELINE_AGENTS))} * (vol / greatest(COALESCE(hist12_claim_volume, 100.0), 1.0)), 0),
+    {_f(float(max(1, K.BASELINE_AGENTS - 7)))}), {_f(float(K.BASELINE_AGENTS + 10))}) AS INTEGER) AS agents
+FROM (SELECT fw.*, greatest(COALESCE(claim_volume, 100.0), 0.0) AS vol FROM fw) w, blr""",
+    "k2": """SELECT *, greatest(COALESCE(avg_claim_amount, cost / greatest(vol, 1.0)), 0.0) AS av,
+  vol * dr AS delays, vol * fr AS cases FROM k1""",
+    "k3": f"""SELECT *, cases * av AS exposure, agents * {_f(K.AGENT_MONTHLY_SALARY)} AS staffing,
+  delays * {_f(K.DELAY_COST_PER_CLAIM)} AS delay_cost, cases * {_f(K.INVESTIGATION_COST_PER_CLAIM)} AS inv_cost FROM k2""",
+    "k4": f"""SELECT *, delay_cost * {_f(K.EARLY_INTERVENTION_EFFICIENCY)} AS preventable,
+  greatest(0.0, cases * av * {_f(K.FRAUD_RECOVERY_RATE)} - inv_cost) AS net_fraud FROM k3""",
+    "k5": f"""SELECT *, preventable + net_fraud AS net,
+  (cost - COALESCE(hist12_total_indemnisation, cost)) / greatest(COALESCE(hist12_total_indemnisation, cost), 1.0) * 100.0 AS budget,
+  vol / greatest(agents * {K.AGENT_MONTHLY_CAPACITY}, 1) AS workload,
+  (vol - COALESCE(last3_claim_volume, vol)) / greatest(COALESCE(last3_claim_volume, vol), 1.0) * 100.0 AS surge FROM k4""",
+    "km": f"""SELECT *, net / greatest(inv_cost + agents * {_f(K.AGENT_INTERVENTION_COST)}, 1.0) * 100.0 AS roi,
+  CASE WHEN dr >= {_f(K.DELAY_RATE_CRITICAL)} OR fr >= {_f(K.FRAUD_RATE_WARNING * 2)} THEN 'CRITICAL'
+       WHEN dr >= {_f(K.DELAY_RATE_WARNING)} OR fr >= {_f(K.FRAUD_RATE_WARNING)} THEN 'HIGH'
+       WHEN dr >= {_f(K.DELAY_RATE_WARNING * 0.65)} THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  surge > {_f(K.VOLUME_SURGE_THRESHOLD * 100)} AS is_surge_month, strftime(period, '%B %Y') AS month,
+  strftime(period, '%Y-%m') AS period_label FROM k5""",
+}
+
+S["h11_j8_j9_monthly_kpi_series"] = """SELECT strftime(period, '%Y-%m') AS period, round_even(claim_volume, 4) AS claim_volume,
+  round_even(total_indemnisation, 2) AS total_indemnisation, round_even(delay_rate, 6) AS delay_rate,
+  round_even(fraud_rate, 6) AS fraud_rate, round_even(avg_claim_amount, 2) AS avg_claim_amount FROM hist"""
+S["h12_kpi_baselines"] = """SELECT kpi, round_even(mean, 4) AS mean, round_even(std, 4) AS std,
+  round_even(last_3m_avg, 4) AS last_3m_avg, round_even(last_12m_avg, 4) AS last_12m_avg, n_months,
+  strftime(last_period, '%Y-%m') AS last_period FROM bl"""
+S["j10_trailing_volume_means"] = """SELECT strftime(period, '%Y-%m') AS period,
+  round_even(avg(claim_volume) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS trailing_3m,
+  round_even(avg(claim_volume) OVER (ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 4) AS trailing_12m FROM hist"""
+S["k1_k2_k3_adjusted_point_forecasts"] = "SELECT kpi, strftime(period, '%Y-%m') AS period, round_even(value, 6) AS value FROM adj"
+
+_B15 = _f(K.BUDGET_OVERSHOOT_PCT * 100)
+_ALERT_COUNT = (f"(CAST(is_surge_month AS INTEGER) + CAST(dr >= {_f(K.DELAY_RATE_WARNING)} AS INTEGER) "
+                f"+ CAST(fr >= {_f(K.FRAUD_RATE_WARNING)} AS INTEGER) + CAST(budget > {_B15} AS INTEGER))")
+_MONTH_COLS = f"""period_label, month, CAST(year(period) AS INTEGER) AS year, CAST(month(period) AS INTEGER) AS month_number,
+  COALESCE(CASE month(period) {_NOTES} END, '') AS seasonal_context,
+  round_even(vol, 1) AS forecast_claim_volume, round_even(cost, 2) AS forecast_total_indemnisation_tnd,
+  round_even(dr * 100, 1) AS forecast_delay_rate_pct, round_even(fr * 100, 2) AS forecast_fraud_rate_pct,
+  round_even(av, 2) AS forecast_avg_claim_amount_tnd, round_even(delays, 1) AS kpi_expected_delayed_claims,
+  round_even(cases, 1) AS kpi_expected_fraud_cases, round_even(exposure, 2) AS kpi_expected_fraud_exposure_tnd,
+  agents AS kpi_recommended_agents, round_even(staffing, 2) AS kpi_staffing_cost_tnd,
+  round_even(delay_cost, 2) AS kpi_total_delay_cost_tnd, round_even(preventable, 2) AS kpi_preventable_delay_cost_tnd,
+  round_even(net_fraud, 2) AS kpi_net_fraud_savings_tnd, round_even(net, 2) AS kpi_net_savings_potential_tnd,
+  round_even(roi, 1) AS kpi_intervention_roi_pct, round_even(budget, 1) AS kpi_budget_variance_pct,
+  round_even(workload, 3) AS kpi_workload_index, risk_level, round_even(surge, 1) AS volume_surge_pct,
+  is_surge_month, {_ALERT_COUNT} AS alert_count"""
+S["k5_k6_k7_forecast_monthly_kpis"] = f"SELECT {_MONTH_COLS} FROM km"
+
+
+def _pf(tmpl: str) -> str:
+    return "'" + tmpl.replace("'", "''") + "'"
+
+
+_MSG_SURGE = f"printf({_pf(K.MSG_VOLUME_SURGE)}, month, surge, greatest(0, agents - {K.BASELINE_AGENTS}))"
+_MSG_DELAY = (f"CASE WHEN dr >= {_f(K.DELAY_RATE_CRITICAL)} THEN printf({_pf(K.MSG_DELAY_CRITICAL)}, dr * 100, month) "
+              f"ELSE printf({_pf(K.MSG_DELAY_HIGH)}, dr * 100, month) END")
+_MSG_FRAUD = f"printf({_pf(K.MSG_FRAUD)}, fr * 100, cases, month, CAST(greatest(1, ceil(cases / 5)) AS INTEGER))"
+_MSG_BUDGET = f"printf({_pf(K.MSG_BUDGET)}, budget, month)"
+S["k8_k9_forecast_alerts"] = f"""
+SELECT period_label, month, risk_level, is_surge_month, 'HIGH' AS alert_level, 'VOLUME_SURGE' AS alert_type,
+  {_MSG_SURGE} AS alert_message FROM km WHERE is_surge_month
+UNION ALL SELECT period_label, month, risk_level, is_surge_month,
+  CASE WHEN dr >= {_f(K.DELAY_RATE_CRITICAL)} THEN 'CRITICAL' ELSE 'HIGH' END, 'DELAY_RISK', {_MSG_DELAY}
+  FROM km WHERE dr >= {_f(K.DELAY_RATE_WARNING)}
+UNION ALL SELECT period_label, month, risk_level, is_surge_month, 'HIGH', 'FRAUD_RISK', {_MSG_FRAUD}
+  FROM km WHERE fr >= {_f(K.FRAUD_RATE_WARNING)}
+UNION ALL SELECT period_label, month, risk_level, is_surge_month, 'MEDIUM', 'BUDGET_ALERT', {_MSG_BUDGET}
+  FROM km WHERE budget > {_B15}"""
+
+_ALERT_LIST = (f"list_filter([CASE WHEN is_surge_month THEN {_MSG_SURGE} END, "
+               f"CASE WHEN dr >= {_f(K.DELAY_RATE_WARNING)} THEN {_MSG_DELAY} END, "
+               f"CASE WHEN fr >= {_f(K.FRAUD_RATE_WARNING)} THEN {_MSG_FRAUD} END, "
+               f"CASE WHEN budget > {_B15} THEN {_MSG_BUDGET} END], lambda x: x IS NOT NULL)")
+_REC_LIST = (f"list_filter([CASE WHEN net > 5000 THEN printf({_pf(K.REC_SAVINGS)}, CAST(trunc(net / 1000) AS BIGINT)) END, "
+             f"CASE WHEN delays > 10 THEN printf({_pf(K.REC_DELAYS)}, CAST(trunc(delays) AS BIGINT)) END, "
+             f"CASE WHEN cases > 3 THEN printf({_pf(K.REC_FRAUD)}, CAST(ceil(cases) AS BIGINT)) END, "
+             f"CASE WHEN workload > 0.85 THEN printf({_pf(K.REC_WORKLOAD)}, workload * 100) END, "
+             f"CASE WHEN budget < -10 THEN {_pf(K.REC_BACKLOG)} END], lambda x: x IS NOT NULL)")
+S["k10_k12_forecast_monthly_flat"] = f"""SELECT {_MONTH_COLS},
+  substring(array_to_string({_ALERT_LIST}, ' | '), 1, 255) AS alert_messages,
+  array_to_string({_REC_LIST}, ' | ') AS recommendations_text FROM km"""
+
+_KM_R = f"SELECT *, {_ALERT_COUNT} AS alert_count, round_even(vol, 1) AS rv, round_even(cost, 2) AS rc, " \
+        "round_even(dr * 100, 1) AS rd, round_even(fr * 100, 2) AS rf, round_even(delays, 1) AS rdl, " \
+        "round_even(exposure, 2) AS rex, round_even(net, 2) AS rn FROM km"
+S["h13_k11_forecast_summary"] = f"""
+SELECT horizon_months, first_p || ' → ' || last_p AS total_forecast_period, round_even(v, 0) AS total_expected_claims,
+  round_even(c, 2) AS total_expected_cost_tnd, round_even(d, 1) AS avg_monthly_delay_rate_pct,
+  round_even(f, 2) AS avg_monthly_fraud_rate_pct, round_even(dl, 0) AS total_expected_delays,
+  round_even(ex, 2) AS total_fraud_exposure_tnd, round_even(sv, 2) AS total_net_savings_potential_tnd,
+  round_even(ag, 1) AS avg_agents_needed_per_month, pv_m AS peak_volume_month, round_even(pv_v, 0) AS peak_volume_claims,
+  pd_m AS peak_delay_month, round_even(pd_v, 1) AS peak_delay_rate_pct, pc_m AS peak_cost_month,
+  round_even(pc_v, 2) AS peak_cost_tnd, COALESCE(array_to_string(hr, ' | '), '') AS high_risk_months,
+  COALESCE(array_to_string(sg, ' | '), '') AS surge_expected_months, total_alerts, critical_alerts, high_alerts,
+  COALESCE(NULLIF(concat_ws('  ',
+    CASE WHEN len(sg) > 0 THEN printf({_pf(K.INS_SURGE)}, array_to_string(sg, ', ')) END,
+    CASE WHEN len(hr) > 0 THEN printf({_pf(K.INS_HIGH_RISK)}, array_to_string(hr, ', ')) END,
+    CASE WHEN d > {_f(K.DELAY_RATE_WARNING * 100)} THEN printf({_pf(K.INS_DELAY)}, d) END,
+    CASE WHEN f > {_f(K.FRAUD_RATE_WARNING * 100)} THEN printf({_pf(K.INS_FRAUD)}, f) END,
+    CASE WHEN sv > 30000 THEN printf({_pf(K.INS_SAVINGS)}, CAST(trunc(sv / 1000) AS BIGINT)) END), ''),
+    {_pf(K.INS_STABLE)}) AS strategic_insight
+FROM (SELECT count(*) AS horizon_months, min(period_label) AS first_p, max(period_label) AS last_p,
+  sum(rv) AS v, sum(rc) AS c, avg(rd) AS d, avg(rf) AS f, sum(rdl) AS dl, sum(rex) AS ex, sum(rn) AS sv,
+  avg(agents) AS ag,
+  (list(month ORDER BY rv DESC, period))[1] AS pv_m, max(rv) AS pv_v,
+  (list(month ORDER BY rd DESC, period))[1] AS pd_m, max(rd) AS pd_v,
+  (list(month ORDER BY rc DESC, period))[1] AS pc_m, max(rc) AS pc_v,
+  COALESCE(list(month ORDER BY period) FILTER (WHERE risk_level IN ('CRITICAL', 'HIGH')), []) AS hr,
+  COALESCE(list(month ORDER BY period) FILTER (WHERE is_surge_month), []) AS sg,
+  CAST(sum(alert_count) AS INTEGER) AS total_alerts,
+  CAST(count_if(dr >= {_f(K.DELAY_RATE_CRITICAL)}) AS INTEGER) AS critical_alerts,
+  CAST(sum(alert_count) - count_if(dr >= {_f(K.DELAY_RATE_CRITICAL)}) - count_if(budget > {_B15}) AS INTEGER) AS high_alerts
+FROM ({_KM_R}) x) s"""
