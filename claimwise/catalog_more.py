@@ -74,3 +74,106 @@ def q_flat(spark, sf_dir):
 @query("h13_k11_forecast_summary")
 def q_fsummary(spark, sf_dir):
     return FC.portfolio_summary(forecast_run.run(Ctx(spark, sf_dir).ml).monthly)
+
+
+# ==========================================================================
+# login audit
+# ==========================================================================
+
+from .operators import audit as AU  # noqa: E402
+from .sources import bindings as BND  # noqa: E402
+from .sources.tables import Tables as _T  # noqa: E402
+
+
+def _audit_inputs(spark, sf_dir):
+    t = _T(spark, sf_dir)
+    return BND.audit_events(t), BND.users(t)
+
+
+def _scan(spark, sf_dir):
+    ev, us = _audit_inputs(spark, sf_dir)
+    res = AU.resolve_users(ev, us)
+    return AU.segmented_login_scan(res.where(F.col("known_user_id").isNotNull()))
+
+
+def _log(spark, sf_dir):
+    ev, us = _audit_inputs(spark, sf_dir)
+    return AU.audit_log(ev, us)
+
+
+@query("j12_g12_consecutive_failures")
+def q_consec(spark, sf_dir):
+    f = AU.consecutive_failures(_scan(spark, sf_dir))
+    return f.select("event_id", F.col("known_user_id").alias("user_id"), "login_attempted", "created_at",
+                    "consecutive_failures", "severity", "message", F.col("prev_success_at").alias("last_success_at"))
+
+
+@query("j13_lockout_alerts")
+def q_lock(spark, sf_dir):
+    return AU.lockouts(AU.consecutive_failures(_scan(spark, sf_dir)))
+
+
+@query("j14_ip_changes")
+def q_ipc(spark, sf_dir):
+    return AU.ip_changes(_scan(spark, sf_dir))
+
+
+@query("j15_unknown_logins")
+def q_unknown(spark, sf_dir):
+    ev, us = _audit_inputs(spark, sf_dir)
+    return AU.unknown_logins(AU.resolve_users(ev, us))
+
+
+@query("j12_audit_log_replay")
+def q_log(spark, sf_dir):
+    return _log(spark, sf_dir)
+
+
+@query("h18_audit_counters")
+def q_audit_counters(spark, sf_dir):
+    return AU.audit_counters(_log(spark, sf_dir))
+
+
+@query("b12_j7_audit_filter_tail")
+def q_audit_tail(spark, sf_dir):
+    return AU.log_tail(AU.filter_log(_log(spark, sf_dir), "ERROR", "LOGIN_FAILED")).select(
+        "event_id", "seq", "created_at", "user_id", "severity", "message", "consecutive_failures")
+
+
+@query("j16_resolve_locked_accounts")
+def q_resolve(spark, sf_dir):
+    """Every locked account is reset at its first lock: all of that user's
+    unresolved LOGIN_FAILED / ACCOUNT_LOCKED rows are resolved."""
+    log = _log(spark, sf_dir)
+    locked = log.where(F.col("event_type") == "ACCOUNT_LOCKED").groupBy("user_id").agg(
+        F.min("created_at").alias("resolved_at")).withColumn("resolved_by", F.lit("admin"))
+    out = AU.resolve_alerts(log, locked)
+    return out.groupBy("event_type", "severity", "is_resolved").agg(
+        F.count(F.lit(1)).alias("n"), F.count("resolved_at").alias("n_with_resolution_time"))
+
+
+@query("g9_audit_log_with_user_role")
+def q_log_user(spark, sf_dir):
+    ev, us = _audit_inputs(spark, sf_dir)
+    log = AU.audit_log(ev, us)
+    u = AU.user_permissions(us).select(F.col("user_id").alias("_uid"), "login", "role_name")
+    return log.join(u, log.user_id == u._uid, "left").drop("_uid").select(
+        "event_id", "seq", "event_type", "severity", "user_id", "login", "role_name")
+
+
+@query("g10_user_permissions")
+def q_perms(spark, sf_dir):
+    _, us = _audit_inputs(spark, sf_dir)
+    return AU.user_permissions(us)
+
+
+@query("g11_login_conflicts")
+def q_conflicts(spark, sf_dir):
+    _, us = _audit_inputs(spark, sf_dir)
+    return AU.login_conflicts(us)
+
+
+@query("h19_user_counters")
+def q_user_counts(spark, sf_dir):
+    _, us = _audit_inputs(spark, sf_dir)
+    return AU.user_counters(us)

@@ -364,3 +364,47 @@ INS_FRAUD = "Elevated fraud index (%.1f%%) warrants enhanced investigation proto
 INS_SAVINGS = "Proactive interventions could prevent up to %dK TND in losses over 6 months – ROI positive."
 INS_STABLE = ("Operations appear stable over the forecast horizon. Maintain current protocols and leverage "
               "quiet periods for staff training.")
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — login audit messages (Java format_string syntax)
+# ---------------------------------------------------------------------------
+AUDIT_MAX_LOOKBACK = 10          # most recent failures inspected
+AUDIT_ERROR_AT = 3               # consecutive failures that make an ERROR
+AUDIT_LOCK_AT = 3                # exactly this run length emits ACCOUNT_LOCKED
+MSG_UNKNOWN_LOGIN = "Login attempt with unknown user '%s'"
+MSG_BRUTE_FORCE = "User '%s' failed login %d times in a row — possible brute force"
+MSG_FAILED_PASSWORD = "Failed password attempt for user '%s'"
+MSG_LOCKED = "Account '%s' flagged: %d consecutive failed login attempts. Password reset recommended."
+MSG_IP_CHANGE = "User '%s' logged in from new IP %s (previous: %s)"
+MSG_LOGIN_OK = "User '%s' logged in successfully"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — role / permission seed rows
+# ---------------------------------------------------------------------------
+ROLES = [
+    (1, "Manager", "Full access to all features, data upload, and reporting"),
+    (2, "Business Analyst", "Read-only access to dashboards and reports"),
+    (3, "Admin", "User and account management, platform administration"),
+]
+PERMISSIONS = [
+    (1, "View Dashboard", "Dashboard", "View"),
+    (2, "Generate Reports", "Dashboard", "Report"),
+    (3, "View Delay Predictions", "DelayPredictions", "View"),
+    (4, "Modify Delay Settings", "DelayPredictions", "Modify"),
+    (5, "View Cost Predictions", "CostPredictions", "View"),
+    (6, "Modify Cost Settings", "CostPredictions", "Modify"),
+    (7, "View Fraud Predictions", "FraudPredictions", "View"),
+    (8, "Modify Fraud Settings", "FraudPredictions", "Modify"),
+    (9, "Investigate Fraud", "FraudPredictions", "Investigate"),
+    (10, "View Forecast", "Forecast", "View"),
+    (11, "Modify Forecast", "Forecast", "Modify"),
+    (12, "Manage Users", "Admin", "ManageUsers"),
+    (13, "View Audit Logs", "Admin", "ViewLogs"),
+    (14, "Upload Data", "DataUpload", "Upload"),
+]
+ROLE_PERMISSIONS = [  # (role_permission_id, role_id, permission_id)
+    (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 7), (8, 1, 8),
+    (9, 1, 9), (10, 1, 10), (11, 1, 11), (12, 1, 14),
+    (13, 2, 1), (14, 2, 2), (15, 2, 3), (16, 2, 5), (17, 2, 7), (18, 2, 10),
+    (19, 3, 12), (20, 3, 13),
+]

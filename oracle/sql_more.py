@@ -193,3 +193,87 @@ FROM (SELECT count(*) AS horizon_months, min(period_label) AS first_p, max(perio
   CAST(count_if(dr >= {_f(K.DELAY_RATE_CRITICAL)}) AS INTEGER) AS critical_alerts,
   CAST(sum(alert_count) - count_if(dr >= {_f(K.DELAY_RATE_CRITICAL)}) - count_if(budget > {_B15}) AS INTEGER) AS high_alerts
 FROM ({_KM_R}) x) s"""
+
+# ---------------------------------------------------------------------------
+# login audit: plain per-user windows over the whole history
+# ---------------------------------------------------------------------------
+
+_W_USER = "PARTITION BY known_user_id ORDER BY created_at, event_id"
+EXTRA_CTES.update({
+    "ak": """SELECT e.*, u.user_id AS known_user_id FROM audit_events e
+LEFT JOIN (SELECT * FROM users WHERE is_active) u ON e.login_attempted = u.login""",
+    "ks": f"""SELECT *, sum(CASE WHEN event_type = 'LOGIN_SUCCESS' THEN 1 ELSE 0 END)
+  OVER ({_W_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp,
+  last_value(CASE WHEN event_type = 'LOGIN_SUCCESS' THEN ip_address END IGNORE NULLS)
+  OVER ({_W_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_success_ip,
+  last_value(CASE WHEN event_type = 'LOGIN_SUCCESS' THEN created_at END IGNORE NULLS)
+  OVER ({_W_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_success_at
+FROM ak WHERE known_user_id IS NOT NULL""",
+    "kf": """SELECT *, CAST(least(COALESCE(sum(CASE WHEN event_type = 'LOGIN_FAILED' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY known_user_id, grp ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0),
+  10) + 1 AS INTEGER) AS consecutive_failures
+FROM ks WHERE event_type = 'LOGIN_FAILED'""",
+    "kfm": """SELECT *, CASE WHEN consecutive_failures >= 3 THEN 'ERROR' ELSE 'WARNING' END AS severity,
+  CASE WHEN consecutive_failures >= 3
+    THEN printf('User ''%s'' failed login %d times in a row — possible brute force', login_attempted, consecutive_failures)
+    ELSE printf('Failed password attempt for user ''%s''', login_attempted) END AS message FROM kf""",
+    "alog0": """
+SELECT event_id, 0 AS seq, created_at, CAST(NULL AS BIGINT) AS user_id, login_attempted, 'LOGIN_FAILED' AS event_type,
+  ip_address, CAST(NULL AS VARCHAR) AS previous_ip, 'WARNING' AS severity,
+  printf('Login attempt with unknown user ''%s''', login_attempted) AS message, 1 AS consecutive_failures
+FROM ak WHERE known_user_id IS NULL
+UNION ALL SELECT event_id, 0, created_at, known_user_id, login_attempted, event_type, ip_address, NULL, severity, message,
+  consecutive_failures FROM kfm
+UNION ALL SELECT event_id, 1, created_at, known_user_id, login_attempted, 'ACCOUNT_LOCKED', ip_address, NULL, 'ERROR',
+  printf('Account ''%s'' flagged: %d consecutive failed login attempts. Password reset recommended.', login_attempted,
+         consecutive_failures), consecutive_failures FROM kfm WHERE consecutive_failures = 3
+UNION ALL SELECT event_id, 0, created_at, known_user_id, login_attempted, 'IP_CHANGE', ip_address, prev_success_ip, 'WARNING',
+  printf('User ''%s'' logged in from new IP %s (previous: %s)', login_attempted, ip_address, prev_success_ip), NULL
+  FROM ks WHERE event_type = 'LOGIN_SUCCESS' AND prev_success_ip IS NOT NULL AND prev_success_ip <> ip_address
+UNION ALL SELECT event_id, 1, created_at, known_user_id, login_attempted, 'LOGIN_SUCCESS', ip_address, NULL, 'INFO',
+  printf('User ''%s'' logged in successfully', login_attempted), NULL FROM ks WHERE event_type = 'LOGIN_SUCCESS'""",
+    "alog": """SELECT *, false AS is_resolved, CAST(NULL AS VARCHAR) AS resolved_by, CAST(NULL AS TIMESTAMP) AS resolved_at
+FROM alog0""",
+})
+
+S["j12_g12_consecutive_failures"] = """SELECT event_id, known_user_id AS user_id, login_attempted, created_at,
+  consecutive_failures, severity, message, prev_success_at AS last_success_at FROM kfm"""
+S["j13_lockout_alerts"] = """SELECT event_id, created_at, user_id, login_attempted, ip_address, event_type, severity, message,
+  consecutive_failures FROM alog WHERE event_type = 'ACCOUNT_LOCKED'"""
+S["j14_ip_changes"] = """SELECT event_id, created_at, user_id, login_attempted, ip_address, previous_ip, event_type, severity,
+  message FROM alog WHERE event_type = 'IP_CHANGE'"""
+S["j15_unknown_logins"] = """SELECT event_id, created_at, user_id, login_attempted, ip_address, event_type, severity, message,
+  consecutive_failures FROM alog WHERE user_id IS NULL"""
+S["j12_audit_log_replay"] = "SELECT * FROM alog"
+S["h18_audit_counters"] = """SELECT count_if(NOT is_resolved AND severity = 'ERROR') AS unresolved_errors,
+  count_if(severity = 'ERROR') AS total_errors, count_if(severity = 'WARNING') AS total_warnings,
+  count_if(severity = 'INFO') AS total_info,
+  count_if(NOT is_resolved AND severity IN ('ERROR', 'WARNING')) AS unresolved_alerts FROM alog"""
+S["b12_j7_audit_filter_tail"] = """SELECT event_id, seq, created_at, user_id, severity, message, consecutive_failures FROM alog
+WHERE severity = 'ERROR' AND event_type = 'LOGIN_FAILED' ORDER BY created_at DESC, event_id DESC, seq DESC LIMIT 200"""
+S["j16_resolve_locked_accounts"] = """
+SELECT event_type, severity, is_resolved, count(*) AS n, count(resolved_at) AS n_with_resolution_time FROM (
+  SELECT a.event_type, a.severity,
+    CASE WHEN l.user_id IS NOT NULL AND NOT a.is_resolved AND a.event_type IN ('LOGIN_FAILED', 'ACCOUNT_LOCKED')
+         THEN true ELSE a.is_resolved END AS is_resolved,
+    CASE WHEN l.user_id IS NOT NULL AND NOT a.is_resolved AND a.event_type IN ('LOGIN_FAILED', 'ACCOUNT_LOCKED')
+         THEN l.resolved_at ELSE a.resolved_at END AS resolved_at
+  FROM alog a LEFT JOIN (SELECT user_id, min(created_at) AS resolved_at FROM alog WHERE event_type = 'ACCOUNT_LOCKED'
+                         GROUP BY user_id) l ON a.user_id = l.user_id) x
+GROUP BY event_type, severity, is_resolved"""
+
+_ROLES = ", ".join(f"({i}, '{n}')" for i, n, _d in K.ROLES)
+_PERM = ", ".join(f"({i}, '{r}:{a}')" for i, _n, r, a in K.PERMISSIONS)
+_RP = ", ".join(f"({r}, {p})" for _i, r, p in K.ROLE_PERMISSIONS)
+EXTRA_CTES["uperm"] = f"""
+SELECT u.user_id, u.login, u.is_active, u.role_id, r.role_name, rp.permissions FROM users u
+LEFT JOIN (SELECT * FROM (VALUES {_ROLES}) r(role_id, role_name)) r ON u.role_id = r.role_id
+LEFT JOIN (SELECT role_id, string_agg(p, ',' ORDER BY permission_id) AS permissions
+           FROM (VALUES {_RP}) x(role_id, permission_id) JOIN (VALUES {_PERM}) y(permission_id, p) USING (permission_id)
+           GROUP BY role_id) rp ON u.role_id = rp.role_id"""
+S["g9_audit_log_with_user_role"] = """SELECT a.event_id, a.seq, a.event_type, a.severity, a.user_id, u.login, u.role_name
+FROM alog a LEFT JOIN uperm u ON a.user_id = u.user_id"""
+S["g10_user_permissions"] = "SELECT * FROM uperm"
+S["g11_login_conflicts"] = """SELECT * FROM users u WHERE EXISTS (SELECT 1 FROM users o WHERE o.login = u.login AND o.user_id <> u.user_id)"""
+S["h19_user_counters"] = """SELECT count(*) AS total_users, count_if(is_active) AS active_users, count_if(NOT is_active) AS inactive_users
+FROM users"""
