@@ -177,3 +177,125 @@ def q_conflicts(spark, sf_dir):
 def q_user_counts(spark, sf_dir):
     _, us = _audit_inputs(spark, sf_dir)
     return AU.user_counters(us)
+
+
+# ==========================================================================
+# sources and sinks
+# ==========================================================================
+
+from . import contracts as _K  # noqa: E402
+from .functions import text as _TX  # noqa: E402
+from .operators import align as _AL  # noqa: E402
+from .plans import layers as _L  # noqa: E402
+from .plans import runs as _RUNS  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
+from .sources import upload as UP  # noqa: E402
+
+UPLOAD_HEADERS = _K.UPLOAD_CONTRACTS["Clients"] + ["dup"]
+
+
+def clients_upload_file(spark, sf_dir) -> str:
+    """Render the raw clients as an upload file (contract headers, mixed
+    delimiters, quoting) once per input fingerprint; returns its folder."""
+    raw = BND.clients_raw(_T(spark, sf_dir))
+    cols = []
+    for h in UPLOAD_HEADERS:
+        s = _TX.to_snake_case(h)
+        cols.append((F.col(s).cast("string") if s in raw.columns else F.lit("")).alias(h))
+    lines = UP.render_upload_lines(raw.select(*cols), UPLOAD_HEADERS).coalesce(1)
+    root = _L.layer_root(spark, sf_dir)
+    m = _L.Materializer(spark, root)
+    path = m.path("upload_clients_csv")
+    if not m._exists(path):
+        lines.write.mode("overwrite").text(path)
+    return path
+
+
+@query("a3_a4_a5_a6_a7_upload_roundtrip")
+def q_upload(spark, sf_dir):
+    res = UP.parse_upload(spark, clients_upload_file(spark, sf_dir), _K.UPLOAD_CONTRACTS["Clients"])
+    if not res.ok:
+        raise ValueError(res.error)
+    return res.data.drop("line_no")
+
+
+@query("a10_reject_row_isolation")
+def q_rejects(spark, sf_dir):
+    c = Ctx(spark, sf_dir).cl.claims
+    good, bad = SK.split_rejects(c, {
+        "negative_duration": F.col("date_cloture_claim").isNotNull() & F.col("duree_traitement_heures").isNull(),
+        "missing_sla": F.col("sla_jours").isNull(),
+        "non_canonical_status": ~F.col("statut_sinistre_claim").isin(
+            "Refusé", "Clos", "Clos_avec_indemnisation", "Clos_sans_indemnisation", *_K.ACTIVE_STATUSES),
+    })
+    g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("loaded").alias("outcome"), F.lit(None).cast("string").alias("reject_reason"), "n")
+    b = bad.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantined").alias("outcome"), "reject_reason", "n")
+    return g.unionByName(b)
+
+
+PROFILE_COLS = ["claim_id", "statut_sinistre_claim", "type_sinistre_claim", "montant_indemnisation_claim",
+                "est_frauduleux_claim", "date_sinistre_claim", "is_delayed", "claim_severity_bucket", "l_partkey"]
+
+
+@query("a12_schema_profile")
+def q_profile(spark, sf_dir):
+    return SK.schema_profile(Ctx(spark, sf_dir).cl.claims.select(*PROFILE_COLS))
+
+
+@query("a14_pk_violations_raw_claims")
+def q_pk(spark, sf_dir):
+    r = BND.claims_raw(_T(spark, sf_dir)).withColumn("claim_id", _TX.normalize_id("claim_id"))
+    return SK.pk_violations(r, ["claim_id"])
+
+
+@query("a16_dry_run_preview")
+def q_preview(spark, sf_dir):
+    return SK.preview(BND.clients_raw(_T(spark, sf_dir)), ["client_id", "dup"])
+
+
+@query("a19_table_stats")
+def q_stats(spark, sf_dir):
+    s = SK.table_stats(Ctx(spark, sf_dir).ml, "statut_sinistre_claim", _K.ACTIVE_STATUSES)
+    return s.drop("n_columns", "first_columns")
+
+
+@query("a20_delete_by_pattern")
+def q_delete(spark, sf_dir):
+    c = SK.delete_by_pattern(Ctx(spark, sf_dir).cl.claims, "claim_id", "CLM-1%")
+    return c.groupBy("statut_sinistre_claim").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b3_validate_and_cast")
+def q_validate(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return _AL.validate_and_cast(BND.policies_raw(ctx.t), ctx.cl.policies.schema)
+
+
+@query("g14_distinct_run_ids")
+def q_runs(spark, sf_dir):
+    rec = _RUNS.delay_records(_RUNS.delay_predictions(Ctx(spark, sf_dir).scored))
+    return SK.distinct_runs(rec)
+
+
+def _raw_fingerprints(spark, sf_dir):
+    t = _T(spark, sf_dir)
+    parts = [SK.fingerprint(fn(t), name) for name, fn in (
+        ("clients_raw", BND.clients_raw), ("policies_raw", BND.policies_raw),
+        ("vehicles_raw", BND.vehicles_raw), ("claims_raw", BND.claims_raw))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("h17_table_fingerprints")
+def q_fp(spark, sf_dir):
+    return _raw_fingerprints(spark, sf_dir)
+
+
+@query("g15_s2_changed_tables")
+def q_changed(spark, sf_dir):
+    """Fingerprints now vs the snapshot saved with the layers."""
+    m = _L.Materializer(spark, _L.layer_root(spark, sf_dir))
+    saved = m(_raw_fingerprints(spark, sf_dir), "snapshot_fingerprints")
+    return SK.snapshot_diff(_raw_fingerprints(spark, sf_dir), saved)

@@ -277,3 +277,64 @@ S["g10_user_permissions"] = "SELECT * FROM uperm"
 S["g11_login_conflicts"] = """SELECT * FROM users u WHERE EXISTS (SELECT 1 FROM users o WHERE o.login = u.login AND o.user_id <> u.user_id)"""
 S["h19_user_counters"] = """SELECT count(*) AS total_users, count_if(is_active) AS active_users, count_if(NOT is_active) AS inactive_users
 FROM users"""
+
+# ---------------------------------------------------------------------------
+# sources and sinks
+# ---------------------------------------------------------------------------
+from claimwise.functions.text import to_snake_case as _snake  # noqa: E402
+
+from . import base as _B  # noqa: E402
+
+_RAW_CLIENT_COLS = ["client_id", "nom", "genre", "age", "revenu_annuel", "score_credit", "gouvernorat",
+                    "nb_retards_paiement", "nb_infractions_majeures", "points_permis_retires",
+                    "participe_conduite_responsable", "driving_behavior", "risque_global"]
+
+
+def _upl(h: str) -> str:
+    s = _snake(h)
+    if s not in _RAW_CLIENT_COLS:
+        return f'CAST(NULL AS VARCHAR) AS "{h}"'
+    v = _B.strip(s)
+    return f'CASE WHEN {v} = \'\' THEN NULL ELSE {v} END AS "{h}"'
+
+
+S["a3_a4_a5_a6_a7_upload_roundtrip"] = ("SELECT " + ", ".join(_upl(h) for h in K.UPLOAD_CONTRACTS["Clients"])
+                                         + " FROM clients_raw")
+S["a10_reject_row_isolation"] = """
+SELECT CASE WHEN reject_reason IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome, reject_reason, count(*) AS n
+FROM (SELECT CASE WHEN date_cloture_claim IS NOT NULL AND duree_traitement_heures IS NULL THEN 'negative_duration'
+  WHEN sla_jours IS NULL THEN 'missing_sla'
+  WHEN NOT statut_sinistre_claim IN ('Refusé', 'Clos', 'Clos_avec_indemnisation', 'Clos_sans_indemnisation',
+    'Ouvert', 'En_cours', 'En_cours_d_expertise') THEN 'non_canonical_status' END AS reject_reason FROM clean_claims) t
+GROUP BY 1, 2"""
+
+_PROFILE = [("claim_id", "text"), ("statut_sinistre_claim", "text"), ("type_sinistre_claim", "text"),
+            ("montant_indemnisation_claim", "float"), ("est_frauduleux_claim", "integer"),
+            ("date_sinistre_claim", "datetime"), ("is_delayed", "integer"), ("claim_severity_bucket", "text"),
+            ("l_partkey", "integer")]
+_PROF_ROWS = " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS column_name, '{k}' AS dtype_class, "
+    + (f"(SELECT CAST(max(length({c})) AS INTEGER) FROM clean_claims)" if k == "text" else "CAST(NULL AS INTEGER)")
+    + " AS max_length" for i, (c, k) in enumerate(_PROFILE))
+S["a12_schema_profile"] = f"""SELECT *, CASE WHEN dtype_class = 'text' THEN
+  CASE WHEN COALESCE(max_length, 0) <= 50 THEN 'NVARCHAR(50)' WHEN COALESCE(max_length, 0) <= 100 THEN 'NVARCHAR(100)'
+       WHEN COALESCE(max_length, 0) <= 255 THEN 'NVARCHAR(255)' ELSE 'NVARCHAR(MAX)' END
+  WHEN dtype_class = 'integer' THEN 'BIGINT' WHEN dtype_class = 'float' THEN 'FLOAT'
+  WHEN dtype_class = 'datetime' THEN 'DATETIME2' ELSE 'BIT' END AS sql_type FROM ({_PROF_ROWS}) p"""
+S["a14_pk_violations_raw_claims"] = f"""SELECT {_B.nid('claim_id')} AS claim_id, count(*) AS n FROM claims_raw
+GROUP BY 1 HAVING count(*) > 1 OR {_B.nid('claim_id')} IS NULL"""
+S["a16_dry_run_preview"] = """SELECT * FROM (SELECT * FROM clients_raw ORDER BY client_id, dup LIMIT 3) p,
+  (SELECT count(*) AS total_rows FROM clients_raw) t"""
+S["a19_table_stats"] = f"""SELECT statut_sinistre_claim, count(*) AS status_count, max(t.total_rows) AS total_rows,
+  max(t.active_total) AS active_total FROM ml_claim,
+  (SELECT count(*) AS total_rows, count_if(statut_sinistre_claim IN {ACTIVE}) AS active_total FROM ml_claim) t
+GROUP BY statut_sinistre_claim"""
+S["a20_delete_by_pattern"] = """SELECT statut_sinistre_claim, count(*) AS n FROM clean_claims
+WHERE NOT claim_id LIKE 'CLM-1%' OR claim_id IS NULL GROUP BY statut_sinistre_claim"""
+S["b3_validate_and_cast"] = """SELECT contract_id, client_id, TRY_CAST(date_debut_contrat AS TIMESTAMP) AS date_debut_contrat,
+  CAST(date_fin_contrat AS TIMESTAMP) AS date_fin_contrat, type_couverture,
+  CAST(prime_assurance_annuelle AS DOUBLE) AS prime_assurance_annuelle,
+  CAST(nb_sinistres_precedents AS DOUBLE) AS nb_sinistres_precedents,
+  CAST(delai_souscription_sinistre_jours AS DOUBLE) AS delai_souscription_sinistre_jours,
+  CAST(NULL AS DOUBLE) AS policy_duration_days, CAST(NULL AS VARCHAR) AS policy_tenure_bucket FROM policies_raw"""
+S["g14_distinct_run_ids"] = "SELECT DISTINCT prediction_run_id FROM drec WHERE prediction_run_id IS NOT NULL"
