@@ -299,3 +299,56 @@ def q_changed(spark, sf_dir):
     m = _L.Materializer(spark, _L.layer_root(spark, sf_dir))
     saved = m(_raw_fingerprints(spark, sf_dir), "snapshot_fingerprints")
     return SK.snapshot_diff(_raw_fingerprints(spark, sf_dir), saved)
+
+
+# ==========================================================================
+# streaming (S1, S3–S5): run to completion (availableNow), read the sink
+# ==========================================================================
+
+from .streaming import jobs as ST  # noqa: E402
+
+
+def _stream_paths(spark, sf_dir, name):
+    root = _L.layer_root(spark, sf_dir)
+    return f"{root}/stream_{name}/sink", f"{root}/stream_{name}/checkpoint"
+
+
+def _s1_sink(spark, sf_dir):
+    sink, ck = _stream_paths(spark, sf_dir, "s1_claims")
+    t = _T(spark, sf_dir)
+    ST.ingest_claims(spark, sf_dir, t.orders, sink, ck, BND.claims_raw_from)
+    return sink
+
+
+@query("s1_streaming_claim_ingest")
+def q_s1(spark, sf_dir):
+    return spark.read.parquet(_s1_sink(spark, sf_dir)).drop("batch_id")
+
+
+@query("s5_streaming_dedup_claim_ids")
+def q_s5(spark, sf_dir):
+    src = _s1_sink(spark, sf_dir)
+    sink, ck = _stream_paths(spark, sf_dir, "s5_dedup")
+    ST.dedup_claim_ids(spark, src, sink, ck)
+    return spark.read.parquet(sink).select("claim_id")
+
+
+@query("s4_streaming_daily_claim_kpis")
+def q_s4(spark, sf_dir):
+    src = _s1_sink(spark, sf_dir)
+    sink, ck = _stream_paths(spark, sf_dir, "s4_daily")
+    ST.daily_claim_kpis(spark, src, sink, ck)
+    latest = ST.latest_per_key(spark.read.parquet(sink), ["window_start"])
+    return latest.select(F.date_format(F.col("window_start").cast("timestamp_ntz"), "yyyy-MM-dd").alias("day"),
+                         "claims", R(F.col("payout"), 2).alias("payout"), "delayed")
+
+
+@query("s3_streaming_login_monitor")
+def q_s3(spark, sf_dir):
+    sink, ck = _stream_paths(spark, sf_dir, "s3_logins")
+    ev = BND.audit_events_from(ST.file_stream(spark, sf_dir, "events*.parquet"))
+    res = AU.resolve_users(ev, BND.users(_T(spark, sf_dir)))
+    ST.run_available(ST.login_monitor(res), sink, ck)
+    out = spark.read.parquet(sink)
+    return out.select("event_id", "user_id", "event_type", "ip_address", "consecutive_failures",
+                      F.col("previous_ip").alias("previous_success_ip"))

@@ -85,9 +85,13 @@ def vehicles_raw(t: Tables) -> DataFrame:
 
 
 def claims_raw(t: Tables) -> DataFrame:
+    return claims_raw_from(t.lineitem, t.orders)
+
+
+def claims_raw_from(li: DataFrame, orders: DataFrame) -> DataFrame:
+    """Claims binding from line items (batch or stream) and orders (static)."""
     e = F.expr
-    li = t.lineitem
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
         e("concat(' clm-', cast(l_orderkey as string), '-', cast(l_linenumber as string))").alias("claim_id"),
@@ -112,8 +116,13 @@ def claims_raw(t: Tables) -> DataFrame:
 
 
 def audit_events(t: Tables) -> DataFrame:
+    return audit_events_from(t.events)
+
+
+def audit_events_from(events: DataFrame) -> DataFrame:
+    """Login-attempt binding over the event log (batch or stream)."""
     e = F.expr
-    return t.events.where(F.col("event_type").isin("error", "signup")).select(
+    return events.where(F.col("event_type").isin("error", "signup")).select(
         "event_id",
         F.col("ts").alias("created_at"),
         "user_id",

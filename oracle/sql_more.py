@@ -338,3 +338,15 @@ S["b3_validate_and_cast"] = """SELECT contract_id, client_id, TRY_CAST(date_debu
   CAST(delai_souscription_sinistre_jours AS DOUBLE) AS delai_souscription_sinistre_jours,
   CAST(NULL AS DOUBLE) AS policy_duration_days, CAST(NULL AS VARCHAR) AS policy_tenure_bucket FROM policies_raw"""
 S["g14_distinct_run_ids"] = "SELECT DISTINCT prediction_run_id FROM drec WHERE prediction_run_id IS NOT NULL"
+
+# ---------------------------------------------------------------------------
+# streaming results equal the batch definitions
+# ---------------------------------------------------------------------------
+S["s1_streaming_claim_ingest"] = "SELECT * FROM cl1"
+S["s5_streaming_dedup_claim_ids"] = "SELECT DISTINCT claim_id FROM cl1"
+S["s4_streaming_daily_claim_kpis"] = """SELECT strftime(CAST(date_sinistre_claim AS DATE), '%Y-%m-%d') AS day, count(*) AS claims,
+  round_even(sum(montant_indemnisation_claim), 2) AS payout, CAST(sum(is_delayed) AS BIGINT) AS delayed
+FROM cl1 GROUP BY 1"""
+S["s3_streaming_login_monitor"] = """SELECT ks.event_id, ks.known_user_id AS user_id, ks.event_type, ks.ip_address,
+  kf.consecutive_failures, CASE WHEN ks.event_type = 'LOGIN_SUCCESS' THEN ks.prev_success_ip END AS previous_success_ip
+FROM ks LEFT JOIN kf ON ks.event_id = kf.event_id"""
