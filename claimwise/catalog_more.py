@@ -352,3 +352,61 @@ def q_s3(spark, sf_dir):
     out = spark.read.parquet(sink)
     return out.select("event_id", "user_id", "event_type", "ip_address", "consecutive_failures",
                       F.col("previous_ip").alias("previous_success_ip"))
+
+
+# ==========================================================================
+# model evaluation on scored claims
+# ==========================================================================
+
+from .operators import evaluation as EV  # noqa: E402
+
+
+def _r4(df):
+    return EV.round_cols(df, 4)
+
+
+@query("m10_m11_fraud_threshold_scan")
+def q_fscan(spark, sf_dir):
+    s = EV.fraud_business_scan(Ctx(spark, sf_dir).scored)
+    return _r4(s.drop("flagged_p", "avg_fraud_amount"))
+
+
+@query("m12_fraud_operating_points")
+def q_ops(spark, sf_dir):
+    return _r4(EV.operating_points(EV.fraud_business_scan(Ctx(spark, sf_dir).scored)))
+
+
+@query("m13_delay_quality_threshold")
+def q_dq(spark, sf_dir):
+    scan = EV.confusion_scan(Ctx(spark, sf_dir).scored, "is_delayed", "delay_probability", EV.DELAY_THRESHOLDS)
+    return EV.round_cols(EV.quality_threshold(scan), 6)
+
+
+@query("m14_fraud_roc_pr_auc")
+def q_auc(spark, sf_dir):
+    return EV.round_cols(EV.roc_pr_auc(Ctx(spark, sf_dir).scored, "est_frauduleux_claim", "fraud_probability"), 6)
+
+
+@query("m15_cost_regression_metrics")
+def q_reg(spark, sf_dir):
+    from .operators.scoring import cost_target_claims
+    d = cost_target_claims(Ctx(spark, sf_dir).ml)
+    return _r4(EV.regression_metrics(d, "montant_indemnisation_claim", "montant_estime_dommage_claim"))
+
+
+@query("m16_forecast_holdout_metrics")
+def q_fmetrics(spark, sf_dir):
+    """3-month hold-out of each KPI series scored against the seasonal-naive
+    forecast (value of the same month one year earlier)."""
+    from pyspark.sql import Window
+    long = series.to_long(forecast_run.monthly_history(Ctx(spark, sf_dir).ml), series.KPI_NAMES)
+    rn = F.row_number().over(Window.partitionBy("kpi").orderBy(F.col("period").desc()))
+    hold = long.withColumn("_rn", rn).where(F.col("_rn") <= 3).select("kpi", "period", F.col("value").alias("actual"))
+    lag = long.select("kpi", F.add_months("period", 12).alias("period"), F.col("value").alias("forecast"))
+    pairs = hold.join(lag, ["kpi", "period"]).where(F.col("actual").isNotNull() & F.col("forecast").isNotNull())
+    return _r4(EV.forecast_metrics(pairs))
+
+
+@query("h15_h16_fraud_label_profile")
+def q_lprof(spark, sf_dir):
+    return EV.label_profile(Ctx(spark, sf_dir).ml, "est_frauduleux_claim", "montant_indemnisation_claim")

@@ -350,3 +350,92 @@ FROM cl1 GROUP BY 1"""
 S["s3_streaming_login_monitor"] = """SELECT ks.event_id, ks.known_user_id AS user_id, ks.event_type, ks.ip_address,
   kf.consecutive_failures, CASE WHEN ks.event_type = 'LOGIN_SUCCESS' THEN ks.prev_success_ip END AS previous_success_ip
 FROM ks LEFT JOIN kf ON ks.event_id = kf.event_id"""
+
+# ---------------------------------------------------------------------------
+# model evaluation
+# ---------------------------------------------------------------------------
+from claimwise.operators.evaluation import DELAY_THRESHOLDS, FRAUD_THRESHOLDS  # noqa: E402
+
+
+def _scan_cte(label: str, prob: str, ths: list[float]) -> str:
+    vals = ", ".join(f"({_f(t)})" for t in ths)
+    return f"""SELECT threshold, n, tp, fp, tn, fn, sp,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS specificity,
+  CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0.0 END AS accuracy
+FROM (SELECT th.threshold, count(*) AS n, count_if({prob} >= th.threshold AND {label} = 1) AS tp,
+  count_if({prob} >= th.threshold AND {label} <> 1) AS fp, count_if({prob} < th.threshold AND {label} <> 1) AS tn,
+  count_if({prob} < th.threshold AND {label} = 1) AS fn,
+  COALESCE(sum(CASE WHEN {prob} >= th.threshold THEN {prob} END), 0.0) AS sp
+  FROM scored, (VALUES {vals}) th(threshold) WHERE {label} IS NOT NULL GROUP BY th.threshold) c"""
+
+
+EXTRA_CTES["fscan0"] = _scan_cte("est_frauduleux_claim", "fraud_probability", FRAUD_THRESHOLDS)
+EXTRA_CTES["fscan"] = f"""SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score,
+  tp + fp AS flagged_count, CASE WHEN n > 0 THEN (tp + fp) / n ELSE 0.0 END AS investigation_rate,
+  {_f(K.BASE_INVESTIGATION_HOURS)} * (tp + fp) + {_f(K.MAX_INVESTIGATION_HOURS - K.BASE_INVESTIGATION_HOURS)} * sp AS estimated_investigation_hours,
+  ({_f(K.BASE_INVESTIGATION_HOURS)} * (tp + fp) + {_f(K.MAX_INVESTIGATION_HOURS - K.BASE_INVESTIGATION_HOURS)} * sp) * {_f(K.AGENT_HOURLY_RATE)} AS review_cost,
+  tp * a.avg_fraud_amount * {_f(K.PREVENTED_LOSS_RATIO)} AS prevented_loss, fn * a.avg_fraud_amount AS residual_loss
+FROM fscan0, (SELECT COALESCE(avg(montant_indemnisation_claim), 0.0) AS avg_fraud_amount FROM scored WHERE est_frauduleux_claim = 1) a"""
+EXTRA_CTES["fscan2"] = "SELECT * EXCLUDE (sp), prevented_loss - review_cost AS net_value FROM fscan"
+EXTRA_CTES["dscan"] = _scan_cte("is_delayed", "delay_probability", DELAY_THRESHOLDS)
+
+
+def _r(cols: list[str], d: int = 4) -> str:
+    return ", ".join(f"round_even({c}, {d}) AS {c}" for c in cols)
+
+
+_DBL = ["threshold", "precision", "recall", "specificity", "accuracy", "f1_score", "investigation_rate",
+        "estimated_investigation_hours", "review_cost", "prevented_loss", "residual_loss", "net_value"]
+S["m10_m11_fraud_threshold_scan"] = f"SELECT n, tp, fp, tn, fn, flagged_count, {_r(_DBL)} FROM fscan2"
+
+_PF = (f"precision >= {_f(K.FRAUD_MIN_PRECISION)} AND recall >= {_f(K.FRAUD_MIN_RECALL)} "
+       f"AND investigation_rate <= {_f(K.FRAUD_MAX_INVESTIGATION_RATE)}")
+_BAL = f"recall >= {_f(K.FRAUD_BALANCED_MIN_RECALL)} AND precision >= {_f(K.FRAUD_BALANCED_MIN_PRECISION)}"
+_OPC = "threshold, precision, recall, f1_score, net_value, investigation_rate"
+S["m12_fraud_operating_points"] = f"""
+SELECT 'precision_first' AS operating_point, NOT EXISTS (SELECT 1 FROM fscan2 WHERE {_PF}) AS used_fallback,
+  {_r(_OPC.split(', '))} FROM (SELECT * FROM fscan2
+  WHERE ({_PF}) OR NOT EXISTS (SELECT 1 FROM fscan2 WHERE {_PF})
+  ORDER BY precision DESC, net_value DESC, f1_score DESC, threshold LIMIT 1) a
+UNION ALL
+SELECT 'balanced', NOT EXISTS (SELECT 1 FROM fscan2 WHERE {_BAL}), {_r(_OPC.split(', '))} FROM (SELECT * FROM fscan2
+  WHERE ({_BAL}) OR NOT EXISTS (SELECT 1 FROM fscan2 WHERE {_BAL})
+  ORDER BY net_value DESC, f1_score DESC, threshold LIMIT 1) b"""
+S["m13_delay_quality_threshold"] = f"""SELECT {_r(['threshold', 'score', 'precision', 'recall', 'accuracy'], 6)} FROM (
+  SELECT *, 0.45 * precision + 0.40 * accuracy + 0.15 * recall AS score FROM dscan
+  WHERE recall >= {_f(K.DELAY_SCAN_RECALL_FLOOR)} ORDER BY score DESC, threshold LIMIT 1) x"""
+S["m14_fraud_roc_pr_auc"] = """
+SELECT round_even(sum(pos * (neg_below + 0.5 * neg)) / (max(P) * max(Nn)), 6) AS roc_auc,
+  round_even(sum(pos / P * (tp_at / (tp_at + fp_at))), 6) AS average_precision, max(P) AS positives, max(Nn) AS negatives
+FROM (SELECT *, COALESCE(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+  sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_at,
+  sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_at
+  FROM (SELECT fraud_probability AS s, count_if(est_frauduleux_claim = 1) AS pos, count_if(est_frauduleux_claim <> 1) AS neg
+        FROM scored WHERE est_frauduleux_claim IS NOT NULL GROUP BY 1) g) w,
+  (SELECT count_if(est_frauduleux_claim = 1) AS P, count_if(est_frauduleux_claim <> 1) AS Nn FROM scored
+   WHERE est_frauduleux_claim IS NOT NULL) t"""
+S["m15_cost_regression_metrics"] = """
+SELECT count(*) AS n, round_even(avg(abs(e)), 4) AS mae, round_even(sqrt(avg(e * e)), 4) AS rmse,
+  round_even(1 - sum(e * e) / sum((y - my) * (y - my)), 4) AS r2, round_even(quantile_cont(abs(e), 0.5), 4) AS median_ae
+FROM (SELECT montant_estime_dommage_claim - montant_indemnisation_claim AS e, montant_indemnisation_claim AS y
+  FROM ml_claim WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
+  AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL) d,
+  (SELECT avg(montant_indemnisation_claim) AS my FROM ml_claim
+   WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
+   AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL) m"""
+S["m16_forecast_holdout_metrics"] = """
+SELECT h.kpi, count(*) AS n, round_even(avg(abs(l.value - h.value)), 4) AS mae,
+  round_even(avg(abs(l.value - h.value) / (abs(h.value) + 1e-9)) * 100, 4) AS mape_pct,
+  round_even(sqrt(avg((l.value - h.value) * (l.value - h.value))), 4) AS rmse
+FROM (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY period DESC) AS rn FROM lng) h
+JOIN lng l ON l.kpi = h.kpi AND CAST(l.period + INTERVAL 12 MONTH AS DATE) = h.period
+WHERE h.rn <= 3 AND h.value IS NOT NULL AND l.value IS NOT NULL GROUP BY h.kpi"""
+S["h15_h16_fraud_label_profile"] = """
+SELECT count(*) AS rows, count_if(est_frauduleux_claim = 1) AS positives,
+  round_even(count_if(est_frauduleux_claim = 1) / count(*) * 100, 2) AS positive_rate_pct,
+  round_even(avg(montant_indemnisation_claim), 2) AS avg_amount,
+  round_even(avg(CASE WHEN est_frauduleux_claim = 1 THEN montant_indemnisation_claim END), 2) AS avg_amount_positive,
+  round_even((count(*) - count_if(est_frauduleux_claim = 1)) / greatest(count_if(est_frauduleux_claim = 1), 1), 4) AS imbalance_ratio
+FROM ml_claim WHERE est_frauduleux_claim IS NOT NULL"""
