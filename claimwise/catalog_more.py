@@ -410,3 +410,74 @@ def q_fmetrics(spark, sf_dir):
 @query("h15_h16_fraud_label_profile")
 def q_lprof(spark, sf_dir):
     return EV.label_profile(Ctx(spark, sf_dir).ml, "est_frauduleux_claim", "montant_indemnisation_claim")
+
+
+# ==========================================================================
+# Spark ML training / scoring (M1–M9, M17–M19, M22, M23) — rows-only checks
+# ==========================================================================
+
+from .models import training as TR  # noqa: E402
+from .operators.scoring import active_claims as _active, closed_claims as _closed  # noqa: E402
+from .operators.scoring import cost_target_claims as _cost_target  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf_dir, kind: str):
+    """Train once per input fingerprint; the winner is persisted (M23) and
+    the comparison table written next to it."""
+    root = _L.layer_root(spark, sf_dir)
+    key = (id(spark), root, kind)
+    if key in _TRAINED:
+        return _TRAINED[key]
+    ml = Ctx(spark, sf_dir).ml
+    if kind == "delay":
+        tr = TR.train_classifier(_closed(ml), "is_delayed", "claim_id", TR.DELAY_DROP, "auc")
+    elif kind == "fraud":
+        tr = TR.train_classifier(ml, "est_frauduleux_claim", "claim_id", TR.FRAUD_DROP, "fraud", scale=True)
+    else:
+        tr = TR.train_regressor(_cost_target(ml), "claim_id", TR.COST_DROP)
+    path = f"{root}/models/{kind}"
+    TR.save_model(tr, path, {"kind": kind, "recommended_threshold": 0.5})
+    tr.comparison.write.mode("overwrite").parquet(f"{path}/comparison")
+    _TRAINED[key] = (tr, path)
+    return _TRAINED[key]
+
+
+@query("m1_m6_m22_delay_model_comparison")
+def q_m_delay(spark, sf_dir):
+    tr, path = trained(spark, sf_dir, "delay")
+    return spark.read.parquet(f"{path}/comparison")
+
+
+@query("m7_fraud_model_comparison")
+def q_m_fraud(spark, sf_dir):
+    tr, path = trained(spark, sf_dir, "fraud")
+    return spark.read.parquet(f"{path}/comparison")
+
+
+@query("m8_cost_model_comparison")
+def q_m_cost(spark, sf_dir):
+    tr, path = trained(spark, sf_dir, "cost")
+    return spark.read.parquet(f"{path}/comparison")
+
+
+@query("m17_fraud_feature_importances")
+def q_m_imp(spark, sf_dir):
+    tr, _ = trained(spark, sf_dir, "fraud")
+    return TR.feature_importances(tr)
+
+
+@query("m18_m19_m23_fraud_scoring_active_claims")
+def q_m_score(spark, sf_dir):
+    """Reload the persisted model (M23), resolve its threshold from the
+    metadata (M19) and score the active claims (M18) into fraud tiers."""
+    from .operators import scoring as SC
+    tr, path = trained(spark, sf_dir, "fraud")
+    model, _meta = TR.load_model(spark, path)
+    thr = TR.resolve_threshold(spark.read.text(f"{path}/metadata").withColumnRenamed("value", "metadata"),
+                               _RUNS.FRAUD_THRESHOLD).first()[0]
+    act = TR.apply_caps(_active(Ctx(spark, sf_dir).ml), tr.caps)
+    scored = TR.score(model, act, "fraud_probability")
+    tiers = SC.fraud_tiers(scored, thr)
+    return tiers.select("claim_id", "fraud_probability", "predicted_fraud", "risk_level", "recommended_action")
