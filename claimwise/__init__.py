@@ -10,3 +10,11 @@ Layers:
 """
 
 __all__ = ["session", "contracts"]
+
+import sys as _sys
+
+try:  # ship the package's pandas-UDF code with each task: executors need no install
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference pickling
+    pass

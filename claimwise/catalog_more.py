@@ -481,3 +481,22 @@ def q_m_score(spark, sf_dir):
     scored = TR.score(model, act, "fraud_probability")
     tiers = SC.fraud_tiers(scored, thr)
     return tiers.select("claim_id", "fraud_probability", "predicted_fraud", "risk_level", "recommended_action")
+
+
+# ==========================================================================
+# grouped time-series fits (M20, M21) — rows-only checks
+# ==========================================================================
+
+from .models import timeseries as TS  # noqa: E402
+
+
+@query("m20_m21_series_model_selection")
+def q_ts_select(spark, sf_dir):
+    long = series.to_long(forecast_run.monthly_history(Ctx(spark, sf_dir).ml), series.KPI_NAMES)
+    return TS.select_models(TS.fit_candidates(long))
+
+
+@query("m20_k5_forecast_with_fitted_models")
+def q_ts_forecast(spark, sf_dir):
+    run = forecast_run.run(Ctx(spark, sf_dir).ml, forecaster=TS.arima_forecaster)
+    return run.monthly.drop("period", "alerts", "recommendations")
