@@ -5,34 +5,104 @@ partial aggregation), giving a single row that is attached with a broadcast
 cross join — a one-row build side, so its size bound is proven.
 
 ``method="exact"`` uses Spark's exact ``percentile`` (linear interpolation,
-equal to pandas ``quantile`` / DuckDB ``quantile_cont``); its partial buffers
-hold one entry per distinct value.  ``method="approx"`` uses the mergeable
-``percentile_approx`` sketch with bounded memory for very large inputs; the
-method can also be set for a whole job with the session conf
-``claimwise.quantile.method`` (and ``claimwise.quantile.accuracy``).
+equal to pandas ``quantile``); its buffers hold one entry per distinct value
+and the final merge runs in one task.  ``method="distributed"`` computes the
+same exact values with a range-partitioned prefix sum over distinct values
+(no single-task merge; see ``distributed_quantile_row``).  ``method="approx"``
+uses the mergeable ``percentile_approx`` sketch.  The method is set per call
+or for a whole job with the session conf ``claimwise.quantile.method`` (and
+``claimwise.quantile.accuracy``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QCOL = "__q_{}"
 
 
+DISTRIBUTED_ABOVE_BYTES = 4 << 30   # plan-estimated input size where "auto" leaves the one-task merge
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of the input (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: assume large
+        return 1 << 62
+
+
 def _method(df: DataFrame, method: str | None) -> tuple[str, int]:
+    """exact | distributed | approx | auto (default): auto picks exact
+    ``percentile`` for inputs estimated below
+    ``claimwise.quantile.distributedAboveBytes`` and the distributed exact
+    method above it."""
     spark = df.sparkSession
-    m = method or spark.conf.get("claimwise.quantile.method", "exact")
+    m = method or spark.conf.get("claimwise.quantile.method", "auto")
     acc = int(spark.conf.get("claimwise.quantile.accuracy", "100000"))
+    if m == "auto":
+        limit = int(spark.conf.get("claimwise.quantile.distributedAboveBytes", str(DISTRIBUTED_ABOVE_BYTES)))
+        m = "distributed" if _estimated_bytes(df) > limit else "exact"
     return m, acc
 
 
+def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """Exact quantiles without a single-task merge.
+
+    1. values of every spec are stacked to (name, v) and counted per distinct
+       value (partial aggregation; the shuffle carries distinct values);
+    2. the distinct values are range-partitioned on (name, v); a running count
+       inside each range partition plus the partition's offset (a table with
+       one row per partition and spec) gives every distinct value its
+       cumulative count — a distributed prefix sum;
+    3. the values at the needed positions (pos = (n-1)·p, floor and ceil) are
+       picked with a filter and interpolated exactly like ``percentile``:
+       (hi - pos)·v[lo] + (pos - lo)·v[hi].
+    """
+    spark = df.sparkSession
+    names = list(specs)
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), specs[n][0].cast("double").alias("v")) for n in names])
+    long = df.select(F.explode(pairs).alias("s")).select("s.name", "s.v").where(F.col("v").isNotNull())
+    dv = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
+    rp = dv.repartitionByRange(parts, "name", "v").withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rp = rp.withColumn("_cl", F.sum("c").over(w))
+    per = rp.groupBy("name", "_pid").agg(F.sum("c").alias("_pc"))
+    wo = Window.partitionBy("name").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_off": F.coalesce(F.sum("_pc").over(wo), F.lit(0)),
+                           "_n": F.sum("_pc").over(Window.partitionBy("name"))})
+    cum = rp.join(F.broadcast(per.select("name", "_pid", "_off", "_n")), ["name", "_pid"]) \
+            .withColumn("_cum", F.col("_off") + F.col("_cl"))
+    # wanted 0-based positions per (name, probability index)
+    want_rows = [(n, i, float(p)) for n in names for i, p in enumerate(specs[n][1])]
+    want = spark.createDataFrame(want_rows, "name string, k int, p double")
+    ns = per.select("name", "_n").distinct()
+    want = want.join(F.broadcast(ns), "name").withColumn("pos", (F.col("_n") - 1) * F.col("p")) \
+               .withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
+    pos = want.select("name", "k", F.col("lo").alias("at")).unionByName(want.select("name", "k", F.col("hi").alias("at")))
+    # the distinct value covering 0-based position `at`: cum - c <= at < cum
+    hit = cum.join(F.broadcast(pos), "name").where((F.col("_cum") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("_cum")))
+    got = hit.select("name", "k", "at", "v")
+    res = want.join(got.withColumnRenamed("at", "lo").withColumnRenamed("v", "vlo"), ["name", "k", "lo"], "left") \
+              .join(got.withColumnRenamed("at", "hi").withColumnRenamed("v", "vhi"), ["name", "k", "hi"], "left")
+    interp = F.when((F.col("lo") == F.col("hi")) | (F.col("vlo") == F.col("vhi")), F.col("vlo")).otherwise(
+        (F.col("hi") - F.col("pos")) * F.col("vlo") + (F.col("pos") - F.col("lo")) * F.col("vhi"))
+    res = res.select("name", "k", interp.alias("q"))
+    arrs = res.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("qs"))
+    one = arrs.agg(*[F.max(F.when(F.col("name") == n, F.col("qs"))).alias(QCOL.format(n)) for n in names])
+    return one
+
+
 def quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[float]]],
                  method: str | None = None) -> DataFrame:
     """One-row DataFrame with an array<double> column per spec name.
 
     ``specs``: name -> (value expression, list of probabilities)."""
     m, acc = _method(df, method)
+    if m == "distributed":
+        return distributed_quantile_row(df, specs)
     aggs = []
     for name, (expr, probs) in specs.items():
         arr = F.array(*[F.lit(float(p)) for p in probs])

@@ -92,8 +92,24 @@ def secs(a: str, b: str) -> str:
     return f"(CAST(epoch_us({b}) - epoch_us({a}) AS DOUBLE) / 1e6)"
 
 
+def qlist(x: str, probs: list[float]) -> str:
+    """Exact linear-interpolated quantiles as a list, with the interpolation
+    written as (hi_idx - pos)·v[lo] + (pos - lo_idx)·v[hi], pos = (n-1)·p, so
+    the result is bit-identical to Spark's ``percentile``."""
+    arr = f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))"
+    n = f"count({x})"
+    items = []
+    for p in probs:
+        pos = f"(({n} - 1) * CAST({float(p)!r} AS DOUBLE))"
+        lo, hi = f"CAST(floor({pos}) AS BIGINT)", f"CAST(ceil({pos}) AS BIGINT)"
+        lk, hk = f"{arr}[{lo} + 1]", f"{arr}[{hi} + 1]"
+        items.append(f"CASE WHEN {n} = 0 THEN NULL WHEN {lo} = {hi} OR {lk} = {hk} THEN {lk} "
+                     f"ELSE (CAST({hi} AS DOUBLE) - {pos}) * {lk} + ({pos} - CAST({lo} AS DOUBLE)) * {hk} END")
+    return "[" + ", ".join(items) + "]"
+
+
 def q2(x: str) -> str:
-    return f"quantile_cont({x}, [0.01, 0.99])"
+    return qlist(x, [0.01, 0.99])
 
 
 STATUS_CASE = """CASE {k}
@@ -225,7 +241,7 @@ CLEAN["cc2"] = f"""SELECT cc1.* REPLACE ({clip('revenu_annuel', 'q_rev')} AS rev
   {clip('score_credit', 'q_score')} AS score_credit, {clip('risque_global', 'q_rg')} AS risque_global)
 FROM cc1, ccq1"""
 
-CLEAN["ccq2"] = "SELECT quantile_cont(revenu_annuel, [0.2, 0.4, 0.6, 0.8]) AS q_inc FROM cc2"
+CLEAN["ccq2"] = f"SELECT {qlist('revenu_annuel', [0.2, 0.4, 0.6, 0.8])} AS q_inc FROM cc2"
 
 CLEAN["cc3"] = f"""SELECT cc2.*,
   CASE WHEN age > 0 AND age <= 24 THEN '<25' WHEN age > 0 AND age <= 34 THEN '25-34'
@@ -291,7 +307,7 @@ CLEAN["cv2"] = f"""SELECT cv1.* REPLACE ({clip('puissance_fiscale', 'q_pw')} AS
   {between_or_null(f"({clip('kilometrage_actuel', 'q_km')}) / NULLIF(vehicle_age, 0)", 0, 300000)} AS mileage_per_year
 FROM cv1, cvq1"""
 CLEAN["cvq2"] = f"""SELECT {q2('mileage_per_year')} AS q_mpy,
-  quantile_cont(valeur_vehicule, [0.2, 0.4, 0.6, 0.8]) AS q_vb FROM cv2"""
+  {qlist('valeur_vehicule', [0.2, 0.4, 0.6, 0.8])} AS q_vb FROM cv2"""
 CLEAN["clean_vehicles"] = f"""SELECT * EXCLUDE (rn) FROM (
   SELECT cv2.* REPLACE ({clip('mileage_per_year', 'q_mpy')} AS mileage_per_year),
     {qband('valeur_vehicule', 'q_vb', ['very_low', 'low', 'mid', 'high', 'very_high'])} AS vehicle_value_band,
@@ -325,7 +341,7 @@ CLEAN["cl2"] = f"""SELECT *, montant_indemnisation_claim - montant_estime_dommag
 FROM (SELECT cl1.* REPLACE ({clip('montant_estime_dommage_claim', 'q_est')} AS montant_estime_dommage_claim,
   {clip('montant_indemnisation_claim', 'q_ind')} AS montant_indemnisation_claim) FROM cl1, clq1) x"""
 CLEAN["clq2"] = f"""SELECT {q2('claim_gap_ratio')} AS q_gr,
-  quantile_cont(montant_indemnisation_claim, [0.5, 0.8, 0.95]) AS q_sev FROM cl2"""
+  {qlist('montant_indemnisation_claim', [0.5, 0.8, 0.95])} AS q_sev FROM cl2"""
 CLEAN["cl3"] = f"""SELECT cl2.* REPLACE ({clip('claim_gap_ratio', 'q_gr')} AS claim_gap_ratio),
   {qband('montant_indemnisation_claim', 'q_sev', ['low', 'medium', 'high', 'very_high'])} AS claim_severity_bucket
 FROM cl2, clq2"""

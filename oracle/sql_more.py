@@ -416,9 +416,10 @@ FROM (SELECT *, COALESCE(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECED
         FROM scored WHERE est_frauduleux_claim IS NOT NULL GROUP BY 1) g) w,
   (SELECT count_if(est_frauduleux_claim = 1) AS P, count_if(est_frauduleux_claim <> 1) AS Nn FROM scored
    WHERE est_frauduleux_claim IS NOT NULL) t"""
-S["m15_cost_regression_metrics"] = """
+S["m15_cost_regression_metrics"] = f"""
 SELECT count(*) AS n, round_even(avg(abs(e)), 4) AS mae, round_even(sqrt(avg(e * e)), 4) AS rmse,
-  round_even(1 - sum(e * e) / sum((y - my) * (y - my)), 4) AS r2, round_even(quantile_cont(abs(e), 0.5), 4) AS median_ae
+  round_even(1 - sum(e * e) / sum((y - my) * (y - my)), 4) AS r2,
+  round_even(({_B.qlist('abs(e)', [0.5])})[1], 4) AS median_ae
 FROM (SELECT montant_estime_dommage_claim - montant_indemnisation_claim AS e, montant_indemnisation_claim AS y
   FROM ml_claim WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
   AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL) d,
