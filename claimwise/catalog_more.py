@@ -500,3 +500,51 @@ def q_ts_select(spark, sf_dir):
 def q_ts_forecast(spark, sf_dir):
     run = forecast_run.run(Ctx(spark, sf_dir).ml, forecaster=TS.arima_forecaster)
     return run.monthly.drop("period", "alerts", "recommendations")
+
+
+# ==========================================================================
+# remaining sinks / reads: A2 + A17, G8, H20, J17
+# ==========================================================================
+
+@query("a2_a17_csv_sink_and_scan")
+def q_csv(spark, sf_dir):
+    """Clean policies written with the CSV sink, read back with a typed scan."""
+    pol = Ctx(spark, sf_dir).cl.policies
+    m = _L.Materializer(spark, _L.layer_root(spark, sf_dir))
+    path = m.path("csv_policies")
+    if not m._exists(path):
+        SK.write_csv(pol, path)
+    return SK.read_csv(spark, path, pol.schema)
+
+
+@query("g8_run_join_records_summary")
+def q_run_join(spark, sf_dir):
+    """Prediction records joined to their run summary on the run id."""
+    from .operators import scoring as SC
+    pred = _RUNS.delay_predictions(Ctx(spark, sf_dir).scored)
+    rec = _RUNS.delay_records(pred)
+    summ = SC.delay_run_summary(pred, _RUNS.DELAY_THRESHOLD, "montant_indemnisation_claim") \
+        .withColumn("prediction_run_id", F.lit(_RUNS.run_id("RUN")))
+    j = rec.join(F.broadcast(summ.select("prediction_run_id", "total_active_claims", "recommended_agents")),
+                 "prediction_run_id")
+    return j.groupBy("prediction_run_id", "risk_level", "total_active_claims", "recommended_agents") \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h20_forecast_alert_counters")
+def q_alert_counts(spark, sf_dir):
+    a = FC.explode_alerts(forecast_run.run(Ctx(spark, sf_dir).ml).monthly)
+    lvl = F.upper(F.col("alert_level"))
+    return a.agg(F.count(F.lit(1)).alias("total_alerts"),
+                 *[F.count_if(lvl == v).alias(f"{v.lower()}_alerts") for v in ("CRITICAL", "HIGH", "MEDIUM", "LOW")])
+
+
+@query("j17_chart_arrays")
+def q_chart(spark, sf_dir):
+    """Ordered chart series (period / claim volume / payout) as text arrays."""
+    h = forecast_run.monthly_history(Ctx(spark, sf_dir).ml)
+    s = h.agg(F.array_sort(F.collect_list(F.struct("period", "claim_volume", "total_indemnisation"))).alias("a"))
+    return s.select(
+        F.array_join(F.transform("a", lambda x: F.date_format(x["period"], "yyyy-MM")), ",").alias("periods"),
+        F.array_join(F.transform("a", lambda x: F.rint(x["claim_volume"]).cast("long").cast("string")), ",").alias("volumes"),
+        F.array_join(F.transform("a", lambda x: F.rint(x["total_indemnisation"]).cast("long").cast("string")), ",").alias("costs"))

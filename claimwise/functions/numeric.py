@@ -58,12 +58,14 @@ def to_int_count(c, dtype=None, allow_negative: bool = False, prenormalized: boo
 
 def to_bool(c) -> Column:
     """D4 safe_to_bool: 7 true / 7 false tokens, numeric 1 / 0, else null."""
+    # tokens first: '1' / '0' are both tokens and numbers and agree, so the
+    # (costly) numeric parse only runs for the remaining values
     x = F.lower(strip(c))
     num = strip(c).try_cast("double")
-    return (F.when(num == 1, F.lit(True))
-             .when(num == 0, F.lit(False))
-             .when(x.isin(*K.TRUE_TOKENS), F.lit(True))
+    return (F.when(x.isin(*K.TRUE_TOKENS), F.lit(True))
              .when(x.isin(*K.FALSE_TOKENS), F.lit(False))
+             .when(num == 1, F.lit(True))
+             .when(num == 0, F.lit(False))
              .otherwise(F.lit(None).cast("boolean")))
 
 

@@ -16,10 +16,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# every character Python's str.isspace() accepts (str.strip() removes these)
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind
-    (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c).cast("string"), r"^\s+|\s+$", "")
+    (Spark ``trim`` only removes spaces).  ``btrim`` with the explicit
+    character set — no regex per value."""
+    return F.btrim(_c(c).cast("string"), F.lit(PY_WHITESPACE))
 
 
 def normalize_id(c) -> Column:
@@ -38,10 +45,12 @@ def title_case(c) -> Column:
     """Python ``str.title()`` on a lower-cased string: upper-case the first
     letter of every run of letters (so ``saint-denis l'ariana`` ->
     ``Saint-Denis L'Ariana``).  Spark ``initcap`` only splits on spaces."""
-    runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))),
-        "")
+    x = _c(c)
+    runs = F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    general = F.array_join(
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))), "")
+    # fast path: letters and spaces only -> identical to initcap
+    return F.when(x.rlike(r"^[\p{L} ]*$"), F.initcap(x)).otherwise(general)
 
 
 def clean_text(c, mode: str = "title") -> Column:

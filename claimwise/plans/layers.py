@@ -17,6 +17,7 @@ new layers (the S2 "changed-table refresh" idea at file level).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from dataclasses import dataclass
@@ -32,6 +33,7 @@ from . import warehouse as W
 _PKG_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+@functools.lru_cache(maxsize=1)
 def _code_hash() -> str:
     h = hashlib.sha256()
     for root, _dirs, files in sorted(os.walk(_PKG_DIR)):

@@ -122,8 +122,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_document(summary: DataFrame, rows: DataFrame, rows_name: str, order_col: str) -> DataFrame:
-    """One JSON document = summary struct + array of rows (sorted)."""
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A2: CSV scan with a header and a declared schema (no inference pass)."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def ensure_database(spark: SparkSession, name: str) -> bool:
+    """Create the schema (database) if missing; True when it existed."""
+    existed = spark.catalog.databaseExists(name)
+    if not existed:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    return existed
+
+
+def json_document(summary: DataFrame, rows: DataFrame, rows_name: str, order_col: str,
+                  top: int = 20) -> DataFrame:
+    """One JSON document = summary struct + the top ``top`` rows by
+    ``order_col`` (the dashboard payload is a top-k list, so the array that is
+    gathered into one row has a fixed bound)."""
+    rows = rows.orderBy(order_col).limit(top)
     arr = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_k"), F.struct(*rows.columns).alias("r"))))
                    .alias("_a")).select(F.transform("_a", lambda s: s["r"]).alias(rows_name))
     doc = summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(arr)

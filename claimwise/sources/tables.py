@@ -16,8 +16,32 @@ def table_path(sf_dir: str, name: str) -> str:
     return p
 
 
+SMALL_INPUT_MIN = 1 << 20          # below: not worth a shuffle
+SMALL_INPUT_PER_CORE = 64 << 20    # above parallelism × this, file splits already feed every core
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 0
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores.  A file written as one Parquet
+    row group is read by a single task, so every row-level stage after it
+    would run on one core; inputs between 1 MB and parallelism × 64 MB
+    (optimizer estimate, no job) are round-robin repartitioned.  Large inputs
+    already have one split per block and are left untouched (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    size = _estimated_bytes(df)
+    if par > 1 and SMALL_INPUT_MIN < size < par * SMALL_INPUT_PER_CORE:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return balanced(spark.read.parquet(table_path(sf_dir, name)))
 
 
 class Tables:

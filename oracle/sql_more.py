@@ -440,3 +440,20 @@ SELECT count(*) AS rows, count_if(est_frauduleux_claim = 1) AS positives,
   round_even(avg(CASE WHEN est_frauduleux_claim = 1 THEN montant_indemnisation_claim END), 2) AS avg_amount_positive,
   round_even((count(*) - count_if(est_frauduleux_claim = 1)) / greatest(count_if(est_frauduleux_claim = 1), 1), 4) AS imbalance_ratio
 FROM ml_claim WHERE est_frauduleux_claim IS NOT NULL"""
+
+S["a2_a17_csv_sink_and_scan"] = "SELECT * FROM clean_policies"
+S["g8_run_join_records_summary"] = """
+SELECT d.prediction_run_id, d.risk_level, s.total_active_claims, s.recommended_agents, count(*) AS n
+FROM drec d JOIN (SELECT 'RUN-20260428-000000' AS prediction_run_id, count(*) AS total_active_claims,
+  CAST(greatest(1, ceil(count_if(risk_level = 'High') / 40.0 + (count_if(risk_level = 'Medium') + count_if(risk_level = 'Low')) / 80.0)) AS INTEGER) AS recommended_agents
+  FROM dp) s ON d.prediction_run_id = s.prediction_run_id
+GROUP BY 1, 2, 3, 4"""
+S["h20_forecast_alert_counters"] = ("SELECT count(*) AS total_alerts, count_if(upper(alert_level) = 'CRITICAL') AS critical_alerts, "
+                                    "count_if(upper(alert_level) = 'HIGH') AS high_alerts, "
+                                    "count_if(upper(alert_level) = 'MEDIUM') AS medium_alerts, "
+                                    "count_if(upper(alert_level) = 'LOW') AS low_alerts FROM ("
+                                    + S["k8_k9_forecast_alerts"] + ") a")
+S["j17_chart_arrays"] = """SELECT string_agg(strftime(period, '%Y-%m'), ',' ORDER BY period) AS periods,
+  string_agg(CAST(CAST(round_even(claim_volume, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY period) AS volumes,
+  string_agg(CAST(CAST(round_even(total_indemnisation, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY period) AS costs
+FROM hist"""

@@ -125,3 +125,22 @@ def test_distributed_quantiles_equal_percentile(spark):
     exact = stats.quantile_row(df, specs, "exact").first().asDict()
     dist = stats.quantile_row(df, specs, "distributed").first().asDict()
     assert exact == dist
+
+
+def test_json_document_and_small_helpers(spark):
+    import json
+    from claimwise.operators import stats
+    summary = spark.createDataFrame([(3, 1.5)], "n long, total double")
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "claim_id string, rank int")
+    doc = json.loads(SK.json_document(summary, rows, "top", "rank").first()[0])
+    assert doc["summary"] == {"n": 3, "total": 1.5} and [r["claim_id"] for r in doc["top"]] == ["a", "b"]
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
+    assert sorted(r.v for r in stats.median_fill(df, ["v"], "exact").collect()) == [1.0, 3.0, 3.0, 10.0]
+    assert [r.above for r in stats.median_split(df.dropna(), "v", "above", "exact").orderBy("v").collect()] == [0, 0, 1]
+    lt = spark.createDataFrame([(0.0,), (2.0,), (10.0,)], "x double")
+    assert [r[0] for r in lt.select(scoring.duration_from_log_target(F.col("x"))).collect()] == [1, 6, 120]
+
+
+def test_ensure_database(spark):
+    assert SK.ensure_database(spark, "claimwise_test_db") is False
+    assert SK.ensure_database(spark, "claimwise_test_db") is True
