@@ -64,7 +64,7 @@ def test_day_first_dates(spark):
 
 
 def test_numpy_rounding(spark):
-    assert _one(spark, [2.5, 3.5, 16118.505], lambda c: N.np_round(c, 0), "double") == [2.0, 4.0, 16118.0]
+    assert _one(spark, [2.5, 3.5, 16118.505], lambda c: N.np_round(c, 0), "double") == [2.0, 4.0, 16119.0]
     assert _one(spark, [0.125, 16118.505], lambda c: N.np_round(c, 2), "double") == [0.12, 16118.5]
 
 
