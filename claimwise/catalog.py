@@ -187,19 +187,24 @@ def q_vehicle_text(spark, sf_dir):
 @query("d2_d3_d4_d5_client_numeric_parsing")
 def q_client_numbers(spark, sf_dir):
     r = bindings.clients_raw(Tables(spark, sf_dir))
+    # stage 1: missing-token normalisation in its own projection
+    pre = ["age", "revenu_annuel", "nb_retards_paiement", "nb_infractions_majeures", "score_credit"]
+    r = r.withColumns({f"_n_{c}": T.normalize_missing(c) for c in pre})
+    flex = {c: N.to_numeric_flexible(f"_n_{c}", prenormalized=True) for c in pre}
+    r = r.withColumns({f"_f_{c}": v for c, v in flex.items()})
+    age = N.null_outside(F.col("_f_age"), K.AGE_MIN, K.AGE_MAX)
     return r.select(
         "client_id", "dup",
-        N.to_numeric_flexible("age").alias("age_raw_num"),
-        N.null_outside(N.to_numeric_flexible("age"), K.AGE_MIN, K.AGE_MAX).alias("age"),
-        N.to_numeric_flexible("revenu_annuel").alias("revenu_annuel"),
+        F.col("_f_age").alias("age_raw_num"),
+        age.alias("age"),
+        F.col("_f_revenu_annuel").alias("revenu_annuel"),
         N.to_double("revenu_annuel").alias("revenu_safe_numeric"),
-        N.to_int_count("nb_retards_paiement").alias("nb_retards_paiement"),
-        N.to_int_count("nb_infractions_majeures").alias("nb_infractions_majeures"),
+        N.to_int_count("_n_nb_retards_paiement", prenormalized=True).alias("nb_retards_paiement"),
+        N.to_int_count("_n_nb_infractions_majeures", prenormalized=True).alias("nb_infractions_majeures"),
         N.to_bool("participe_conduite_responsable").alias("participe_bool"),
         N.flag01("participe_conduite_responsable").alias("participe_flag"),
-        N.fixed_band(N.null_outside(N.to_numeric_flexible("age"), K.AGE_MIN, K.AGE_MAX),
-                     K.AGE_BANDS, low=K.AGE_BAND_LOW).alias("age_group"),
-        N.fixed_band(N.to_numeric_flexible("score_credit"), K.CREDIT_BANDS).alias("credit_band"),
+        N.fixed_band(age, K.AGE_BANDS, low=K.AGE_BAND_LOW).alias("age_group"),
+        N.fixed_band(F.col("_f_score_credit"), K.CREDIT_BANDS).alias("credit_band"),
     )
 
 

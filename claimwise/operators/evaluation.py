@@ -108,17 +108,18 @@ def quality_threshold(scan: DataFrame) -> DataFrame:
 def roc_pr_auc(df: DataFrame, label: str, prob: str) -> DataFrame:
     """Exact ROC-AUC (Mann–Whitney with ties counted ½) and average
     precision.  Scores are grouped to distinct values first (partial
-    aggregate); the running sums run over distinct scores only."""
+    aggregate); the running sums over distinct scores are a distributed
+    prefix sum (``operators/prefix.py``), not a global window."""
+    from .prefix import running_sums
     g = df.where(F.col(label).isNotNull()).groupBy(F.col(prob).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    w_asc = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    w_desc = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
+    g = running_sums(g, ["s"], ["pos", "neg"]).crossJoin(F.broadcast(tot))
     g = g.withColumns({
-        "neg_below": F.coalesce(F.sum("neg").over(w_asc), F.lit(0)),
-        "tp_at": F.sum("pos").over(w_desc), "fp_at": F.sum("neg").over(w_desc),
+        "neg_below": F.col("cum_neg") - F.col("neg"),
+        "tp_at": F.col("P") - F.col("cum_pos") + F.col("pos"),
+        "fp_at": F.col("Nn") - F.col("cum_neg") + F.col("neg"),
     })
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
-    g = g.crossJoin(F.broadcast(tot))
     return g.agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))) / (F.first("P") * F.first("Nn"))).alias("roc_auc"),
         F.sum(F.col("pos") / F.col("P") * (F.col("tp_at") / (F.col("tp_at") + F.col("fp_at")))).alias("average_precision"),
@@ -131,12 +132,13 @@ def regression_metrics(df: DataFrame, actual: str, pred: str) -> DataFrame:
     e = F.col(pred) - F.col(actual)
     mean_y = d.agg(F.avg(actual).alias("_my"))
     x = d.crossJoin(F.broadcast(mean_y))
+    from . import stats
+    med = stats.quantile_row(d, {"ae": (F.abs(e), [0.5])}).select(F.col(stats.QCOL.format("ae"))[0].alias("median_ae"))
     return x.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        (1 - F.sum(e * e) / F.sum((F.col(actual) - F.col("_my")) ** 2)).alias("r2"),
-        F.percentile(F.abs(e), 0.5).alias("median_ae"))
+        (1 - F.sum(e * e) / F.sum((F.col(actual) - F.col("_my")) ** 2)).alias("r2")).crossJoin(med)
 
 
 def forecast_metrics(actual_vs_pred: DataFrame, key: str = "kpi") -> DataFrame:

@@ -52,10 +52,9 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
 
     1. values of every spec are stacked to (name, v) and counted per distinct
        value (partial aggregation; the shuffle carries distinct values);
-    2. the distinct values are range-partitioned on (name, v); a running count
-       inside each range partition plus the partition's offset (a table with
-       one row per partition and spec) gives every distinct value its
-       cumulative count — a distributed prefix sum;
+    2. a distributed prefix sum (``operators/prefix.py``: range partitions on
+       (name, v), local running counts plus per-partition offsets) gives every
+       distinct value its cumulative count;
     3. the values at the needed positions (pos = (n-1)·p, floor and ceil) are
        picked with a filter and interpolated exactly like ``percentile``:
        (hi - pos)·v[lo] + (pos - lo)·v[hi].
@@ -65,20 +64,12 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), specs[n][0].cast("double").alias("v")) for n in names])
     long = df.select(F.explode(pairs).alias("s")).select("s.name", "s.v").where(F.col("v").isNotNull())
     dv = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
-    rp = dv.repartitionByRange(parts, "name", "v").withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rp = rp.withColumn("_cl", F.sum("c").over(w))
-    per = rp.groupBy("name", "_pid").agg(F.sum("c").alias("_pc"))
-    wo = Window.partitionBy("name").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({"_off": F.coalesce(F.sum("_pc").over(wo), F.lit(0)),
-                           "_n": F.sum("_pc").over(Window.partitionBy("name"))})
-    cum = rp.join(F.broadcast(per.select("name", "_pid", "_off", "_n")), ["name", "_pid"]) \
-            .withColumn("_cum", F.col("_off") + F.col("_cl"))
+    from .prefix import running_sums
+    cum = running_sums(dv, ["v"], ["c"], key=["name"], prefix="_cum_").withColumnRenamed("_cum_c", "_cum")
     # wanted 0-based positions per (name, probability index)
     want_rows = [(n, i, float(p)) for n in names for i, p in enumerate(specs[n][1])]
     want = spark.createDataFrame(want_rows, "name string, k int, p double")
-    ns = per.select("name", "_n").distinct()
+    ns = dv.groupBy("name").agg(F.sum("c").alias("_n"))
     want = want.join(F.broadcast(ns), "name").withColumn("pos", (F.col("_n") - 1) * F.col("p")) \
                .withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
     pos = want.select("name", "k", F.col("lo").alias("at")).unionByName(want.select("name", "k", F.col("hi").alias("at")))
