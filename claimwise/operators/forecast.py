@@ -219,12 +219,14 @@ def _recommendations(x: DataFrame) -> Column:
 
 
 def explode_alerts(monthly: DataFrame) -> DataFrame:
-    """K9: one row per alert."""
+    """K9: one row per alert; J6 display order (period ascending, alert level
+    descending as text) over the ≤ 4 × horizon alert rows."""
     return monthly.select("period_label", "month", "risk_level", "is_surge_month",
                           F.explode("alerts").alias("a")) \
                   .select("period_label", "month", "risk_level", "is_surge_month",
                           F.col("a.level").alias("alert_level"), F.col("a.type").alias("alert_type"),
-                          F.col("a.message").alias("alert_message"))
+                          F.col("a.message").alias("alert_message")) \
+                  .orderBy(F.col("period_label").asc(), F.col("alert_level").desc(), F.col("alert_type").asc())
 
 
 def flatten_month(monthly: DataFrame) -> DataFrame:
