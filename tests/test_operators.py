@@ -144,3 +144,23 @@ def test_json_document_and_small_helpers(spark):
 def test_ensure_database(spark):
     assert SK.ensure_database(spark, "claimwise_test_db") is False
     assert SK.ensure_database(spark, "claimwise_test_db") is True
+
+
+def test_duration_regressor_tuning(spark):
+    """M9: cross-validated excess-duration model on log1p target; skipped
+    below the row floor."""
+    import random
+    from claimwise.models import training as TR
+    rnd = random.Random(5)
+    rows = []
+    for i in range(420):
+        sla = float(rnd.randint(5, 40))
+        excess = rnd.random() * 30 + 1
+        rows.append((f"c{i}", 1, sla + excess, sla, rnd.random() * 1e4, rnd.choice(["Vol", "Accident"])))
+    df = spark.createDataFrame(rows, "claim_id string, is_delayed int, duree_traitement_jours double, "
+                                     "sla_jours double, montant_indemnisation_claim double, type_sinistre_claim string")
+    assert TR.tune_duration_regressor(df.limit(100), "claim_id", ["claim_id"]) is None
+    model = TR.tune_duration_regressor(df, "claim_id", ["claim_id"], draws=2)
+    assert model is not None
+    d = TR.apply_caps(df, {"type_sinistre_claim": ["Vol", "Accident"]})
+    assert model.transform(d).count() == 420
