@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .minhash_dedup import op1_minhash_dedup
+from .mixing import op5_mix_sources
+from .mtree_search import OP10_SQL, op10_mtree_topk
+from .sentencepiece_bpe import op9_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_mtree_topk": op10_mtree_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op10_mtree_topk": OP10_SQL,
+}
