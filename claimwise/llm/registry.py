@@ -10,6 +10,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .minhash_dedup import op1_minhash_dedup
 from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
+from .quality import op7_quality_classifier
 from .sentencepiece_bpe import op9_sentencepiece
 from .substring_dedup import op6_substring_dedup
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mtree_topk": op10_mtree_topk,
 }
