@@ -11,11 +11,13 @@ from .minhash_dedup import op1_minhash_dedup
 from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
 from .quality import op7_quality_classifier
+from .secret_scan import op2_secret_scan
 from .sentencepiece_bpe import op9_sentencepiece
 from .substring_dedup import op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
