@@ -10,6 +10,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .minhash_dedup import op1_minhash_dedup
 from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
+from .pii_crf import op4_pii_crf
 from .quality import op7_quality_classifier
 from .secret_scan import op2_secret_scan
 from .sentencepiece_bpe import op9_sentencepiece
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii_crf": op4_pii_crf,
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
