@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .license_scan import op8_license_scan
 from .minhash_dedup import op1_minhash_dedup
 from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mtree_topk": op10_mtree_topk,
 }
