@@ -141,6 +141,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each group of equal texts."""
+    d = written(exact_duplicates(docs), "exact-decided")
+    per = d.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    per = written(per.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "stays"), "exact-gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col("_sha"))
+    out = docs.join(per.where("not stays"), same, "left_anti")
+    again = per.where("stays")
+    if again.limit(1).count():      # rows equal in doc_id and text
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 

@@ -224,5 +224,11 @@ def _residue_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> D
     return x.join(y, "e").where(bound).select(F.col("node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate group; null doc_ids stay."""
+    gone = written(near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "minhash-gone")
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

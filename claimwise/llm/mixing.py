@@ -167,5 +167,15 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
                                             (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, as often as it takes
+    them.  Rows that share doc_id and source take the largest of their counts."""
+    plan = mix_sources(docs, seed).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    plan = written(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")), "mix-copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = docs.join(plan, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no"))
+    return rows.select(*docs.columns)
+
+
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))

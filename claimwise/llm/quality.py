@@ -235,6 +235,18 @@ def score(docs: DataFrame, model: Ordinal | None, keep_at: float = KEEP_AT) -> D
     return docs.mapInArrow(run, "doc_id long, expected_grade double, p_clean double, kept boolean")
 
 
+def keep_clean(docs: DataFrame, model: Ordinal | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model keeps; one pass, no shuffle."""
+    by_value()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if model is None else model.table()
+        for b, data, off in chunks(batches):
+            yield b if model is None else b.filter(pa.array(model.grades(data, off, table)[2] >= keep_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
