@@ -271,7 +271,7 @@ def _detect(model: Crf | None):
                     label = model.viterbi(Crf.neighbours(shapes(data, starts, ends), bounds), bounds)
                     line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                     some = np.flatnonzero(label)
-                    cut = np.flatnonzero(np.concatenate([[True], (np.diff(some) > 1) | (np.diff(label[some]) != 0) | (np.diff(line[some]) != 0)]))
+                    cut = np.flatnonzero(np.concatenate([[len(some) > 0], (np.diff(some) > 1) | (np.diff(label[some]) != 0) | (np.diff(line[some]) != 0)]))
                     for i, j in zip(cut, np.append(cut[1:], len(some))):
                         doc = int(np.searchsorted(off, starts[some[i]], "right")) - 1
                         extra.setdefault(doc, []).append((int(starts[some[i]] - off[doc]), int(label[some[i]]) - 1, int(ends[some[j - 1]] - off[doc])))
