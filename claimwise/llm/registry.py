@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .license_scan import op8_license_scan
-from .minhash_dedup import op1_minhash_dedup
+from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
 from .pii_crf import op4_pii_crf
 from .quality import op7_quality_classifier
 from .secret_scan import op2_secret_scan
 from .sentencepiece_bpe import op9_sentencepiece
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -31,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op10_mtree_topk": OP10_SQL,
 }
