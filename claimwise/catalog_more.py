@@ -434,11 +434,15 @@ def trained(spark, sf_dir, kind: str):
     if kind == "delay":
         tr = TR.train_classifier(_closed(ml), "is_delayed", "claim_id", TR.DELAY_DROP, "auc")
     elif kind == "fraud":
-        tr = TR.train_classifier(ml, "est_frauduleux_claim", "claim_id", TR.FRAUD_DROP, "fraud", scale=True)
+        tr = TR.train_classifier(ml, "est_frauduleux_claim", "claim_id", TR.FRAUD_DROP, "fraud", scale=True,
+                                 cap=TR.CATEGORY_CAP)
     else:
         tr = TR.train_regressor(_cost_target(ml), "claim_id", TR.COST_DROP)
     path = f"{root}/models/{kind}"
-    TR.save_model(tr, path, {"kind": kind, "recommended_threshold": 0.5})
+    picked = {} if kind == "cost" else TR.picked_threshold(
+        tr, "is_delayed" if kind == "delay" else "est_frauduleux_claim",
+        amount="montant_indemnisation_claim" if kind == "fraud" else None)
+    TR.save_model(tr, path, {"kind": kind} | picked)
     tr.comparison.write.mode("overwrite").parquet(f"{path}/comparison")
     _TRAINED[key] = (tr, path)
     return _TRAINED[key]

@@ -293,6 +293,9 @@ COST_DROP_COLS = ["claim_id", "client_id", "contract_id", "vehicle_id", "date_si
                   "montant_indemnisation_claim", "claim_cost", "claim_gap_amount", "claim_gap_ratio",
                   "claim_severity_bucket", "is_delayed", "est_frauduleux_claim"]
 AMOUNT_COLUMNS = ["montant_indemnisation_claim", "montant_estime_dommage_claim"]
+# FIXED VALUES — candidate amount columns of the fraud run, first present wins
+FRAUD_AMOUNT_COLUMNS = ["montant_indemnisation_claim", "montant_indemnisation", "montant_estime_dommage_claim",
+                        "montant_estime", "montant_sinistre"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — upload header contracts per raw table (checked

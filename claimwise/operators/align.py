@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructType, TimestampNTZType, TimestampType
 
+from ..functions import dates as D
 from ..functions.text import to_snake_case
 
 
@@ -59,6 +60,10 @@ def validate_and_cast(new: DataFrame, target: StructType) -> DataFrame:
             if new.schema[f.name].dataType == f.dataType:
                 out.append(src.alias(f.name))
             else:
+                dates = (TimestampNTZType, TimestampType, DateType)
+                if isinstance(f.dataType, dates) and isinstance(new.schema[f.name].dataType, StringType):
+                    # day-first and ISO texts alike
+                    src = D.to_ts(f.name)
                 out.append(src.try_cast(f.dataType).alias(f.name))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))

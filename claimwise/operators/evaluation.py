@@ -97,12 +97,13 @@ def operating_points(scan: DataFrame) -> DataFrame:
 
 def quality_threshold(scan: DataFrame) -> DataFrame:
     """Score .45·precision + .40·accuracy + .15·recall over thresholds
-    with recall ≥ .20; first (lowest) threshold among equal scores."""
+    with recall ≥ .20; first (lowest) threshold among equal scores.  When no
+    threshold clears the floor: threshold 0.5 with null measures."""
     s = scan.where(F.col("recall") >= K.DELAY_SCAN_RECALL_FLOOR).withColumn(
         "score", 0.45 * F.col("precision") + 0.40 * F.col("accuracy") + 0.15 * F.col("recall"))
     best = s.agg(F.max_by(F.struct("threshold", "score", "precision", "recall", "accuracy"),
                           F.struct("score", -F.col("threshold"))).alias("b"))
-    return best.select("b.*")
+    return best.select(F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), "b.score", "b.precision", "b.recall", "b.accuracy")
 
 
 def roc_pr_auc(df: DataFrame, label: str, prob: str) -> DataFrame:
@@ -114,7 +115,7 @@ def roc_pr_auc(df: DataFrame, label: str, prob: str) -> DataFrame:
     g = df.where(F.col(label).isNotNull()).groupBy(F.col(prob).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
-    g = running_sums(g, ["s"], ["pos", "neg"]).crossJoin(F.broadcast(tot))
+    g = running_sums(g, "s", ["pos", "neg"]).crossJoin(F.broadcast(tot))
     g = g.withColumns({
         "neg_below": F.col("cum_neg") - F.col("neg"),
         "tp_at": F.col("P") - F.col("cum_pos") + F.col("pos"),

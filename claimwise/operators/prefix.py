@@ -1,12 +1,15 @@
 """Distributed running sums (prefix sums) over a global order.
 
 A global running sum written as ``sum(x).over(Window.orderBy(v))`` runs in
-one task.  Here the rows are range-partitioned on (key, order); each range
-partition computes its local running sum; a table with one row per
-(key, partition) gives every partition its offset; offset + local sum is the
-global running sum.  Equal order values always land in the same range
-partition, so ties are handled exactly.  Memory per task is bounded by the
-partition size, and the offset table by the partition count.
+one task.  Here every row gets a bucket that is a pure function of its value:
+the split values are taken from the rows with the smallest hashes of the value
+(a fixed number per key, the same rows whenever they are computed), and the
+bucket is the number of splits below the value.  Local running sums run inside
+(key, bucket); a table with one row per (key, bucket) gives every bucket its
+offset; offset + local sum is the global running sum.  Nothing rests on Spark
+reusing an exchange or sampling the same range bounds twice.  Equal values
+share a bucket, so ties are handled exactly; memory per task is bounded by the
+bucket size, the offset table by keys x buckets.
 """
 
 from __future__ import annotations
@@ -14,21 +17,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLE_PER_BUCKET = 16
 
-def running_sums(df: DataFrame, order: list[str], values: list[str], key: list[str] | None = None,
-                 partitions: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Adds ``<prefix><v>`` = Σ v over rows with (key equal and) order <= this
-    row's order position (inclusive, rows ordered by ``order``)."""
+
+def running_sums(df: DataFrame, order: str, values: list[str], key: list[str] | None = None,
+                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Adds ``<prefix><v>`` = sum of v over rows with (key equal and) order <=
+    this row's order position (inclusive, rows ordered by ``order``)."""
     key = key or []
-    spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
-    rp = df.repartitionByRange(n, *key, *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rp = rp.withColumns({f"_l_{v}": F.sum(v).over(w) for v in values})
-    per = rp.groupBy(*key, "_pid").agg(*[F.sum(v).alias(f"_p_{v}") for v in values])
-    wo = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*key, "_pid", *[F.coalesce(F.sum(f"_p_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
-                                     for v in values])
-    out = rp.join(F.broadcast(per), [*key, "_pid"])
+    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2)
+    k = n * SAMPLE_PER_BUCKET
+    by_hash = Window.partitionBy(*key).orderBy("_h", order)
+    sample = df.select(*key, order).where(F.col(order).isNotNull()).withColumn("_h", F.xxhash64(order))
+    if key:
+        sample = sample.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= k)
+    else:
+        sample = sample.orderBy("_h", order).limit(k)
+    picked = F.sort_array(F.collect_set(order))
+    every = F.greatest(F.lit(1), F.floor(F.size("_s") / n).cast("int"))
+    splits = sample.groupBy(*key).agg(picked.alias("_s")) \
+                   .select(*key, F.filter("_s", lambda x, i: (i + 1) % every == 0).alias("_splits"))
+    splits = splits.withColumnsRenamed({c: f"_k_{c}" for c in key})
+    if key:
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+        placed = df.join(splits, same, "left").drop(*[f"_k_{c}" for c in key])
+    else:
+        placed = df.crossJoin(F.broadcast(splits))          # one row
+    # nulls order first and get bucket 0
+    below = F.size(F.filter("_splits", lambda s: s < F.col(order)))
+    placed = placed.withColumn("_b", F.when(F.col(order).isNull() | F.col("_splits").isNull(), 0).otherwise(below)).drop("_splits")
+    w = Window.partitionBy(*key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({f"_l_{v}": F.sum(v).over(w) for v in values})
+    per = placed.groupBy(*key, "_b").agg(*[F.sum(v).alias(f"_p_{v}") for v in values])
+    wo = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_b").alias("_k_b"),
+                     *[F.coalesce(F.sum(f"_p_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
+    at = F.col("_b") == F.col("_k_b")
+    for c in key:
+        at = at & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = local.join(per, at)
     out = out.withColumns({f"{prefix}{v}": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values})
-    return out.drop("_pid", *[f"_l_{v}" for v in values], *[f"_o_{v}" for v in values])
+    return out.drop("_b", "_k_b", *[f"_k_{c}" for c in key], *[f"_l_{v}" for v in values], *[f"_o_{v}" for v in values])

@@ -1,17 +1,15 @@
 """Global-statistics operators (F1–F5): quantiles, winsorising, quantile bands.
 
-All quantiles a table needs are computed in ONE aggregate (one scan, map-side
-partial aggregation), giving a single row that is attached with a broadcast
-cross join — a one-row build side, so its size bound is proven.
-
-``method="exact"`` uses Spark's exact ``percentile`` (linear interpolation,
-equal to pandas ``quantile``); its buffers hold one entry per distinct value
-and the final merge runs in one task.  ``method="distributed"`` computes the
-same exact values with a range-partitioned prefix sum over distinct values
-(no single-task merge; see ``distributed_quantile_row``).  ``method="approx"``
-uses the mergeable ``percentile_approx`` sketch.  The method is set per call
-or for a whole job with the session conf ``claimwise.quantile.method`` (and
-``claimwise.quantile.accuracy``).
+All quantiles a table needs are computed together, giving a single row that is
+attached with a broadcast cross join — a one-row build side, so its size bound
+is proven.
+
+There is one path for every input size: exact quantiles (linear interpolation,
+equal to pandas ``quantile``) from counts per distinct value and a distributed
+prefix sum (see ``distributed_quantile_row``), so no task holds all distinct
+values.  ``method="approx"`` (per call, or for a whole job with the session conf
+``claimwise.quantile.method``) asks for the mergeable ``percentile_approx``
+sketch instead.
 """
 
 from __future__ import annotations
@@ -22,29 +20,13 @@ from pyspark.sql import functions as F
 QCOL = "__q_{}"
 
 
-DISTRIBUTED_ABOVE_BYTES = 4 << 30   # plan-estimated input size where "auto" leaves the one-task merge
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of the input (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: assume large
-        return 1 << 62
-
-
 def _method(df: DataFrame, method: str | None) -> tuple[str, int]:
-    """exact | distributed | approx | auto (default): auto picks exact
-    ``percentile`` for inputs estimated below
-    ``claimwise.quantile.distributedAboveBytes`` and the distributed exact
-    method above it."""
+    """exact (default) | approx."""
     spark = df.sparkSession
-    m = method or spark.conf.get("claimwise.quantile.method", "auto")
-    acc = int(spark.conf.get("claimwise.quantile.accuracy", "100000"))
-    if m == "auto":
-        limit = int(spark.conf.get("claimwise.quantile.distributedAboveBytes", str(DISTRIBUTED_ABOVE_BYTES)))
-        m = "distributed" if _estimated_bytes(df) > limit else "exact"
-    return m, acc
+    m = method or spark.conf.get("claimwise.quantile.method", "exact")
+    if m not in ("exact", "approx"):
+        raise ValueError(f"quantile method {m}: exact or approx")
+    return m, int(spark.conf.get("claimwise.quantile.accuracy", "100000"))
 
 
 def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[float]]]) -> DataFrame:
@@ -52,9 +34,9 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
 
     1. values of every spec are stacked to (name, v) and counted per distinct
        value (partial aggregation; the shuffle carries distinct values);
-    2. a distributed prefix sum (``operators/prefix.py``: range partitions on
-       (name, v), local running counts plus per-partition offsets) gives every
-       distinct value its cumulative count;
+    2. a distributed prefix sum (``operators/prefix.py``: buckets by value,
+       local running counts plus per-bucket offsets) gives every distinct
+       value its cumulative count;
     3. the values at the needed positions (pos = (n-1)·p, floor and ceil) are
        picked with a filter and interpolated exactly like ``percentile``:
        (hi - pos)·v[lo] + (pos - lo)·v[hi].
@@ -65,7 +47,7 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
     long = df.select(F.explode(pairs).alias("s")).select("s.name", "s.v").where(F.col("v").isNotNull())
     dv = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
     from .prefix import running_sums
-    cum = running_sums(dv, ["v"], ["c"], key=["name"], prefix="_cum_").withColumnRenamed("_cum_c", "_cum")
+    cum = running_sums(dv, "v", ["c"], key=["name"], prefix="_cum_").withColumnRenamed("_cum_c", "_cum")
     # wanted 0-based positions per (name, probability index)
     want_rows = [(n, i, float(p)) for n in names for i, p in enumerate(specs[n][1])]
     want = spark.createDataFrame(want_rows, "name string, k int, p double")
@@ -92,16 +74,12 @@ def quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[float]]],
 
     ``specs``: name -> (value expression, list of probabilities)."""
     m, acc = _method(df, method)
-    if m == "distributed":
+    if m == "exact":
         return distributed_quantile_row(df, specs)
     aggs = []
     for name, (expr, probs) in specs.items():
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        if m == "approx":
-            q = F.percentile_approx(expr.cast("double"), arr, acc).cast("array<double>")
-        else:
-            q = F.percentile(expr.cast("double"), arr)
-        aggs.append(q.alias(QCOL.format(name)))
+        aggs.append(F.percentile_approx(expr.cast("double"), arr, acc).cast("array<double>").alias(QCOL.format(name)))
     return df.agg(*aggs)
 
 

@@ -104,7 +104,9 @@ FRAUD_RECORD_COLS = ["claim_id", "client_id", "contract_id", "vehicle_id", "type
 def fraud_predictions(scored: DataFrame, threshold: float = FRAUD_THRESHOLD) -> DataFrame:
     """B6 (fraud variant): active claims, or every claim when none is active."""
     active = scoring.active_claims(scored)
-    amt = align.first_present(active, K.AMOUNT_COLUMNS)
+    if active.isEmpty():
+        active = scored
+    amt = align.first_present(active, K.FRAUD_AMOUNT_COLUMNS)
     p = scoring.fraud_tiers(active, threshold)
     return scoring.fraud_money(p, amt)
 

@@ -6,7 +6,7 @@ Correctness of every plan in this package does not depend on these settings
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,7 +23,7 @@ CLUSTER_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "claimwise", extra: dict | None = None) -> SparkSession:
     """Local/test session builder.  On a cluster, pass master=None and let
     spark-submit provide it."""
@@ -32,11 +32,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     conf = dict(CLUSTER_CONF)
     conf.update({
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     })
+    if shuffle_partitions:          # else Spark's own default (200), which AQE coalesces
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -49,10 +50,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; set one only where it is unset (tests)."""
+    ``spark.checkpoint.dir``; one of our own only in local mode with none set
+    (tests).  On a cluster an unset folder is an error: executors would each
+    write to their own disk."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = os.path.join("/tmp", "claimwise-ckpt-" + uuid.uuid4().hex[:8])
+        if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="claimwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

@@ -51,7 +51,10 @@ def load_table(df: DataFrame, path: str, mode: str = "replace", pk: list[str] |
     write_mode = "overwrite"
     if mode == "append" and _fs_exists(spark, path):
         existing = spark.read.parquet(path).columns
-        write_mode = "append" if existing == out.columns else "overwrite"
+        if {c.lower() for c in existing} == {c.lower() for c in out.columns}:   # same columns in any order
+            write_mode = "append"
+            by_lower = {c.lower(): c for c in out.columns}
+            out = out.select(*[F.col(f"`{by_lower[c.lower()]}`").alias(c) for c in existing])
     out.write.mode(write_mode).parquet(path)
     return {"written": True, "mode": write_mode}
 
@@ -136,10 +139,10 @@ def ensure_database(spark: SparkSession, name: str) -> bool:
 
 
 def json_document(summary: DataFrame, rows: DataFrame, rows_name: str, order_col: str,
-                  top: int = 20) -> DataFrame:
+                  top: int) -> DataFrame:
     """One JSON document = summary struct + the top ``top`` rows by
-    ``order_col`` (the dashboard payload is a top-k list, so the array that is
-    gathered into one row has a fixed bound)."""
+    ``order_col``; how many is the document's own contract, so the caller
+    states it (and thereby bounds the array gathered into one row)."""
     rows = rows.orderBy(order_col).limit(top)
     arr = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_k"), F.struct(*rows.columns).alias("r"))))
                    .alias("_a")).select(F.transform("_a", lambda s: s["r"]).alias(rows_name))

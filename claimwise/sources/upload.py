@@ -1,7 +1,8 @@
 """Upload file ingestion (A3–A7, A9): dual-delimiter, quote-aware CSV.
 
-A line splits on ',' or ';' outside double quotes; "" inside quotes is a
-literal quote; every field is trimmed; blank lines are skipped.  The header
+A line splits on ',' or ';' outside double quotes; a quote opens a quoted run
+anywhere in a field, "" inside a run is a literal quote, an unclosed run goes to
+the line's end; every field is trimmed; blank lines are skipped.  The header
 must contain every contract column (case-insensitive); any data row whose
 field count differs from the header rejects the whole file, reporting its
 line number; contract columns are mapped by name (extras ignored) and empty
@@ -21,33 +22,34 @@ from pyspark.sql import functions as F
 
 from ..operators import align
 
-SEP_OUTSIDE_QUOTES = r'[,;](?=(?:[^"]*"[^"]*")*[^"]*$)'
-_PLACEHOLDER = "\u0001"
+# a quoted run: a doubled quote inside is one quote; an unclosed run goes to the line's end
+_RUN = r'"(?:[^"]++|"")*+(?:"|\z)'
+# with a delimiter put before the line, every field follows one
+_FIELD = rf'[,;]((?:{_RUN}|[^",;]++)*+)'
+_PART = rf'{_RUN}|[^"]++'
+_INNER = r'^"((?:[^"]++|"")*+)'
 
 
 def _unquote(f: Column) -> Column:
-    """Quoted-section removal: "" inside quotes -> ", other quotes dropped,
-    then trimmed; an empty quoted field "" is the empty string."""
-    t = F.regexp_replace(f, r"^\s+|\s+$", "")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, '""', _PLACEHOLDER), '"', ""), _PLACEHOLDER, '"')
-    return F.when(t == '""', F.lit("")).otherwise(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    """Quoted runs without their quotes, doubled ones as one; then trimmed."""
+    parts = F.regexp_extract_all(f, F.lit(f"({_PART})"), F.lit(1))
+    plain = F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), F.replace(F.regexp_extract(p, _INNER, 1), F.lit('""'), F.lit('"')))
+                        .otherwise(p))
+    return F.regexp_replace(F.concat_ws("", plain), r"^\s+|\s+$", "")
 
 
 def split_fields(line: Column) -> Column:
-    """array<string> of the parsed fields of one line."""
-    return F.transform(F.split(line, SEP_OUTSIDE_QUOTES, -1), _unquote)
+    """array<string> of the parsed fields of one line (one pass over the line)."""
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)), _unquote)
 
 
 def parse_line_py(line: str) -> list[str]:
     """Plan-time twin used for the single header line."""
-    parts = re.split(SEP_OUTSIDE_QUOTES, line)
+    run = _RUN.replace(r"\z", r"\Z")
     out = []
-    for p in parts:
-        t = p.strip()
-        if t == '""':
-            out.append("")
-            continue
-        out.append(t.replace('""', _PLACEHOLDER).replace('"', "").replace(_PLACEHOLDER, '"').strip())
+    for raw in re.findall(_FIELD.replace(r"\z", r"\Z"), "," + line):
+        parts = re.findall(f"{run}|[^\"]++", raw)
+        out.append("".join(re.match(_INNER, p)[1].replace('""', '"') if p.startswith('"') else p for p in parts).strip())
     return out
 
 

@@ -71,6 +71,47 @@ def test_upload_parser_rejects_bad_arity_and_missing_header(spark):
     assert not res.ok and res.missing == ["C"]
 
 
+def test_upload_line_parsing(spark):
+    cases = {'""""': ['"'], 'ab""cd': ["abcd"], 'a,"b,c': ["a", "b,c"], '"a;b";c': ["a;b", "c"], "": [""], ",": ["", ""], ' x ," y "': ["x", "y"],
+             '"a""b",c': ['a"b', "c"], '""x"y,z': ["xy,z"], 'a;;b,': ["a", "", "b", ""]}
+    df = spark.createDataFrame([(k,) for k in cases], "line string").select("line", UP.split_fields(F.col("line")).alias("f"))
+    assert {r["line"]: r["f"] for r in df.collect()} == cases
+    assert {k: UP.parse_line_py(k) for k in cases} == cases
+
+
+def test_validate_and_cast_reads_day_first_dates(spark):
+    from claimwise.operators import align
+    from pyspark.sql.types import StructType
+    new = spark.createDataFrame([("05/03/2024", "7"), ("2024-03-05", "x"), ("soon", None)], "d string, n string")
+    target = StructType.fromDDL("d date, n int, extra string")
+    got = align.validate_and_cast(new, target).collect()
+    assert [(str(r["d"]), r["n"], r["extra"]) for r in got] == [("2024-03-05", 7, None), ("2024-03-05", None, None), ("None", None, None)]
+
+
+def test_feature_names_and_caps(spark):
+    """The one decisive category is named, also when every category stays."""
+    from claimwise.models import training as TR
+    rows = [(i, f"c{i % 30}", "b" if i % 4 == 0 else "a", float(i % 7), 1.0 if i % 4 == 0 else 0.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "claim_id int, city string, lo string, x double, y double")
+    for cap, scale in ((None, False), (TR.CATEGORY_CAP, True)):
+        tr = TR.train_classifier(df, "y", "claim_id", ["claim_id"], scale=scale, cap=cap)
+        top = TR.feature_importances(tr, 1).first()
+        assert top["feature"] in ("lo=b", "lo=a") and top["importance"] > 0.3
+        cities = [n for n in tr.names if n.startswith("city=")]
+        assert len([n for n in cities if n != "city=" + TR.OTHER]) >= (30 if cap is None else 11)
+        got = TR.picked_threshold(tr, "y", amount="x")["results"][tr.best_name]["optimized_threshold"]
+        assert 0.1 <= got["operating_points"]["precision_first"]["threshold"] <= 0.9
+    meta = spark.createDataFrame([('{"best_model": "gbt", "results": {"gbt": {"optimized_threshold": {"operating_points": '
+                                   '{"precision_first": {"threshold": 0.7}}, "recommended_threshold": 0.4}}}}',)], "metadata string")
+    assert TR.resolve_threshold(meta, 0.5).first()[0] == 0.7
+
+
+def test_quality_threshold_falls_back(spark):
+    from claimwise.operators import evaluation as EV
+    scan = EV.confusion_scan(spark.createDataFrame([(1, 0.1), (0, 0.2)], "y int, p double"), "y", "p", [0.5, 0.7])
+    assert EV.quality_threshold(scan).first()["threshold"] == 0.5
+
+
 def test_load_table_modes_and_pk(spark):
     root = tempfile.mkdtemp(prefix="load-")
     path = os.path.join(root, "t")
@@ -79,6 +120,7 @@ def test_load_table_modes_and_pk(spark):
     assert spark.read.parquet(path).where(F.col("v").isNull()).count() == 1       # A13
     assert SK.load_table(df, path, "append")["mode"] == "append"
     assert spark.read.parquet(path).count() == 4
+    assert SK.load_table(df.select(*reversed(df.columns)), path, "append")["mode"] == "append"    # another order of columns
     other = spark.createDataFrame([(3,)], "id long")
     assert SK.load_table(other, path, "append")["mode"] == "overwrite"             # schema change recreates
     with pytest.raises(ValueError):
@@ -122,9 +164,38 @@ def test_distributed_quantiles_equal_percentile(spark):
     df = spark.createDataFrame(rows, "a double, b double")
     specs = {"a": (F.col("a"), [0.01, 0.5, 0.99]), "b": (F.col("b"), [0.2, 0.4, 0.6, 0.8]),
              "none": (F.col("b") * F.lit(None).cast("double"), [0.5])}
-    exact = stats.quantile_row(df, specs, "exact").first().asDict()
-    dist = stats.quantile_row(df, specs, "distributed").first().asDict()
-    assert exact == dist
+    plain = df.agg(*[F.percentile(c.cast("double"), F.array(*[F.lit(p) for p in ps])).alias(stats.QCOL.format(n))
+                     for n, (c, ps) in specs.items()]).first().asDict()
+    assert plain == stats.quantile_row(df, specs).first().asDict()
+
+
+def test_running_sums_do_not_rest_on_exchange_reuse(spark):
+    from claimwise.operators.prefix import running_sums
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.lit(1).alias("c"), F.concat(F.lit("p"), "id").alias("payload"),
+                               (F.col("id") % 3).alias("k"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        bad = running_sums(df, "v", ["c"]).where("cum_c != v + 1")
+        assert bad.count() == 0
+        keyed = running_sums(df, "v", ["c"], key=["k"])
+        top = keyed.groupBy("k").agg(F.max("cum_c").alias("m"), F.count_distinct("cum_c").alias("d"), F.count(F.lit(1)).alias("n"))
+        assert all(r["m"] == r["d"] == r["n"] for r in top.collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_running_sums_with_ties_nulls_and_a_hot_value(spark):
+    from claimwise.operators.prefix import running_sums
+    rows = [(None, 2)] + [(5, 1)] * 50 + [(i % 40, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "v int, c int")
+    grouped = df.groupBy("v").agg(F.sum("c").alias("c"))
+    got = {r["v"]: r["cum_c"] for r in running_sums(grouped, "v", ["c"]).collect()}
+    total = 0
+    for v in [None, *range(40)]:
+        total += sum(c for x, c in rows if x == v)
+        assert got[v] == total
+    assert running_sums(grouped.where("false"), "v", ["c"]).count() == 0
 
 
 def test_json_document_and_small_helpers(spark):
@@ -132,7 +203,7 @@ def test_json_document_and_small_helpers(spark):
     from claimwise.operators import stats
     summary = spark.createDataFrame([(3, 1.5)], "n long, total double")
     rows = spark.createDataFrame([("b", 2), ("a", 1)], "claim_id string, rank int")
-    doc = json.loads(SK.json_document(summary, rows, "top", "rank").first()[0])
+    doc = json.loads(SK.json_document(summary, rows, "top", "rank", 20).first()[0])
     assert doc["summary"] == {"n": 3, "total": 1.5} and [r["claim_id"] for r in doc["top"]] == ["a", "b"]
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
     assert sorted(r.v for r in stats.median_fill(df, ["v"], "exact").collect()) == [1.0, 3.0, 3.0, 10.0]

@@ -7,11 +7,11 @@ import __spark_entry__ as E
 from tests import harness as H
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# the llm queries and the pipeline are tested in tests/llm
+QUERIES = {k: v for k, v in E.queries().items() if not (k.startswith("op") or k == "pipeline")}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 PY_OK = {"s3_streaming_login_monitor", "m20_m21_series_model_selection", "m20_k5_forecast_with_fitted_models"}
-SLOW = {"m1_m6_m22_delay_model_comparison", "m7_fraud_model_comparison", "m8_cost_model_comparison",
-        "m17_fraud_feature_importances", "m18_m19_m23_fraud_scoring_active_claims"}
+MAY_BE_EMPTY = {"g15_s2_changed_tables"}          # a table against its own snapshot
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +37,13 @@ def test_query_matches_oracle(spark, duck, name):
     assert r["hash_match"], H.diff_rows(sdf, ddf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() >= 0
+    df = QUERIES[name](spark, SF_SMALL)
+    assert df.count() > 0 or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n not in PY_OK)[:40])
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n not in PY_OK))
 def test_no_python_udf_in_plan(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
