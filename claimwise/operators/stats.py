@@ -14,9 +14,13 @@ sketch instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 QCOL = "__q_{}"
 
 
@@ -45,27 +49,32 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
     names = list(specs)
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), specs[n][0].cast("double").alias("v")) for n in names])
     long = df.select(F.explode(pairs).alias("s")).select("s.name", "s.v").where(F.col("v").isNotNull())
+    # written once: the input is scanned a single time, and all later steps see the same counts
     dv = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    path = scratch_path(spark, "quantile-counts")
+    dv.write.parquet(path)
+    dv = spark.read.schema(dv.schema).parquet(path)
     from .prefix import running_sums
     cum = running_sums(dv, "v", ["c"], key=["name"], prefix="_cum_").withColumnRenamed("_cum_c", "_cum")
-    # wanted 0-based positions per (name, probability index)
-    want_rows = [(n, i, float(p)) for n in names for i, p in enumerate(specs[n][1])]
-    want = spark.createDataFrame(want_rows, "name string, k int, p double")
-    ns = dv.groupBy("name").agg(F.sum("c").alias("_n"))
-    want = want.join(F.broadcast(ns), "name").withColumn("pos", (F.col("_n") - 1) * F.col("p")) \
-               .withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
-    pos = want.select("name", "k", F.col("lo").alias("at")).unionByName(want.select("name", "k", F.col("hi").alias("at")))
-    # the distinct value covering 0-based position `at`: cum - c <= at < cum
-    hit = cum.join(F.broadcast(pos), "name").where((F.col("_cum") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("_cum")))
-    got = hit.select("name", "k", "at", "v")
-    res = want.join(got.withColumnRenamed("at", "lo").withColumnRenamed("v", "vlo"), ["name", "k", "lo"], "left") \
-              .join(got.withColumnRenamed("at", "hi").withColumnRenamed("v", "vhi"), ["name", "k", "hi"], "left")
-    interp = F.when((F.col("lo") == F.col("hi")) | (F.col("vlo") == F.col("vhi")), F.col("vlo")).otherwise(
-        (F.col("hi") - F.col("pos")) * F.col("vlo") + (F.col("pos") - F.col("lo")) * F.col("vhi"))
-    res = res.select("name", "k", interp.alias("q"))
-    arrs = res.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("qs"))
-    one = arrs.agg(*[F.max(F.when(F.col("name") == n, F.col("qs"))).alias(QCOL.format(n)) for n in names])
-    return one
+    # a few rows from here on: one total per name, two positions per probability
+    totals = {r["name"]: r["n"] for r in dv.groupBy("name").agg(F.sum("c").alias("n")).collect()}
+    want = {(n, i): (totals[n] - 1) * float(p) for n in names if n in totals for i, p in enumerate(specs[n][1])}
+    at = sorted({(n, int(f(pos))) for (n, _), pos in want.items() for f in (math.floor, math.ceil)})
+    got = {}
+    if at:
+        places = spark.createDataFrame(at, "name string, at long")
+        # the distinct value covering 0-based position `at`: cum - c <= at < cum
+        hit = cum.join(F.broadcast(places), "name").where((F.col("_cum") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("_cum")))
+        got = {(r["name"], r["at"]): r["v"] for r in hit.select("name", "at", "v").collect()}
+
+    def value(n: str, i: int) -> float:
+        pos = want[n, i]
+        lo, hi = math.floor(pos), math.ceil(pos)
+        x, y = got[n, lo], got[n, hi]
+        return x if lo == hi or x == y else (hi - pos) * x + (pos - lo) * y
+
+    row = tuple([value(n, i) for i in range(len(specs[n][1]))] if n in totals else None for n in names)
+    return spark.createDataFrame([row], ", ".join(f"`{QCOL.format(n)}` array<double>" for n in names))
 
 
 def quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[float]]],

@@ -331,7 +331,7 @@ S["a19_table_stats"] = f"""SELECT statut_sinistre_claim, count(*) AS status_coun
 GROUP BY statut_sinistre_claim"""
 S["a20_delete_by_pattern"] = """SELECT statut_sinistre_claim, count(*) AS n FROM clean_claims
 WHERE NOT claim_id LIKE 'CLM-1%' OR claim_id IS NULL GROUP BY statut_sinistre_claim"""
-S["b3_validate_and_cast"] = """SELECT contract_id, client_id, TRY_CAST(date_debut_contrat AS TIMESTAMP) AS date_debut_contrat,
+S["b3_validate_and_cast"] = """SELECT contract_id, client_id, coalesce(try_strptime(date_debut_contrat, '%d/%m/%Y'), TRY_CAST(date_debut_contrat AS TIMESTAMP)) AS date_debut_contrat,
   CAST(date_fin_contrat AS TIMESTAMP) AS date_fin_contrat, type_couverture,
   CAST(prime_assurance_annuelle AS DOUBLE) AS prime_assurance_annuelle,
   CAST(nb_sinistres_precedents AS DOUBLE) AS nb_sinistres_precedents,

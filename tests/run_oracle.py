@@ -17,7 +17,7 @@ from tests import harness as H  # noqa: E402
 def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=16)
     qs, oq = E.queries(), E.oracle_sql()
     names = args or sorted(qs)
     con = H.duck(sf)
