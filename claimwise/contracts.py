@@ -210,7 +210,7 @@ FRAUD_BALANCED_MIN_PRECISION = 0.20
 DELAY_SCAN_RECALL_FLOOR = 0.20
 
 # ---------------------------------------------------------------------------
-# Id aliases and whitelists
+# FIXED VALUES — id aliases, whitelists and drop lists
 # ---------------------------------------------------------------------------
 CLAIM_ID_ALIASES = ["claim_id", "claimid", "id_claim", "sinistre_id"]
 CONTRACT_ID_ALIASES = ["contract_id", "contractid", "id_contract", "contrat_id"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 # expression macros (DuckDB dialect)
 # ---------------------------------------------------------------------------
 
+# FIXED VALUES — the token lists of the contract, restated in SQL
 MISSING = ("'', 'nan', 'none', 'null', 'n/a', 'na', 'non renseigne', 'non renseigné', "
            "'non renseignee', 'non renseignée', '-', '--', '?', 'inconnu', 'inconnue'")
 TRUE_T = "'1', 'true', 'vrai', 'yes', 'oui', 'y', 't'"
