@@ -205,10 +205,15 @@ def candidate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             kept = np.frombuffer(b"".join(anchors[d].as_py()), np.uint64)
             w = t.first[d] + np.flatnonzero(np.isin(t.anchors[t.first[d]:t.last[d]], kept))
             at.append(w)
-            who.append(np.full(len(w), ids[d], np.int64))
+            who.append(np.full(len(w), d))
+        who = np.concatenate(who)
         h1, h2 = t.windows(np.concatenate(at))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                                         names=["doc_id", "h1", "h2"])
+        order = np.lexsort((h2, h1, who))            # a window that repeats inside its document goes once
+        who, h1, h2 = who[order], h1[order], h2[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[who[new]]), pa.array(h1[new].view(np.int64)),
+                                          pa.array(h2[new].view(np.int64))], names=["doc_id", "h1", "h2"])
 
 
 def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,3 +275,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (h) WHERE doc_id > m),
+stays AS (
+  SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p)),
+txt AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM stays GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN txt USING (doc_id)
+"""
