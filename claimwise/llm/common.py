@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # text handled at once inside a task (or one longer document)
 
@@ -50,6 +51,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 250_000     # rows of a few numbers that are broadcast at most (some 20 MB)
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast join when its counted rows are
+    few; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, flat, golomb, read, shuffle_partitions, ungolomb, written
+from .common import by_value, flat, golomb, if_small, read, shuffle_partitions, ungolomb, written
 
 BLOCK_ROWS = 1 << 18     # rows of a block at most
 OWNER_ROWS = 1 << 20     # fingerprints of an owner on average, at most
@@ -128,8 +128,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
                        .select("rid", "doc_id", "sha")
     suspects = written(suspects, "exact-suspects")
 
-    ids = suspects.select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    ids = written(suspects.select(F.col("doc_id").alias("id")).distinct(), "exact-ids")
+    texts = docs.join(if_small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     bytes_ = texts.groupBy(F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.count(F.lit(1)).alias("copies"))
     same = bytes_.groupBy("sha").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("sha")
     groups = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("size")) \
@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     per = d.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
     per = written(per.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "stays"), "exact-gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col("_sha"))
-    out = docs.join(per.where("not stays"), same, "left_anti")
+    out = docs.join(if_small(per.where("not stays")), same, "left_anti")
     again = per.where("stays")
     if again.limit(1).count():      # rows equal in doc_id and text
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -14,7 +14,7 @@ full shingle sets and union-find.
 * Verification without all pairs: in every bucket the smallest member (the
   hub) is checked against the others and links are joined by union-find, which
   settles copies and most near copies.  Buckets that still hold several
-  components (documents around one common passage, say) go on to an exact
+  components get some more hubs, picked by hash.  What then still does (documents around one common passage, say) goes on to an exact
   residue: shingles of their members are ordered by frequency, a pair can only
   reach the similarity if it shares one of the rarest quarter of both, and the
   places of the first shared one bound the overlap.  Only pairs of different
@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (GOLD, by_value, chunks, flat, mix, read, windows, word_hashes, word_spans, written)
+from .common import (GOLD, by_value, chunks, flat, if_small, mix, read, windows, word_hashes, word_spans, written)
 from .components import components
 
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
+MORE_HUBS = 6     # hubs by hash in buckets of several components
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -168,11 +169,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .where("x != y").select("doc_id")
     found = written(named.join(several, "doc_id").join(classes, ["fp1", "fp2"])
                     .select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "minhash-links")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi"), "minhash-texts")
+    wanted = written(members.select(F.col("node").alias("doc_id")).distinct(), "minhash-wanted")
+    texts = written(docs.join(if_small(wanted), "doc_id", "left_semi"), "minhash-texts")
 
     found = written(found.unionByName(links(_hub_pairs(members), texts)), "minhash-links")
     labels = components(found, "minhash")
+    second = written(links(_more_hub_pairs(members, labels), texts), "minhash-links")
+    if second.limit(1).count():
+        found = found.unionByName(second)
+        labels = components(found, "minhash")
     more = written(links(_residue_pairs(members, labels, texts), texts), "minhash-links")
     if more.limit(1).count():
         labels = components(found.unionByName(more), "minhash")
@@ -194,6 +199,22 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return members.join(hub, "bucket").where(near).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components, with these."""
+    now = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    return now.join(mixed.select("bucket"), "bucket")
+
+
+def _more_hub_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """In buckets of several components, some members by hash with those of other components."""
+    now = written(_labelled(members, labels), "minhash-mixed")
+    hub = now.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "comp")).alias(f"h{i}") for i in range(MORE_HUBS)])
+    each = now.join(hub, "bucket").select("node", "n", "comp", F.explode(F.array(*[f"h{i}" for i in range(MORE_HUBS)])).alias("hub"))
+    near = each.where("comp != hub.comp and 100 * least(n, hub.n) >= 75 * greatest(n, hub.n)")
+    return near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
 def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of a node, a row each."""
     for b, data, off in chunks(batches):
@@ -207,9 +228,7 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _residue_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different components in the buckets that hold several, by the
     prefix and position bounds of an overlap of 3/7 of both sizes."""
-    now = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    live = written(now.join(mixed.select("bucket"), "bucket").select("node", "comp").distinct(), "minhash-live")
+    live = written(_labelled(members, labels).select("node", "comp").distinct(), "minhash-live")
     rows = written(texts.join(live.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
                    .mapInArrow(elements, "e long, node long, n long").distinct(), "minhash-elements")
     often = rows.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -227,7 +246,7 @@ def _residue_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> D
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group; null doc_ids stay."""
     gone = written(near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "minhash-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -32,8 +32,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_value, chunks, read, word_spans, written
+from .common import by_value, chunks, if_small, read, word_spans, written
 
 MOST_PASSES = 3
 KNAPSACK_WORDS = 1 << 16   # budget that the knapsack handles; larger budgets are first filled in proportion
@@ -132,12 +133,10 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(passes=passes, picks=n)[["source", "size", "docs", "source_size", "target", "passes", "picks"]]
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row
-    of ``docs`` (doc_id, source, text); copies is how often the mix holds it."""
-    by_value()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.col("text").cast("string").alias("text"))
+def _decided(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, source, size, source_size, target, copies), and the
+    rules that give it: per (source, size) the whole passes and the last
+    (u, doc_id) that is picked."""
     d = written(docs.mapInArrow(sizes, "doc_id long, source string, size long"), "mix-sizes")
     hist = d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"))
     per = written(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))), "mix-targets")
@@ -147,9 +146,10 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plan = written(plan, "mix-plan").withColumnsRenamed({"source": "s", "size": "z"})
 
     d = d.withColumn("u", F.xxhash64(F.lit(seed), "doc_id"))
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    d = d.join(if_small(plan), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     deep = F.greatest(F.lit(0), F.floor(F.log2(F.col("docs") / 512)).cast("int"))
-    d = d.withColumn("deep", deep).withColumn("part", F.expr("CASE WHEN deep = 0 THEN 0L ELSE shiftrightunsigned(u, 64 - deep) END"))
+    # ranges of u in its own (signed) order
+    d = d.withColumn("deep", deep).withColumn("part", F.expr("CASE WHEN deep = 0 THEN 0L ELSE shiftright(u, 64 - deep) END"))
     some = (F.col("picks") > 0) & (F.col("picks") < F.col("docs"))
     key = ["source", "size", "part"]
     per_part = d.where(some).groupBy(*key, "picks").agg(F.count(F.lit(1)).alias("inside"))
@@ -158,23 +158,55 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
                        .where("need > 0").select(*[F.col(c).alias("k_" + c) for c in key], "need", "inside")
     at = F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("part") == F.col("k_part"))
     d = written(d.join(per_part, at & some, "left").drop("k_source", "k_size", "k_part"), "mix-parts")
-    cut = F.col("need").isNotNull() & (F.col("need") < F.col("inside"))
+    cut = F.col("need").isNotNull() & (F.col("need") <= F.col("inside"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("u", "doc_id"))
-    ranked = d.where(cut).withColumn("more", (rank <= F.col("need")).cast("int"))
+    ranked = d.where(cut).withColumn("rank", rank)
     clear = d.where(~cut).withColumn("more", ((F.col("picks") > 0) & (~some | F.col("need").isNotNull())).cast("int"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0)
-    return ranked.unionByName(clear).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                                            (copies * F.col("size")).cast("long").alias("taken"))
+    rows = ranked.withColumn("more", (F.col("rank") <= F.col("need")).cast("int")).drop("rank").unionByName(clear)
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    last = ranked.where("rank = need").select(F.col("source").alias("l_s"), F.col("size").alias("l_z"), F.col("u").alias("last_u"), F.col("doc_id").alias("last_id"))
+    rules = plan.join(last, F.col("s").eqNullSafe(F.col("l_s")) & (F.col("z") == F.col("l_z")), "left") \
+                .select("s", "z", "docs", "passes", "picks", "last_u", "last_id")
+    return rows, rules
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                       F.col("text").cast("string").alias("text"))
+
+
+def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row
+    of ``docs`` (doc_id, source, text); copies is how often the mix holds it."""
+    by_value()
+    rows, _ = _decided(_inputs(docs), seed)
+    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, as often as it takes
-    them.  Rows that share doc_id and source take the largest of their counts."""
-    plan = mix_sources(docs, seed).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    plan = written(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")), "mix-copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = docs.join(plan, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no"))
-    return rows.select(*docs.columns)
+    them.  The rules (a row per source and size) go to the documents, so texts
+    are not shuffled while that table is small.  Rows equal in doc_id, source
+    and size at the last picked place are all picked."""
+    by_value()
+    _, rules = _decided(_inputs(docs), seed)
+    rules = written(rules.where("z > 0 and (passes > 0 or picks > 0)"), "mix-rules")
+    columns = docs.columns
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in chunks(batches):
+            _, _, bounds = word_spans(data, off)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(bounds))], names=[*columns, "_size"])
+
+    rows = docs.mapInArrow(sized, StructType([*docs.schema.fields, StructField("_size", LongType())]))
+    rows = rows.join(if_small(rules), F.col("source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")))
+    u, i, none = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.col("doc_id").cast("long"), F.lit(-1 << 63)
+    before = (u < F.col("last_u")) | ((u == F.col("last_u")) & (F.coalesce(i, none) <= F.coalesce("last_id", none)))
+    more = (F.col("picks") > 0) & ((F.col("picks") == F.col("docs")) | before)
+    copies = F.col("passes") + F.coalesce(more, F.lit(False)).cast("int")
+    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    return rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no")).select(*columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
