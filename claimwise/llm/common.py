@@ -23,9 +23,17 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20  # text handled at once inside a task (or one longer document)
 
 
+BATCH_ROWS = 1000        # rows that a Python task gets at once
+
+
 def by_value() -> None:
-    """Ship this package's functions with the tasks, so that executors need no copy of it."""
+    """Ship this package's functions with the tasks, so that executors need no
+    copy of it, and keep their batches of whole texts small where the session
+    has Spark's own setting."""
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
