@@ -9,11 +9,11 @@ The CRF labels every word O, EMAIL, IP, CARD or PHONE.  A word's shape is a
 number from its byte classes (digits, upper case, '@', '.', '-', '+', other
 signs, length steps); features are the shapes of the word and of its two
 neighbours, so emissions are three table look-ups.  It is trained by gradient steps
-(Adam on forward-backward expectations, numpy) on a small labelled table: lines
-of at most ``TRAIN_DOCS`` documents of the given table, those with the smallest
+(Adam on forward-backward expectations, numpy) on a small labelled table: all
+lines with a digit or '@' of at most ``TRAIN_DOCS`` documents of the given table, those with the smallest
 seeded hash of doc_id among those with and without matches, labelled by the
-base spans that cover their words, plus
-the same lines with separators of numbers changed, so that shapes which the
+base spans that cover their words (O where none does), plus
+the lines with matches with separators of numbers changed, so that shapes which the
 patterns don't know are seen too.  Only the fit is bounded.
 
 Decoding reads every document whole: words are cut into lines, and Viterbi runs
@@ -48,6 +48,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CAN = (r"@[A-Za-z0-9-]+\.", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){13}", r"\+[0-9][\x20().0-9-]+[0-9]")
 
+DECODED = re.compile("[0-9@]")
 TRAIN_DOCS = 2000          # documents of the labelled table, at most
 LONGEST = 20_000           # and their length
 STEPS, RATE, RIDGE = 120, 0.3, 1e-4
@@ -212,9 +213,9 @@ def train(texts: list[str]) -> Crf | None:
     data, label, at, lines = [], [], 0, [0]
     for text in texts:
         for line in text.split("\n"):
-            spans = base_spans(line)
-            if not spans and len(lines) % 4:          # one plain line in four is enough
+            if not DECODED.search(line):              # such lines are passed over when decoding, too
                 continue
+            spans = base_spans(line)
             variants = [line]
             if spans:
                 variants.append("".join(_changed(line[a:b], k) if inside else line[a:b] for a, b, k, inside in _pieces(line, spans)))

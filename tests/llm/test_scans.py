@@ -114,6 +114,16 @@ def test_crf_finds_held_out_spans_and_viterbi_is_best():
     assert tuple(small.viterbi(near, np.array([0, 4])).tolist()) == best
 
 
+def test_crf_learns_from_lines_with_digits_and_no_personal_data(spark):
+    rng = random.Random(3)
+    kinds = [lambda: f"{rng.randint(1900, 2020)}-{rng.randint(1900, 2020)}", lambda: str(rng.randint(1900, 2030)), lambda: f"({rng.randint(100, 999)})",
+             lambda: f"{rng.randrange(1 << 28, 1 << 32):x}", lambda: f"{rng.randint(1, 99)}."]
+    plain = [(1000 + i, f"{cases.words(rng, 5)} {kinds[i % 5]()} {cases.words(rng, 5)}") for i in range(600)]
+    model = pii_crf.fit(spark.createDataFrame(pii_rows() + plain[:300], "doc_id long, text string"))
+    held_out = spark.createDataFrame(plain[300:], "doc_id long, text string")
+    assert pii_crf.personal_data(held_out, model).where("n_crf > 0").count() == 0
+
+
 def test_licences(spark):
     docs = cases.documents(spark)
     model = license_scan.fit(docs)
