@@ -18,8 +18,9 @@ patterns don't know are seen too.  Only the fit is bounded.
 
 Decoding reads every document whole: words are cut into lines, and Viterbi runs
 for all lines of a batch at once, one step a word.  Lines without any digit or
-'@' can only be O and are passed over.  A run of words with one label that no
-base span of that kind touches adds a span of kind ``crf_<kind>``.
+'@' can only be O and are passed over.  Words that a base span of their label's
+kind touches are taken out; each run of the others with one label adds a span
+of kind ``crf_<kind>``.
 
 Offsets are code points, ends exclusive.  Defined cases.  Null or empty text has
 no spans; null doc_ids and repeated rows are scanned like others; without any
@@ -260,6 +261,15 @@ def _same_places(line: str, other: str, spans: list) -> list:
     return spans if len(line) == len(other) else []
 
 
+def _without_base(label: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray, off: np.ndarray, doc: int, base: list) -> None:
+    """Words that a base span touches lose the label of its kind (in place)."""
+    raw = data[off[doc]:off[doc + 1]]
+    at = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw)) + off[doc]       # of each code point
+    for s, k, e in base:
+        words = label[np.searchsorted(ends, at[s], "right"):np.searchsorted(starts, at[e], "left")]
+        words[words == k + 1] = 0
+
+
 def _detect(model: Crf | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in chunks(batches):
@@ -271,6 +281,8 @@ def _detect(model: Crf | None):
                 if len(starts):
                     label = model.viterbi(Crf.neighbours(shapes(data, starts, ends), bounds), bounds)
                     line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                    for doc in np.unique(np.searchsorted(off, starts[label > 0], "right") - 1).tolist():
+                        _without_base(label, starts, ends, data, off, doc, base_spans(text[doc].as_py(), tuple(k for k, c in zip(KINDS, can, strict=True) if c[doc])))
                     some = np.flatnonzero(label)
                     cut = np.flatnonzero(np.concatenate([[len(some) > 0], (np.diff(some) > 1) | (np.diff(label[some]) != 0) | (np.diff(line[some]) != 0)]))
                     for i, j in zip(cut, np.append(cut[1:], len(some))):
@@ -290,8 +302,7 @@ def _detect(model: Crf | None):
                 raw = data[off[r]:off[r + 1]]
                 for s, k, e in extra.get(r, ()):
                     s, e = (int((raw[:x] & 0xC0 != 0x80).sum()) for x in (s, e))
-                    if not any(k == bk and s < be and bs < e for bs, bk, be in base):
-                        added.append((s, k + len(KINDS), e, "crf_" + KINDS[k]))
+                    added.append((s, k + len(KINDS), e, "crf_" + KINDS[k]))
                 every = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found + added))
                 out.append((*(sum(k == i for _, k, _, _ in found) for i in range(4)), hashlib.sha256(line.encode()).hexdigest(), every, len(added)))
             cols = list(zip(*out, strict=True))

@@ -124,6 +124,16 @@ def test_crf_learns_from_lines_with_digits_and_no_personal_data(spark):
     assert pii_crf.personal_data(held_out, model).where("n_crf > 0").count() == 0
 
 
+def test_crf_span_beside_a_base_match_of_its_kind(spark):
+    texts = ["x a@b.com c@localhost y", "é 4012888888881881, 4012888888881882 y 😀", "c@localhost a@b.com d@localhost", "a@b.com"]
+    model = pii_crf.Crf.zero()
+    for word, kind in (("a@b.com", 0), ("c@localhost", 0), ("4012888888881881,", 2), ("4012888888881882", 2)):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        model.emit[1][pii_crf.shapes(raw, np.array([0]), np.array([len(raw)])), kind + 1] = 5
+    got = pii_crf.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["spans"] for r in got] == ["email:2:9,crf_email:10:21", "card:2:18,crf_card:20:36", "crf_email:0:11,email:12:19,crf_email:20:31", "email:0:7"]
+
+
 def test_licences(spark):
     docs = cases.documents(spark)
     model = license_scan.fit(docs)
