@@ -132,7 +132,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Licences:
     lines = first.select(F.posexplode("lines").alias("i", "p")).select("i", words(F.col("p")).alias("w")).where("size(w) > 0") \
                  .withColumn("b", bigrams(F.col("w")))
     like = F.greatest(*[_share(F.col("b"), t) for _, t in templates if t], F.lit(0.0))
-    ordinary = lines.where(like < 0.3).select((F.col("i") % 2).alias("part"), "w").coalesce(1)
+    ordinary = lines.where(like < 0.3).select((F.col("i") % 2).alias("part"), "w")      # by all tasks
     ordinary = written(ordinary, "licence-sample")
     train = _labelled(spark).unionByName(ordinary.where("part = 0").limit(sample).select(F.lit("unknown").alias("family"), "w"))
     families = sorted({f for f, _ in TEMPLATES}) + ["unknown"]

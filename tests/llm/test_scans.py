@@ -149,3 +149,14 @@ def test_licences(spark):
     assert out.where("n_confirmed > 0").count() == 1 and out.count() == len(cases.rows())
     assert license_scan.scan_licences(cases.empty(spark), model).count() == 0
     assert license_scan.fit(cases.empty(spark)).families[-1] == "unknown"
+
+
+def test_licence_sample_is_not_read_by_one_task(spark, monkeypatch):
+    plans = {}
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+    written = license_scan.written
+    monkeypatch.setattr(license_scan, "written", kept)
+    license_scan.fit(cases.documents(spark))
+    assert "BroadcastHashJoin" in plans["licence-sample"] and "Coalesce 1" not in plans["licence-sample"]
