@@ -4,8 +4,10 @@ Paragraphs are the lines of a text.  Features are word unigrams and bigrams
 (``[a-z0-9]+`` of the lower-cased text).  A sparse multinomial logistic regression (lasso) over the
 families and the class ``unknown`` is trained on a small table: the fixed template paragraphs, their
 sentences and halves, ordinary sentences with the same words, and at most
-``SAMPLE`` paragraphs of the given documents (smallest seeded hash) that no
-template matches.  A second, one-dimensional regression on held-out windows of the
+``SAMPLE`` paragraphs that no template matches, those with the smallest seeded hash of
+(doc_id, line number) among all lines of ``SAMPLE`` documents (smallest seeded hash
+of doc_id, at most ``LONGEST`` code points).  One bit of the line's hash says whether
+it trains or calibrates.  A second, one-dimensional regression on held-out windows of the
 templates and held-out paragraphs calibrates the margin between the best family
 and ``unknown`` to a probability.  A prediction counts when the paragraph's
 bigrams also match a template of the family.
@@ -33,6 +35,7 @@ from .common import read, written
 from .license_templates import ORDINARY, TEMPLATES
 
 SAMPLE = 2000            # ordinary paragraphs for the fit, and as many to calibrate
+LONGEST = 20_000         # code points of a document whose paragraphs the fit may take
 CONFIRM = 0.6            # share of the smaller bigram set that a template must have in common
 KNOWN_AT = 0.5           # calibrated probability from which a family is predicted
 
@@ -120,21 +123,24 @@ class Licences:
         return F.greatest(*[F.when(family == f, _share(b, t)).otherwise(0.0) for f, t in self.templates], F.lit(0.0)) >= CONFIRM
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Licences:
+def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Licences:
     """The classifier trained on the templates and a bounded sample of the documents' paragraphs."""
     spark = docs.sparkSession
     templates = _template_sets(spark)
-    # the sample is picked by id first, so that no task gathers texts
+    # the sample is picked by id first, so that no task gathers texts; its paragraphs are small and written by all tasks
     key = F.xxhash64("doc_id", F.lit(5))
-    ids = docs.where("doc_id is not null").select("doc_id", key.alias("h")).orderBy("h").limit(sample).select("doc_id")
-    first = docs.join(F.broadcast(ids), "doc_id").where("length(text) between 1 and 20000") \
-                .select(F.slice(F.split("text", "\n"), 1, 8).alias("lines"))
-    lines = first.select(F.posexplode("lines").alias("i", "p")).select("i", words(F.col("p")).alias("w")).where("size(w) > 0") \
-                 .withColumn("b", bigrams(F.col("w")))
+    ids = docs.where("doc_id is not null").select("doc_id", key.alias("h")).orderBy("h").limit(sample).select("doc_id").distinct()
+    picked = docs.join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, longest))
+    lines = picked.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")) \
+                  .select(F.xxhash64("doc_id", "i", F.lit(7)).alias("h"), words(F.col("p")).alias("w")).where("size(w) > 0") \
+                  .withColumn("b", bigrams(F.col("w")))
     like = F.greatest(*[_share(F.col("b"), t) for _, t in templates if t], F.lit(0.0))
-    ordinary = lines.where(like < 0.3).select((F.col("i") % 2).alias("part"), "w")      # by all tasks
-    ordinary = written(ordinary, "licence-sample")
-    train = _labelled(spark).unionByName(ordinary.where("part = 0").limit(sample).select(F.lit("unknown").alias("family"), "w"))
+    ordinary = written(lines.where(like < 0.3).select((F.col("h") % 2 != 0).alias("held_out"), "h", "w"), "licence-sample")
+
+    def some(held_out: bool) -> DataFrame:
+        return ordinary.where(F.col("held_out") == held_out).orderBy("h", "w").limit(sample)
+
+    train = _labelled(spark).unionByName(some(False).select(F.lit("unknown").alias("family"), "w"))
     families = sorted({f for f, _ in TEMPLATES}) + ["unknown"]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     counted = F.when(F.col("family") == "unknown", 1.0).otherwise(8.0)
@@ -148,7 +154,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Licences:
     vocabulary = [r["g"] for r in grams_of if any(w not in usual for w in r["g"].split(" "))]
     places = F.array(*[F.lit(g) for g in vocabulary])
     present = array_to_vector(F.transform(places, lambda g: F.array_contains(F.col("grams"), g).cast("double")))
-    model = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, weightCol="weight", maxIter=30, tol=1e-4, standardization=False) \
+    model = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, weightCol="weight", maxIter=60, tol=1e-4, standardization=False) \
         .fit(train.select(present.alias("features"), "label", "weight"))
     matrix = model.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vocabulary) if abs(matrix[:, j]).max() > 1e-3}
@@ -156,9 +162,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Licences:
     # calibration on windows of the templates and on ordinary paragraphs that the fit has not seen
     t = _table(spark, TEMPLATES, ["family", "p"]).select(words(F.col("p")).alias("w"))
     cut = t.select(F.when(F.size("w") > 6, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w")).alias("w"), F.lit(1.0).alias("label"))
-    hold = cut.unionByName(ordinary.where("part = 1").limit(sample).select("w", F.lit(0.0).alias("label"))).coalesce(1)
+    hold = cut.unionByName(some(True).select("w", F.lit(0.0).alias("label"))).coalesce(1)
     hold = hold.select(array_to_vector(F.array(raw.margin(raw.logits(F.col("w"))))).alias("features"), "label")
-    line = LogisticRegression(family="binomial", regParam=0.01, maxIter=20).fit(hold)
+    line = LogisticRegression(family="binomial", regParam=0.01, maxIter=50).fit(hold)
     return Licences(families, weights, raw.bias, float(line.coefficients[0]), float(line.intercept), templates, usual)
 
 

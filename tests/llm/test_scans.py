@@ -160,3 +160,12 @@ def test_licence_sample_is_not_read_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "written", kept)
     license_scan.fit(cases.documents(spark))
     assert "BroadcastHashJoin" in plans["licence-sample"] and "Coalesce 1" not in plans["licence-sample"]
+
+
+def test_licences_calibrate_on_documents_of_one_line(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, cases.words(rng, 12)) for i in range(60)], "doc_id long, text string")
+    model = license_scan.fit(docs)
+    assert model.slope > 0.1 and abs(model.offset) < 50
+    got = license_scan.scan_licences(spark.createDataFrame([(1, "Released under the MIT License."), (2, "the train was late")], "doc_id long, text string"), model)
+    assert [(r["n_predicted"], r["families"]) for r in got.orderBy("doc_id").collect()] == [(1, "mit"), (0, "")]
