@@ -295,10 +295,8 @@ def q_fp(spark, sf_dir):
 
 @query("g15_s2_changed_tables")
 def q_changed(spark, sf_dir):
-    """Fingerprints now vs the snapshot saved with the layers."""
-    m = _L.Materializer(spark, _L.layer_root(spark, sf_dir))
-    saved = m(_raw_fingerprints(spark, sf_dir), "snapshot_fingerprints")
-    return SK.snapshot_diff(_raw_fingerprints(spark, sf_dir), saved)
+    """Tables changed since the last successful refresh; their change rebuilds the layers."""
+    return _L.refresh_changed(spark, sf_dir, _raw_fingerprints(spark, sf_dir), SK.snapshot_diff)
 
 
 # ==========================================================================

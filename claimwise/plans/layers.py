@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,3 +129,27 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str | None = None) -> L
     out = Layers(clean=cl, fact_claim=fact, ml_claim=ml)
     _CACHE[key] = out
     return out
+
+
+def snapshot_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the saved fingerprints: one per table set, whatever its files hold."""
+    base = spark.conf.get("claimwise.layers.root", None) or f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise/layers"
+    return f"{base.rstrip('/')}/snapshots-{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
+
+
+def refresh_changed(spark: SparkSession, sf_dir: str, current: DataFrame, diff, rebuild=build_layers) -> DataFrame:
+    """The tables whose fingerprint differs from the last snapshot (all of
+    them when there is none).  Any change rebuilds the layers; the new snapshot
+    is saved in a folder of its own after that succeeded."""
+    root = snapshot_root(spark, sf_dir)
+    m = Materializer(spark, root)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snap-*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    names = sorted(f.getPath().getParent().getName() for f in found or [])
+    now = m(current, f"current-{time.time_ns():020d}")
+    saved = spark.read.schema(now.schema).parquet(m.path(names[-1])) if names else now.limit(0)
+    changed = diff(now, saved)
+    if changed.count():
+        rebuild(spark, sf_dir)
+        m(now, f"snap-{time.time_ns():020d}")
+    return changed

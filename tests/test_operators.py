@@ -235,3 +235,22 @@ def test_duration_regressor_tuning(spark):
     assert model is not None
     d = TR.apply_caps(df, {"type_sinistre_claim": ["Vol", "Accident"]})
     assert model.transform(d).count() == 420
+
+
+def test_changed_table_is_reported_once_and_saved_after_success(spark, tmp_path):
+    from claimwise.plans import layers
+    from claimwise.sources import sinks
+
+    def refresh(policies, rebuild):
+        now = spark.createDataFrame([("clients", "1:1"), ("policies", policies)], "table_name string, fingerprint string")
+        return sorted(r["table_name"] for r in layers.refresh_changed(spark, str(tmp_path), now, sinks.snapshot_diff, rebuild).collect())
+
+    def fails(*_):
+        raise ValueError("rebuild")
+
+    built = []
+    good = lambda *_: built.append(1)
+    assert refresh("1:1", good) == ["clients", "policies"] and refresh("1:1", good) == [] and len(built) == 1
+    with pytest.raises(ValueError):
+        refresh("2:2", fails)
+    assert refresh("2:2", good) == ["policies"] and refresh("2:2", good) == [] and len(built) == 2
