@@ -13,6 +13,7 @@ from .mixing import op5_mix_sources
 from .mtree_search import OP10_SQL, op10_mtree_topk
 from .pii_crf import op4_pii_crf
 from .quality import op7_quality_classifier
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .secret_scan import op2_secret_scan
 from .sentencepiece_bpe import op9_sentencepiece
 from .substring_dedup import OP6_SQL, op6_substring_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mtree_topk": op10_mtree_topk,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_mtree_topk": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
