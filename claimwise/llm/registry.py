@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .license_scan import op8_license_scan
 from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .mixing import op5_mix_sources
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mtree_topk": op10_mtree_topk,
     "op11_ranked_search": op11_ranked_search,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op10_mtree_topk": OP10_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
