@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .filter_audit import OP12_SQL, op12_filter_audit
+from .fingerprints import op13_fingerprints
 from .license_scan import op8_license_scan
 from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .mixing import op5_mix_sources
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mtree_topk": op10_mtree_topk,
     "op11_ranked_search": op11_ranked_search,
     "op12_filter_audit": op12_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
