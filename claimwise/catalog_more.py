@@ -277,26 +277,40 @@ def q_runs(spark, sf_dir):
     return SK.distinct_runs(rec)
 
 
-def _raw_fingerprints(spark, sf_dir):
+@query("h17_table_fingerprints")
+def q_fp(spark, sf_dir):
     t = _T(spark, sf_dir)
-    parts = [SK.fingerprint(fn(t), name) for name, fn in (
-        ("clients_raw", BND.clients_raw), ("policies_raw", BND.policies_raw),
-        ("vehicles_raw", BND.vehicles_raw), ("claims_raw", BND.claims_raw))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _L.table_prints({n: f(t) for n, f in _L.RAW.items()})
 
 
-@query("h17_table_fingerprints")
-def q_fp(spark, sf_dir):
-    return _raw_fingerprints(spark, sf_dir)
+def planted_changes(raw: dict) -> dict:
+    """One change a table, none of which moves the row count and a plain XOR alike: a value
+    replaced, a row repeated, a row lost, a value moved next to a null.  Each
+    hits the rows with the smallest id."""
+    first = lambda df, key: df.join(F.broadcast(df.agg(F.min(key).alias("_first"))), F.col(key) == F.col("_first"), "left")
+    hit = F.col("_first").isNotNull()
+    cli, pol, veh, cla = (raw[n] for n in ("clients_raw", "policies_raw", "vehicles_raw", "claims_raw"))
+    moved = first(cla, "claim_id").withColumns({"statut_sinistre_claim": F.when(hit, F.col("type_sinistre_claim")).otherwise(F.col("statut_sinistre_claim")),
+                                                "type_sinistre_claim": F.when(~hit | hit.isNull(), F.col("type_sinistre_claim"))})
+    return {"clients_raw": first(cli, "client_id").withColumn("nom", F.when(hit, F.lit("planted")).otherwise(F.col("nom"))).drop("_first"),
+            "policies_raw": pol.unionByName(first(pol, "contract_id").where(hit).drop("_first")),
+            "vehicles_raw": first(veh, "vehicle_id").where(~hit).drop("_first"),
+            "claims_raw": moved.drop("_first")}
 
 
 @query("g15_s2_changed_tables")
 def q_changed(spark, sf_dir):
-    """Tables changed since the last successful refresh; their change rebuilds the layers."""
-    return _L.refresh_changed(spark, sf_dir, _raw_fingerprints(spark, sf_dir), SK.snapshot_diff)
+    """For a planted change in each raw table: the tables that the diff of the fingerprints
+    reports, and the layers whose key changes, which a refresh (S2) rebuilds."""
+    t = _T(spark, sf_dir)
+    raw = {n: f(t) for n, f in _L.RAW.items()}
+    prints = {r["table_name"]: r["fingerprint"] for r in _L.table_prints(raw).collect()}
+    planted = {r["table_name"]: r["fingerprint"] for r in _L.table_prints(planted_changes(raw)).collect()}
+    saved, rows = _L.layer_keys(prints), []
+    for n in raw:
+        now = _L.layer_keys(prints | {n: planted[n]})
+        rows += [(n, name, "table" if name in raw else "layer", key != saved[name]) for name, key in now.items()]
+    return spark.createDataFrame(rows, "planted string, name string, kind string, changed boolean")
 
 
 # ==========================================================================
@@ -425,7 +439,7 @@ def trained(spark, sf_dir, kind: str):
     """Train once per input fingerprint; the winner is persisted (M23) and
     the comparison table written next to it."""
     root = _L.layer_root(spark, sf_dir)
-    key = (id(spark), root, kind)
+    key = (spark.sparkContext.applicationId, root, kind)
     if key in _TRAINED:
         return _TRAINED[key]
     ml = Ctx(spark, sf_dir).ml

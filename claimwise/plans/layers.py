@@ -10,9 +10,13 @@ written tables instead of re-deriving them.  A written table also cuts the
 lineage, so a lost executor recomputes from the last written layer, never
 from the raw inputs.
 
-Layer folders are keyed by a fingerprint of the input files (path, size,
-mtime) and of this package's code, so a changed input or code version builds
-new layers (the S2 "changed-table refresh" idea at file level).
+Layers form a graph (``GRAPH``).  The key of a layer is a hash of its inputs' keys
+and of this package's code; the key of a raw table is the multiset hash of its
+content (H17).  So a change in one table gives new keys to its dependants and to
+nothing else, wherever the files lie, and a file that was merely rewritten rebuilds
+nothing.  ``refresh`` (S2) builds the layers whose key has no folder yet (or that are
+forced) and then writes one new state table, which readers follow: a failed build
+leaves the old state, and the change is seen again.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import functools
 import hashlib
 import os
 import time
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from ..sources import bindings
+from ..sources import bindings, sinks
 from ..sources.tables import TEST_TABLES, Tables, table_path
 from . import clean
 from . import warehouse as W
@@ -46,13 +52,22 @@ def _code_hash() -> str:
     return h.hexdigest()[:12]
 
 
-def input_fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha256(os.path.abspath(sf_dir).encode())
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, from whatever store holds them."""
+    h = hashlib.sha256(sf_dir.rstrip("/").encode())
     for t in TEST_TABLES:
-        p = table_path(sf_dir, t)
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+        fs, p = _fs(spark, table_path(sf_dir, t))
+        if fs.exists(p):
+            files, found = fs.listFiles(p, True), []
+            while files.hasNext():
+                f = files.next()
+                found.append(f"{f.getPath().toUri().getPath()}:{f.getLen()}:{f.getModificationTime()}")
+            h.update("\n".join([t, *sorted(found)]).encode())
     h.update(_code_hash().encode())
     return h.hexdigest()[:16]
 
@@ -65,9 +80,7 @@ class Materializer:
         self.root = root.rstrip("/")
 
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, p = _fs(self.spark, path + "/_SUCCESS")
         return bool(fs.exists(p))
 
     def path(self, name: str) -> str:
@@ -80,16 +93,15 @@ class Materializer:
         return self.spark.read.parquet(path)
 
 
-def layer_root(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
-    """``root`` argument, else session conf ``claimwise.layers.root`` (+ the
-    input fingerprint), else ``<spark.checkpoint.dir>/claimwise/layers/<fp>``."""
-    if root:
-        return root
-    conf_root = spark.conf.get("claimwise.layers.root", None)
-    if conf_root:
-        return f"{conf_root.rstrip('/')}/{input_fingerprint(sf_dir)}"
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/claimwise/layers/{input_fingerprint(sf_dir)}"
+def layers_home(spark: SparkSession) -> str:
+    """Session conf ``claimwise.layers.root``, else ``<spark.checkpoint.dir>/claimwise/layers``."""
+    home = spark.conf.get("claimwise.layers.root", None) or f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise/layers"
+    return home.rstrip("/")
+
+
+def layer_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of what is derived from these input files as they are now (models, streams, uploads)."""
+    return f"{layers_home(spark)}/{input_fingerprint(spark, sf_dir)}"
 
 
 @dataclass
@@ -99,57 +111,135 @@ class Layers:
     ml_claim: DataFrame
 
 
+# --------------------------------------------------------------------------
+# the layer graph and its refresh
+# --------------------------------------------------------------------------
+
+Tabs = dict[str, DataFrame]
+
+
+@dataclass(frozen=True)
+class Layer:
+    inputs: tuple[str, ...]                       # raw tables or layers
+    build: Callable[[Tabs, Callable], DataFrame]  # (inputs by name, stage) -> the layer
+
+
+RAW = {"clients_raw": bindings.clients_raw, "policies_raw": bindings.policies_raw,
+       "vehicles_raw": bindings.vehicles_raw, "claims_raw": bindings.claims_raw}
+_CLEAN = ("stg_clean_clients", "stg_clean_policies", "stg_clean_vehicles", "stg_clean_claims")
+
+
+def _clean_layer(t: Tabs) -> W.CleanLayer:
+    return W.CleanLayer(**{n.removeprefix("stg_clean_"): t[n] for n in _CLEAN})
+
+
+GRAPH: dict[str, Layer] = {          # in build order
+    "stg_clean_clients": Layer(("clients_raw",), lambda t, stage: clean.clean_clients(t["clients_raw"], bindings.CLIENT_ORDER_COLS, stage=stage)),
+    "stg_clean_policies": Layer(("policies_raw",), lambda t, stage: clean.clean_policies(t["policies_raw"], stage=stage)),
+    "stg_clean_vehicles": Layer(("vehicles_raw",), lambda t, stage: clean.clean_vehicles(t["vehicles_raw"], stage=stage)),
+    "stg_clean_claims": Layer(("claims_raw",), lambda t, stage: clean.clean_claims(t["claims_raw"], bindings.CLAIM_ORDER_COLS, stage=stage)),
+    "dw_fact_claim": Layer(_CLEAN, lambda t, stage: W.fact_claim(_clean_layer(t), stage=stage)),
+    "ml_claim": Layer(_CLEAN, lambda t, stage: W.ml_claim(_clean_layer(t), stage=stage)),
+}
+
+
+def table_prints(raw: Tabs) -> DataFrame:
+    """(table_name, ..., fingerprint) of the raw tables: one aggregate each."""
+    return reduce(DataFrame.unionByName, [sinks.fingerprint(df, name) for name, df in raw.items()])
+
+
+def layer_keys(prints: dict[str, str], graph: dict[str, Layer] = GRAPH) -> dict[str, str]:
+    """Keys of the raw tables (their prints) and of every layer over them."""
+    keys = dict(prints)
+    for name, layer in graph.items():
+        text = "|".join([_code_hash(), name, *[f"{i}={keys[i]}" for i in layer.inputs]])
+        keys[name] = hashlib.sha256(text.encode()).hexdigest()[:16]
+    return keys
+
+
+def dependants(names: Iterable[str], graph: dict[str, Layer] = GRAPH) -> list[str]:
+    """The layers that rest on any of ``names`` (tables or layers, themselves included), in build order."""
+    hit = set(names)
+    for name, layer in graph.items():
+        if hit & set(layer.inputs):
+            hit.add(name)
+    return [name for name in graph if name in hit]
+
+
+@dataclass
+class Refreshed:
+    tables: Tabs                                           # every layer, read from its folder
+    changed: list[str] = field(default_factory=list)       # raw tables that differ from the last state
+    built: list[str] = field(default_factory=list)
+
+
+STATE = "name string, key string, path string"
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Folders of state tables that were written whole, oldest first."""
+    fs, p = _fs(spark, f"{folder}/v-*/_SUCCESS")
+    return sorted(f.getPath().getParent().toString() for f in fs.globStatus(p) or [])
+
+
+def read_state(spark: SparkSession, root: str) -> dict[str, tuple[str, str]]:
+    """name -> (key, path) as of the last refresh that succeeded."""
+    found = _versions(spark, f"{root}/state")
+    return {r["name"]: (r["key"], r["path"]) for r in spark.read.schema(STATE).parquet(found[-1]).collect()} if found else {}
+
+
+def refresh(spark: SparkSession, raw: Tabs, root: str, force: bool | Iterable[str] = False,
+            graph: dict[str, Layer] = GRAPH) -> Refreshed:
+    """Bring the layers under ``root`` up to the content of ``raw``.
+
+    Layers whose inputs did not change are read as they are.  ``force`` rebuilds all
+    layers (True) or the named tables' and layers' dependants, in new folders.  One
+    writer at a time; readers always see a whole state."""
+    prints = {r["table_name"]: r["fingerprint"] for r in table_prints(raw).collect()}      # one row a table
+    keys, state = layer_keys(prints, graph), read_state(spark, root)
+    forced = set(graph) if force is True else set(dependants(force or (), graph))
+    out = Refreshed({}, changed=[t for t in raw if state.get(t, ("",))[0] != prints[t]])
+    have, now = dict(raw), {t: (prints[t], "") for t in raw}
+    for name, layer in graph.items():
+        path = f"{root}/layers/{name}-{keys[name]}"
+        if name in forced:
+            path += f"-{time.time_ns():020d}"
+        elif name in state and state[name][0] == keys[name]:
+            path = state[name][1]
+        m = Materializer(spark, path.rsplit("/", 1)[0])
+        folder = path.rsplit("/", 1)[1]
+        if not m._exists(path):
+            m(layer.build({i: have[i] for i in layer.inputs}, lambda df, f=folder, w=m: w(df, f"pre-{f}")), folder)
+            out.built.append(name)
+        have[name] = out.tables[name] = spark.read.parquet(path)
+        now[name] = (keys[name], path)
+    if now != state:
+        rows = [(n, k, p) for n, (k, p) in now.items()]
+        spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(f"{root}/state/v-{time.time_ns():020d}")
+    return out
+
+
 _CACHE: dict[tuple, Layers] = {}
 
 
 def build_layers(spark: SparkSession, sf_dir: str, root: str | None = None) -> Layers:
-    """stg clean tables -> fact_claim and ml_claim, each written once."""
-    root = layer_root(spark, sf_dir, root)
-    key = (id(spark), root)
+    """The layers of these input files: as remembered for the files' names, sizes and
+    times, else through a refresh by content."""
+    home = (root or layers_home(spark)).rstrip("/")
+    files = input_fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, home, files)
     if key in _CACHE:
         return _CACHE[key]
-    m = Materializer(spark, root)
-    t = Tables(spark, sf_dir)
-
-    def stage(name):
-        return lambda df: m(df, name)
-
-    cl = W.CleanLayer(
-        clients=m(clean.clean_clients(bindings.clients_raw(t), bindings.CLIENT_ORDER_COLS,
-                                      stage=stage("pre_clients")), "stg_clean_clients"),
-        policies=m(clean.clean_policies(bindings.policies_raw(t), stage=stage("pre_policies")),
-                   "stg_clean_policies"),
-        vehicles=m(clean.clean_vehicles(bindings.vehicles_raw(t), stage=stage("pre_vehicles")),
-                   "stg_clean_vehicles"),
-        claims=m(clean.clean_claims(bindings.claims_raw(t), bindings.CLAIM_ORDER_COLS,
-                                    stage=stage("pre_claims")), "stg_clean_claims"),
-    )
-    fact = m(W.fact_claim(cl, stage=stage("pre_fact_claim")), "dw_fact_claim")
-    ml = m(W.ml_claim(cl, stage=stage("pre_ml_claim")), "ml_claim")
-    out = Layers(clean=cl, fact_claim=fact, ml_claim=ml)
+    known = f"{home}/by-files/{files}"
+    m = Materializer(spark, f"{home}/by-files")
+    if m._exists(known):
+        t = {r["name"]: spark.read.parquet(r["path"]) for r in spark.read.schema(STATE).parquet(known).collect()}
+    else:
+        tables = Tables(spark, sf_dir)
+        place = f"{home}/tables-{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
+        t = refresh(spark, {n: f(tables) for n, f in RAW.items()}, place).tables
+        rows = [(n, k, p) for n, (k, p) in read_state(spark, place).items() if p]
+        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(known)
+    out = Layers(clean=_clean_layer(t), fact_claim=t["dw_fact_claim"], ml_claim=t["ml_claim"])
     _CACHE[key] = out
     return out
-
-
-def snapshot_root(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the saved fingerprints: one per table set, whatever its files hold."""
-    base = spark.conf.get("claimwise.layers.root", None) or f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimwise/layers"
-    return f"{base.rstrip('/')}/snapshots-{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
-
-
-def refresh_changed(spark: SparkSession, sf_dir: str, current: DataFrame, diff, rebuild=build_layers) -> DataFrame:
-    """The tables whose fingerprint differs from the last snapshot (all of
-    them when there is none).  Any change rebuilds the layers; the new snapshot
-    is saved in a folder of its own after that succeeded."""
-    root = snapshot_root(spark, sf_dir)
-    m = Materializer(spark, root)
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snap-*/_SUCCESS")
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    names = sorted(f.getPath().getParent().getName() for f in found or [])
-    now = m(current, f"current-{time.time_ns():020d}")
-    saved = spark.read.schema(now.schema).parquet(m.path(names[-1])) if names else now.limit(0)
-    changed = diff(now, saved)
-    if changed.count():
-        rebuild(spark, sf_dir)
-        m(now, f"snap-{time.time_ns():020d}")
-    return changed

@@ -337,6 +337,55 @@ S["b3_validate_and_cast"] = """SELECT contract_id, client_id, coalesce(try_strpt
   CAST(nb_sinistres_precedents AS DOUBLE) AS nb_sinistres_precedents,
   CAST(delai_souscription_sinistre_jours AS DOUBLE) AS delai_souscription_sinistre_jours,
   CAST(NULL AS DOUBLE) AS policy_duration_days, CAST(NULL AS VARCHAR) AS policy_tenure_bucket FROM policies_raw"""
+
+
+# The row text and the two sums, per column by type (s text or integer, d double, t timestamp)
+def _fp_text(col: str, kind: str) -> str:
+    if kind == "t":
+        v = f"CAST(epoch_us({col}) AS VARCHAR)"
+    elif kind == "d":
+        frac = f"({col} - floor({col})) * 4503599627370496.0"
+        v = (f"(CAST(CAST(floor({col}) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor({frac}) AS BIGINT) AS VARCHAR) || ':' || "
+             f"CAST(CAST(floor(({frac} - floor({frac})) * 4503599627370496.0) AS BIGINT) AS VARCHAR))")
+    else:
+        v = f"CAST({col} AS VARCHAR)"
+    return f"CASE WHEN {col} IS NULL THEN 'n' ELSE 'v' || CAST(length({v}) AS VARCHAR) || ':' || {v} END"
+
+
+_FP_COLS = {
+    "clients_raw": [(c, "s") for c in _RAW_CLIENT_COLS] + [("dup", "s")],
+    "policies_raw": [("contract_id", "s"), ("client_id", "s"), ("date_debut_contrat", "s"), ("date_fin_contrat", "t"), ("type_couverture", "s"),
+                     ("prime_assurance_annuelle", "d"), ("nb_sinistres_precedents", "s"), ("delai_souscription_sinistre_jours", "s")],
+    "vehicles_raw": [("vehicle_id", "s"), ("contract_id", "s"), ("type_vehicule", "s"), ("marque", "s"), ("modele", "s"), ("annee_modele", "s"),
+                     ("puissance_fiscale", "s"), ("kilometrage_actuel", "s"), ("valeur_vehicule", "d"), ("immatriculation", "s"), ("usage_vehicule", "s")],
+    "claims_raw": [("claim_id", "s"), ("contract_id", "s"), ("client_id", "s"), ("vehicle_id", "s"), ("date_sinistre_claim", "t"),
+                   ("date_cloture_claim", "t"), ("type_sinistre_claim", "s"), ("statut_sinistre_claim", "s"), ("montant_estime_dommage_claim", "d"),
+                   ("montant_indemnisation_claim", "d"), ("est_frauduleux_claim", "s"), ("sla_jours", "s"), ("l_partkey", "s"), ("l_suppkey", "s"),
+                   ("l_extendedprice", "d"), ("l_quantity", "d"), ("l_discount", "d"), ("l_tax", "d"), ("l_shipdate", "t")],
+}
+S["h17_table_fingerprints"] = "SELECT *, n || ':' || sum_low || ':' || sum_high AS fingerprint FROM (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, count(*) AS n,
+    CAST(coalesce(sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)), 0) AS VARCHAR) AS sum_low,
+    CAST(coalesce(sum(CAST('0x' || substr(h, 17, 15) AS UBIGINT)), 0) AS VARCHAR) AS sum_high
+    FROM (SELECT md5({' || '.join(_fp_text(c, k) for c, k in cols)}) AS h FROM {t}) x""" for t, cols in _FP_COLS.items()) + ") y"
+
+# A table changed if the planted multiset of rows differs from the raw one; a layer if a table below it did
+_PLANTED = {
+    "clients_raw": "SELECT * REPLACE (CASE WHEN client_id = (SELECT min(client_id) FROM clients_raw) THEN 'planted' ELSE nom END AS nom) FROM clients_raw",
+    "policies_raw": "SELECT * FROM policies_raw UNION ALL SELECT * FROM policies_raw WHERE contract_id = (SELECT min(contract_id) FROM policies_raw)",
+    "vehicles_raw": "SELECT * FROM vehicles_raw WHERE vehicle_id <> (SELECT min(vehicle_id) FROM vehicles_raw)",
+    "claims_raw": """SELECT * REPLACE (CASE WHEN claim_id = (SELECT min(claim_id) FROM claims_raw) THEN type_sinistre_claim ELSE statut_sinistre_claim END
+      AS statut_sinistre_claim, CASE WHEN claim_id <> (SELECT min(claim_id) FROM claims_raw) THEN type_sinistre_claim END AS type_sinistre_claim)
+      FROM claims_raw""",
+}
+_BELOW = {"stg_clean_clients": ["clients_raw"], "stg_clean_policies": ["policies_raw"], "stg_clean_vehicles": ["vehicles_raw"],
+          "stg_clean_claims": ["claims_raw"], "dw_fact_claim": list(_PLANTED), "ml_claim": list(_PLANTED)}
+_S2 = " UNION ALL ".join(
+    f"""SELECT '{t}' AS planted, (SELECT count(*) FROM (SELECT * FROM {t} EXCEPT ALL ({q})) a) + (SELECT count(*) FROM (({q}) EXCEPT ALL SELECT * FROM {t}) b) > 0
+    AS differs""" for t, q in _PLANTED.items())
+_S2_NAMES = ", ".join([f"('{t}', 'table', '{t}')" for t in _PLANTED] + [f"('{n}', 'layer', '{t}')" for n, below in _BELOW.items() for t in below])
+S["g15_s2_changed_tables"] = f"""SELECT p.planted, b.name, b.kind, bool_or(b.below = p.planted AND p.differs) AS changed
+FROM ({_S2}) p, (VALUES {_S2_NAMES}) b(name, kind, below) GROUP BY p.planted, b.name, b.kind"""
 S["g14_distinct_run_ids"] = "SELECT DISTINCT prediction_run_id FROM drec WHERE prediction_run_id IS NOT NULL"
 
 # ---------------------------------------------------------------------------
