@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .catalog import Ctx, query
 from .functions import dates as D
@@ -189,25 +192,30 @@ from .operators import align as _AL  # noqa: E402
 from .plans import layers as _L  # noqa: E402
 from .plans import runs as _RUNS  # noqa: E402
 from .sources import sinks as SK  # noqa: E402
+from .session import scratch_path as _scratch  # noqa: E402
 from .sources import upload as UP  # noqa: E402
+from .sources.batches import BatchTable  # noqa: E402
 
 UPLOAD_HEADERS = _K.UPLOAD_CONTRACTS["Clients"] + ["dup"]
 
 
-def clients_upload_file(spark, sf_dir) -> str:
-    """Render the raw clients as an upload file (contract headers, mixed
-    delimiters, quoting) once per input fingerprint; returns its folder."""
+def _upload_lines(spark, sf_dir):
     raw = BND.clients_raw(_T(spark, sf_dir))
     cols = []
     for h in UPLOAD_HEADERS:
         s = _TX.to_snake_case(h)
         cols.append((F.col(s).cast("string") if s in raw.columns else F.lit("")).alias(h))
-    lines = UP.render_upload_lines(raw.select(*cols), UPLOAD_HEADERS).coalesce(1)
-    root = _L.layer_root(spark, sf_dir)
-    m = _L.Materializer(spark, root)
+    return UP.render_upload_lines(raw.select(*cols), UPLOAD_HEADERS)
+
+
+def clients_upload_file(spark, sf_dir) -> str:
+    """The raw clients as an upload file (contract headers, mixed delimiters,
+    quoting; parts written by all tasks, the header in the first), once per
+    input fingerprint; returns its folder."""
+    m = _L.Materializer(spark, _L.layer_root(spark, sf_dir))
     path = m.path("upload_clients_csv")
     if not m._exists(path):
-        lines.write.mode("overwrite").text(path)
+        _upload_lines(spark, sf_dir).write.mode("overwrite").text(path)
     return path
 
 
@@ -219,27 +227,69 @@ def q_upload(spark, sf_dir):
     return res.data.drop("line_no")
 
 
-@query("a10_reject_row_isolation")
-def q_rejects(spark, sf_dir):
-    c = Ctx(spark, sf_dir).cl.claims
-    good, bad = SK.split_rejects(c, {
-        "negative_duration": F.col("date_cloture_claim").isNotNull() & F.col("duree_traitement_heures").isNull(),
-        "missing_sla": F.col("sla_jours").isNull(),
-        "non_canonical_status": ~F.col("statut_sinistre_claim").isin(
-            "Refusé", "Clos", "Clos_avec_indemnisation", "Clos_sans_indemnisation", *_K.ACTIVE_STATUSES),
-    })
-    g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("loaded").alias("outcome"), F.lit(None).cast("string").alias("reject_reason"), "n")
-    b = bad.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantined").alias("outcome"), "reject_reason", "n")
-    return g.unionByName(b)
+def _batch_loads(spark, sf_dir):
+    """Clean-keyed clients loaded in three batches, with a batch that repeats keys and
+    a repeated batch between them: (step, outcome) pairs and the table."""
+    raw = BND.clients_raw(_T(spark, sf_dir)).withColumn("client_id", _TX.normalize_id("client_id"))
+    number = F.regexp_extract("client_id", r"(\d+)$", 1).cast("long")
+    part = lambda k: raw.where((F.col("dup") == 0) & (number % 3 == k))
+    table = BatchTable(spark, _scratch(spark, "batch-loads"), raw.schema, pk=["client_id"])
+    steps = [("first", part(0), "b0"), ("second", part(1), "b1"), ("keys repeat", part(2).unionByName(raw.where("dup = 1")), "b2"),
+             ("again", part(0), "b0"), ("keys in the table", part(1), "b3"), ("third", part(2), None), ("third again", part(2), None)]
+    return [(n, table.load(df, batch_id=b)) for n, df, b in steps], table
+
 
+@query("a8_a9_batch_load_outcomes")
+def q_loads(spark, sf_dir):
+    """What became of each load: the table gains a batch whole, or nothing."""
+    done, _ = _batch_loads(spark, sf_dir)
+    return spark.createDataFrame([(i, n, r.status, r.rows) for i, (n, r) in enumerate(done, 1)], "step int, load string, status string, n long")
 
-PROFILE_COLS = ["claim_id", "statut_sinistre_claim", "type_sinistre_claim", "montant_indemnisation_claim",
-                "est_frauduleux_claim", "date_sinistre_claim", "is_delayed", "claim_severity_bucket", "l_partkey"]
+
+@query("a8_a9_batch_loaded_table")
+def q_loaded(spark, sf_dir):
+    """The table after those loads, row by row."""
+    return _batch_loads(spark, sf_dir)[1].read().withColumn("batch_id", F.when(F.col("batch_id").isin("b0", "b1"), F.col("batch_id")).otherwise("by content"))
+
+
+@query("a9_upload_into_table")
+def q_upload_load(spark, sf_dir):
+    """An upload file, a broken copy of it and the file again into one table: (file, status, n, reason)."""
+    good, broken = clients_upload_file(spark, sf_dir), f"{_scratch(spark, 'upload-broken')}/file"
+    _upload_lines(spark, sf_dir).unionByName(spark.createDataFrame([("one;field;too;few",)], "value string")).write.text(broken)
+    names = _K.UPLOAD_CONTRACTS["Clients"]
+    table = BatchTable(spark, _scratch(spark, "upload-table"), StructType([StructField(n, StringType()) for n in names]))
+    rows = []
+    for label, path in (("broken", broken), ("whole", good), ("whole again", good)):
+        r = UP.load_upload(spark, path, names, table)
+        rows.append((label, r.status, r.rows, re.sub(r"^Row \d+", "Row", r.reason) if r.reason else None))
+    held = table.read().count()
+    return spark.createDataFrame([(*r, held) for r in rows], "file string, status string, n long, reason string, rows_in_table long")
+
+
+REJECT_RULES = {
+    "negative_duration": lambda: F.col("date_cloture_claim").isNotNull() & F.col("duree_traitement_heures").isNull(),
+    "missing_sla": lambda: F.col("sla_jours").isNull(),
+    "non_canonical_status": lambda: ~F.col("statut_sinistre_claim").isin(
+        "Refusé", "Clos", "Clos_avec_indemnisation", "Clos_sans_indemnisation", *_K.ACTIVE_STATUSES),
+}
+
+
+@query("a10_reject_row_isolation")
+def q_rejects(spark, sf_dir):
+    """Claims ingested with their bad rows set aside: every row, its outcome and the first rule that it broke."""
+    c = Ctx(spark, sf_dir).cl.claims.select("claim_id", "statut_sinistre_claim", "sla_jours", "date_cloture_claim", "duree_traitement_heures")
+    table = BatchTable(spark, _scratch(spark, "reject-rows"), c.schema, pk=["claim_id"])
+    done = table.load(c, rules={n: r() for n, r in REJECT_RULES.items()}, reject="rows")
+    if done.status != "loaded":
+        raise ValueError(done.reason)
+    return table.read().drop("batch_id").withColumns({"outcome": F.lit("loaded"), "reject_reason": F.lit(None).cast("string")}) \
+                .unionByName(table.quarantine().withColumn("outcome", F.lit("quarantined")))
 
 
 @query("a12_schema_profile")
 def q_profile(spark, sf_dir):
-    return SK.schema_profile(Ctx(spark, sf_dir).cl.claims.select(*PROFILE_COLS))
+    return SK.schema_profile(Ctx(spark, sf_dir).cl.claims)
 
 
 @query("a14_pk_violations_raw_claims")
@@ -255,14 +305,13 @@ def q_preview(spark, sf_dir):
 
 @query("a19_table_stats")
 def q_stats(spark, sf_dir):
-    s = SK.table_stats(Ctx(spark, sf_dir).ml, "statut_sinistre_claim", _K.ACTIVE_STATUSES)
-    return s.drop("n_columns", "first_columns")
+    return SK.table_stats(Ctx(spark, sf_dir).ml, "statut_sinistre_claim", _K.ACTIVE_STATUSES)
 
 
 @query("a20_delete_by_pattern")
 def q_delete(spark, sf_dir):
-    c = SK.delete_by_pattern(Ctx(spark, sf_dir).cl.claims, "claim_id", "CLM-1%")
-    return c.groupBy("statut_sinistre_claim").agg(F.count(F.lit(1)).alias("n"))
+    """The claims that stay when the batch of ids like CLM-1… is deleted, all columns."""
+    return SK.delete_by_pattern(Ctx(spark, sf_dir).cl.claims, "claim_id", "CLM-1%")
 
 
 @query("b3_validate_and_cast")

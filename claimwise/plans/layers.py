@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
-from ..sources import bindings, sinks
+from ..sources import bindings, manifest, sinks
 from ..sources.tables import TEST_TABLES, Tables, table_path
 from . import clean
 from . import warehouse as W
@@ -176,16 +176,9 @@ class Refreshed:
 STATE = "name string, key string, path string"
 
 
-def _versions(spark: SparkSession, folder: str) -> list[str]:
-    """Folders of state tables that were written whole, oldest first."""
-    fs, p = _fs(spark, f"{folder}/v-*/_SUCCESS")
-    return sorted(f.getPath().getParent().toString() for f in fs.globStatus(p) or [])
-
-
 def read_state(spark: SparkSession, root: str) -> dict[str, tuple[str, str]]:
     """name -> (key, path) as of the last refresh that succeeded."""
-    found = _versions(spark, f"{root}/state")
-    return {r["name"]: (r["key"], r["path"]) for r in spark.read.schema(STATE).parquet(found[-1]).collect()} if found else {}
+    return {r["name"]: (r["key"], r["path"]) for r in manifest.latest(spark, f"{root}/state", STATE)}
 
 
 def refresh(spark: SparkSession, raw: Tabs, root: str, force: bool | Iterable[str] = False,
@@ -214,8 +207,7 @@ def refresh(spark: SparkSession, raw: Tabs, root: str, force: bool | Iterable[st
         have[name] = out.tables[name] = spark.read.parquet(path)
         now[name] = (keys[name], path)
     if now != state:
-        rows = [(n, k, p) for n, (k, p) in now.items()]
-        spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(f"{root}/state/v-{time.time_ns():020d}")
+        manifest.publish(spark, f"{root}/state", [(n, k, p) for n, (k, p) in now.items()], STATE)
     return out
 
 

@@ -59,11 +59,6 @@ def load_table(df: DataFrame, path: str, mode: str = "replace", pk: list[str] |
     return {"written": True, "mode": write_mode}
 
 
-def append_ingest(df: DataFrame, path: str) -> None:
-    """Append to a raw table, never replace."""
-    df.write.mode("append").parquet(path)
-
-
 def split_rejects(df: DataFrame, rules: dict[str, "F.Column"]) -> tuple[DataFrame, DataFrame]:
     """A10: rows failing any rule go to quarantine with the first failing
     rule's name as ``reject_reason``; the rest load."""

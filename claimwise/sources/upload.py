@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import align
+from .batches import BatchTable, Loaded
 
 # a quoted run: a doubled quote inside is one quote; an unclosed run goes to the line's end
 _RUN = r'"(?:[^"]++|"")*+(?:"|\z)'
@@ -54,15 +55,15 @@ def parse_line_py(line: str) -> list[str]:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) with contiguous 1-based line numbers, computed from
-    per-partition counts (one row per partition) instead of a global sort."""
-    t = spark.read.text(path).withColumns({"_id": F.monotonically_increasing_id(),
-                                           "_pid": F.spark_partition_id()})
-    t = t.withColumn("_pos", F.col("_id") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = t.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return t.join(F.broadcast(off), "_pid").select((F.col("_off") + F.col("_pos") + 1).alias("line_no"), "value")
+    """(line_no, value) with contiguous 1-based line numbers over the files of
+    ``path`` in the order of their names: a line's place in its split plus the
+    lines of the splits before (a table of one row a split), no global sort."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                                     F.monotonically_increasing_id().alias("_id"))
+    split = t.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    w = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    off = split.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return t.join(F.broadcast(off), ["_file", "_at"]).select((F.col("_off") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 @dataclass
@@ -102,6 +103,14 @@ def parse_upload(spark: SparkSession, path: str, expected: list[str]) -> UploadR
     return UploadResult(True, data=data.select("line_no", *cols))
 
 
+def load_upload(spark: SparkSession, path: str, expected: list[str], table: BatchTable) -> Loaded:
+    """A file goes into ``table`` whole or, with the reason, not at all."""
+    res = parse_upload(spark, path, expected)
+    if not res.ok:
+        return Loaded("rejected", reason=res.error)
+    return table.load(res.data.drop("line_no"))
+
+
 def render_upload_lines(df: DataFrame, headers: list[str]) -> DataFrame:
     """Writer side used by tests and the round-trip query: one text line per
     row, fields quoted when they hold a delimiter or quote, alternating ','

@@ -301,17 +301,33 @@ def _upl(h: str) -> str:
 S["a3_a4_a5_a6_a7_upload_roundtrip"] = ("SELECT " + ", ".join(_upl(h) for h in K.UPLOAD_CONTRACTS["Clients"])
                                          + " FROM clients_raw")
 S["a10_reject_row_isolation"] = """
-SELECT CASE WHEN reject_reason IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome, reject_reason, count(*) AS n
-FROM (SELECT CASE WHEN date_cloture_claim IS NOT NULL AND duree_traitement_heures IS NULL THEN 'negative_duration'
+SELECT *, CASE WHEN reject_reason IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome
+FROM (SELECT claim_id, statut_sinistre_claim, sla_jours, date_cloture_claim, duree_traitement_heures,
+  CASE WHEN date_cloture_claim IS NOT NULL AND duree_traitement_heures IS NULL THEN 'negative_duration'
   WHEN sla_jours IS NULL THEN 'missing_sla'
   WHEN NOT statut_sinistre_claim IN ('Refusé', 'Clos', 'Clos_avec_indemnisation', 'Clos_sans_indemnisation',
-    'Ouvert', 'En_cours', 'En_cours_d_expertise') THEN 'non_canonical_status' END AS reject_reason FROM clean_claims) t
-GROUP BY 1, 2"""
-
-_PROFILE = [("claim_id", "text"), ("statut_sinistre_claim", "text"), ("type_sinistre_claim", "text"),
-            ("montant_indemnisation_claim", "float"), ("est_frauduleux_claim", "integer"),
-            ("date_sinistre_claim", "datetime"), ("is_delayed", "integer"), ("claim_severity_bucket", "text"),
-            ("l_partkey", "integer")]
+    'Ouvert', 'En_cours', 'En_cours_d_expertise') THEN 'non_canonical_status' END AS reject_reason FROM clean_claims) t"""
+
+# batch loads: three batches stay, by the last digits of the id; no other load adds a row
+_NID = _B.nid("client_id")
+_PART = f"CAST(regexp_extract({_NID}, '(\\d+)$', 1) AS BIGINT) % 3"
+_IN = lambda k: f"(SELECT count(*) FROM clients_raw WHERE dup = 0 AND {_PART} = {k})"
+S["a8_a9_batch_load_outcomes"] = f"""SELECT step, load, status, n FROM (VALUES
+  (1, 'first', 'loaded', {_IN(0)}), (2, 'second', 'loaded', {_IN(1)}), (3, 'keys repeat', 'rejected', 0), (4, 'again', 'repeated', 0),
+  (5, 'keys in the table', 'rejected', 0), (6, 'third', 'loaded', {_IN(2)}), (7, 'third again', 'repeated', 0)) v(step, load, status, n)"""
+S["a8_a9_batch_loaded_table"] = f"""SELECT * REPLACE ({_NID} AS client_id),
+  CASE {_PART} WHEN 0 THEN 'b0' WHEN 1 THEN 'b1' ELSE 'by content' END AS batch_id FROM clients_raw WHERE dup = 0"""
+S["a9_upload_into_table"] = f"""SELECT file, status, n, reason, (SELECT count(*) FROM clients_raw) AS rows_in_table FROM (VALUES
+  ('broken', 'rejected', 0, 'Row has 4 columns but header has {len(K.UPLOAD_CONTRACTS["Clients"]) + 1}.'),
+  ('whole', 'loaded', (SELECT count(*) FROM clients_raw), NULL), ('whole again', 'repeated', 0, NULL)) v(file, status, n, reason)"""
+
+_PROFILE = ([(c, "text") for c in ("claim_id", "contract_id", "client_id", "vehicle_id")]
+            + [("date_sinistre_claim", "datetime"), ("date_cloture_claim", "datetime"), ("type_sinistre_claim", "text"),
+               ("statut_sinistre_claim", "text"), ("montant_estime_dommage_claim", "float"), ("montant_indemnisation_claim", "float"),
+               ("est_frauduleux_claim", "integer"), ("sla_jours", "float"), ("l_partkey", "integer"), ("l_suppkey", "integer")]
+            + [(c, "float") for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")] + [("l_shipdate", "datetime")]
+            + [("duree_traitement_jours", "float"), ("duree_traitement_heures", "float"), ("is_delayed", "integer"), ("claim_gap_amount", "float"),
+               ("claim_gap_ratio", "float"), ("claim_severity_bucket", "text")])
 _PROF_ROWS = " UNION ALL ".join(
     f"SELECT {i} AS ordinal, '{c}' AS column_name, '{k}' AS dtype_class, "
     + (f"(SELECT CAST(max(length({c})) AS INTEGER) FROM clean_claims)" if k == "text" else "CAST(NULL AS INTEGER)")
@@ -326,11 +342,12 @@ GROUP BY 1 HAVING count(*) > 1 OR {_B.nid('claim_id')} IS NULL"""
 S["a16_dry_run_preview"] = """SELECT * FROM (SELECT * FROM clients_raw ORDER BY client_id, dup LIMIT 3) p,
   (SELECT count(*) AS total_rows FROM clients_raw) t"""
 S["a19_table_stats"] = f"""SELECT statut_sinistre_claim, count(*) AS status_count, max(t.total_rows) AS total_rows,
-  max(t.active_total) AS active_total FROM ml_claim,
+  max(t.active_total) AS active_total, (SELECT count(*) FROM (DESCRIBE SELECT * FROM ml_claim)) AS n_columns,
+  'vehicle_id, client_id, contract_id, claim_id, date_sinistre_claim, type_sinistre_claim, statut_sinistre_claim, '
+  'montant_estime_dommage_claim, montant_indemnisation_claim, est_frauduleux_claim' AS first_columns FROM ml_claim,
   (SELECT count(*) AS total_rows, count_if(statut_sinistre_claim IN {ACTIVE}) AS active_total FROM ml_claim) t
 GROUP BY statut_sinistre_claim"""
-S["a20_delete_by_pattern"] = """SELECT statut_sinistre_claim, count(*) AS n FROM clean_claims
-WHERE NOT claim_id LIKE 'CLM-1%' OR claim_id IS NULL GROUP BY statut_sinistre_claim"""
+S["a20_delete_by_pattern"] = "SELECT * FROM clean_claims WHERE NOT claim_id LIKE 'CLM-1%' OR claim_id IS NULL"
 S["b3_validate_and_cast"] = """SELECT contract_id, client_id, coalesce(try_strptime(date_debut_contrat, '%d/%m/%Y'), TRY_CAST(date_debut_contrat AS TIMESTAMP)) AS date_debut_contrat,
   CAST(date_fin_contrat AS TIMESTAMP) AS date_fin_contrat, type_couverture,
   CAST(prime_assurance_annuelle AS DOUBLE) AS prime_assurance_annuelle,

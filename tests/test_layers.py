@@ -2,6 +2,7 @@
 
 import pytest
 from claimwise.plans import layers as L
+from claimwise.sources import manifest
 from claimwise.sources import sinks as SK
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def test_a_change_rebuilds_its_dependants_only(spark, tmp_path):
     r = go([1, 2], [5])                       # what was forced is what readers keep
     assert r.built == [] and L.read_state(spark, root)["right"][1] == forced
     assert go([1, 2], [5], force=True).built == list(GRAPH)
-    assert len(L._versions(spark, f"{root}/state")) == 6      # the calls that changed nothing wrote no state
+    assert len(manifest.versions(spark, f"{root}/state")) == 6      # the calls that changed nothing wrote no state
 
 
 def test_a_failed_build_leaves_the_old_state(spark, tmp_path):
