@@ -20,17 +20,21 @@ U+2581, one is put before a text that isn't empty, and the end id closes every
 sequence.  Decoding joins the pieces, reads runs of byte pieces as UTF-8
 (U+FFFD for wrong bytes), drops control ids and one leading space.
 
+A worker process makes its encoder once and keeps it, and the cache, for its later tasks.
+
 Only models of type BPE with byte fallback, identity normalisation and such a
 vocabulary are accepted, others raise ValueError.  Null or empty text gives the
 end id alone and decodes to the empty text.  Null doc_ids and repeated rows
-pass through; other columns are not read.
+pass through; a text of any length is encoded whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import ahocorasick
 import pyarrow as pa
@@ -42,6 +46,7 @@ from .common import by_value, read
 
 MARK = "▁"
 CACHE = 150_000           # segments of a cache generation; two are held
+SHORT = 24                # signs of a segment that is not cut further
 FIRST = 1 << 40           # later than any merge
 
 
@@ -71,10 +76,14 @@ class Bpe:
             self.rank[self.pieces[i]] = at
         self.halves: dict[str, tuple[str, str]] = {}
         self.find = ahocorasick.Automaton()
-        for p in self.id_of:
-            if len(p) == 1 or self._split(p):
-                self.find.add_word(p, p)
+        whole = {p for p in self.id_of if len(p) == 1 or self._split(p)}
+        for p in whole:
+            self.find.add_word(p, (p, len(p) - 1))
         self.find.make_automaton()
+        # the next shorter piece that a piece begins with
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in whole), None) for p in whole}
+        self.digits = [str(i).encode() for i in range(n)]
+        self.special = {i for i in range(n) if self.control[i] or i in self.byte_of or i == self.unk}
         self.joined = {p for p in self.id_of if len(p) > 1}
         self.pairs = {p[i:i + 2] for p in self.joined for i in range(len(p) - 1)}  # signs side by side in a piece
         self.lines = "\n" not in "".join(self.joined)
@@ -127,67 +136,53 @@ class Bpe:
         n = len(text)
         if n == 1 or text in self.halves:
             return [text]
-        greedy, before = [p for _, p in self.find.iter_long(text)], None
-        if sum(map(len, greedy)) == n:
-            for p in greedy:
-                if before is not None and not self.compatible(before, p):
-                    break
-                before = p
-            else:
-                return greedy
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for end, p in self.find.iter(text):
-            starts[end - len(p) + 1].append(p)      # shorter ones first, as their ends come first
+        longest: list[str | None] = [None] * n
+        for end, (p, back) in self.find.iter(text):
+            longest[end - back] = p                 # longer ones end later
         open_ = bytearray(b"\x01") * (n + 1)
+        shorter, fits, check = self.shorter, self.fits, self.compatible
         out: list[str] = []
-        level: list[int] = []                       # which of its place's pieces each piece is
-        pos, pick = 0, len(starts[0]) - 1
+        pos, before = 0, None                       # the piece before, None after a sign without one
         while pos < n:
-            here = starts[pos]
-            if not here:                            # a sign without a piece
+            p = longest[pos]
+            if p is None:
                 out.append(text[pos])
-                level.append(-1)
-                pos += 1
-                pick = len(starts[pos]) - 1 if pos < n else -1
+                pos, before = pos + 1, None
                 continue
-            while pick >= 0:
-                p = here[pick]
-                if open_[pos + len(p)] and (not out or level[-1] < 0 or self.compatible(out[-1], p)):
+            while True:
+                while p is not None:
+                    if open_[pos + len(p)]:
+                        if before is None:
+                            break
+                        fit = fits.get((before, p))
+                        if check(before, p) if fit is None else fit:
+                            break
+                    p = shorter[p]
+                if p is not None:
                     break
-                pick -= 1
-            if pick >= 0:
-                out.append(p)
-                level.append(pick)
-                pos += len(p)
-                pick = len(starts[pos]) - 1 if pos < n else -1
-            else:                                   # no valid rest from here: back to the piece before
-                open_[pos] = 0
-                while True:
-                    pos -= len(out.pop())
-                    pick = level.pop()
-                    if pick >= 0:
-                        break
-                    open_[pos] = 0
-                pick -= 1
+                open_[pos] = 0                      # no valid rest from here: back to the piece before
+                p = out.pop()
+                pos -= len(p)
+                before = out[-1] if out and out[-1] in shorter else None
+                p = shorter[p]
+            out.append(p)
+            pos, before = pos + len(p), p
         return out
 
     def ids(self, segment: str) -> list[int]:
-        """Ids of a segment; it is cut further between signs that no piece holds side by side."""
+        """Ids of a segment; a long one is cut further between signs that no piece holds side by side."""
         got: list[int] = []
         pairs, at, id_of = self.pairs, 0, self.id_of
-        for i in range(1, len(segment) + 1):
-            if i == len(segment) or segment[i - 1:i + 1] not in pairs:
-                part, at = segment[at:i], i
-                one = id_of.get(part)
-                if one is not None and (len(part) == 1 or part in self.halves):
+        n = len(segment)
+        cuts = [n] if n <= SHORT else [i for i in range(1, n) if segment[i - 1:i + 1] not in pairs] + [n]
+        for i in cuts:
+            part, at = segment[at:i], i
+            for p in self.segment(part):
+                one = id_of.get(p)
+                if one is None:
+                    got += [self.bytes[b] for b in p.encode()]
+                else:
                     got.append(one)
-                    continue
-                for p in self.segment(part):
-                    one = id_of.get(p)
-                    if one is None:
-                        got += [self.bytes[b] for b in p.encode()]
-                    else:
-                        got.append(one)
         return got
 
     def segments(self, text: str) -> list[str]:
@@ -216,6 +211,8 @@ class Bpe:
         return text[1:] if first is not None and self.pieces[first].startswith(MARK) else text
 
     def _join(self, ids: list[int]) -> str:
+        if self.special.isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -240,7 +237,7 @@ class Bpe:
             if hit is None:
                 ids = self.ids(s.replace(" ", MARK))
                 text = self._join(ids)
-                hit = (" ".join(map(str, ids)).encode(), s if text == s else text)
+                hit = (b" ".join([self.digits[i] for i in ids]), s if text == s else text)
             self.young[s] = hit
         return self.young
 
@@ -277,9 +274,19 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def encoder(model: bytes) -> Bpe:
+    """The encoder of a model, made once per process and kept with its cache.  Functions
+    sent by value get new globals in each task, so it is held in a module of its own."""
+    held = sys.modules.setdefault("bpe_encoders_of_this_process", ModuleType("bpe_encoders_of_this_process"))
+    key = "model_" + hashlib.sha256(model).hexdigest()
+    if not hasattr(held, key):
+        setattr(held, key, Bpe(model))
+    return getattr(held, key)
+
+
 def _digests(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(model)
+        bpe = encoder(model)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -297,7 +304,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     by_value()
     with open(model_file, "rb") as f:
         model = f.read()
-    Bpe(model)  # a wrong model fails here, not in a task
+    encoder(model)  # a wrong model fails here, not in a task
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_digests(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -309,7 +316,7 @@ def tokenize(docs: DataFrame, model_file: str) -> DataFrame:
         model = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(model)
+        bpe = encoder(model)
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
