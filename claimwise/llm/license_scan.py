@@ -24,6 +24,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -81,10 +82,20 @@ def _template_sets(spark: SparkSession) -> list[tuple[str, list[str]]]:
     return [(r["family"], r["b"]) for r in t.select("i", "family", bigrams(words(F.col("p"))).alias("b")).orderBy("i").collect()]
 
 
-def _share(b: Column, template: list[str]) -> Column:
+def _list(values: list) -> Column:
+    """A fixed list as one constant of the plan: a text that Spark folds into an array, not a node per value."""
+    text = F.split(F.lit("\n".join(v if isinstance(v, str) else repr(float(v)) for v in values)), "\n")
+    return text if all(isinstance(v, str) for v in values) else text.cast("array<double>")
+
+
+def _template_list(templates: list[tuple[str, list[str]]]) -> Column:
+    """array<struct<f, t>>: family and bigrams of the templates that have any, as one constant."""
+    return F.from_json(F.lit(json.dumps([{"f": f, "t": t} for f, t in templates if t])), "array<struct<f:string,t:array<string>>>")
+
+
+def _share(b: Column, template: Column) -> Column:
     """How much of the smaller bigram set both have."""
-    t = F.array(*[F.lit(x) for x in template])
-    return F.size(F.array_intersect(b, t)) / F.greatest(F.lit(1), F.least(F.size(b), F.lit(len(template))))
+    return F.size(F.array_intersect(b, template)) / F.greatest(F.lit(1), F.least(F.size(b), F.size(template)))
 
 
 class Licences:
@@ -99,11 +110,10 @@ class Licences:
 
     def logits(self, w: Column) -> Column:
         """Scores of all classes for the words of a paragraph."""
-        names = F.array(*[F.lit(g) for g in self.weights])
-        rows = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in self.weights.values()])
-        hits = F.array_intersect(grams(w), names)
-        start = F.array(*[F.lit(float(b)) for b in self.bias])
-        return F.aggregate(hits, start, lambda acc, g: F.zip_with(acc, F.element_at(rows, F.array_position(names, g).cast("int")), lambda a, b: a + b))
+        names, k = _list(list(self.weights)), len(self.families)
+        rows = _list([x for v in self.weights.values() for x in v])          # one after the other
+        row = lambda g: F.slice(rows, (F.array_position(names, g).cast("int") - 1) * k + 1, F.lit(k))
+        return F.aggregate(F.array_intersect(grams(w), names), _list(self.bias), lambda acc, g: F.zip_with(acc, row(g), lambda a, b: a + b))
 
     def margin(self, scores: Column) -> Column:
         u = self.families.index("unknown")
@@ -118,9 +128,9 @@ class Licences:
         pairs = F.array(*[F.struct(scores[i].alias("s"), F.lit(f).alias("f")) for i, f in enumerate(self.families) if i != u])
         return F.array_max(pairs)["f"]
 
-    def confirmed(self, w: Column, family: Column) -> Column:
-        b = bigrams(w)
-        return F.greatest(*[F.when(family == f, _share(b, t)).otherwise(0.0) for f, t in self.templates], F.lit(0.0)) >= CONFIRM
+    def confirmed(self, b: Column, family: Column) -> Column:
+        """Whether a template of the family has enough of the bigrams ``b``."""
+        return F.exists(_template_list(self.templates), lambda t: (t["f"] == family) & (_share(b, t["t"]) >= CONFIRM))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Licences:
@@ -134,8 +144,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Licenc
     lines = picked.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")) \
                   .select(F.xxhash64("doc_id", "i", F.lit(7)).alias("h"), words(F.col("p")).alias("w")).where("size(w) > 0") \
                   .withColumn("b", bigrams(F.col("w")))
-    like = F.greatest(*[_share(F.col("b"), t) for _, t in templates if t], F.lit(0.0))
-    ordinary = written(lines.where(like < 0.3).select((F.col("h") % 2 != 0).alias("held_out"), "h", "w"), "licence-sample")
+    like = F.exists(_template_list(templates), lambda t: _share(F.col("b"), t["t"]) >= 0.3)
+    ordinary = written(lines.where(~like).select((F.col("h") % 2 != 0).alias("held_out"), "h", "w"), "licence-sample")
 
     def some(held_out: bool) -> DataFrame:
         return ordinary.where(F.col("held_out") == held_out).orderBy("h", "w").limit(sample)
@@ -146,24 +156,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Licenc
     counted = F.when(F.col("family") == "unknown", 1.0).otherwise(8.0)
     train = train.select(grams(F.col("w")).alias("grams"), label.alias("label"), counted.alias("weight")).coalesce(1)
     train = written(train, "licence-train")
+    t = _table(spark, TEMPLATES, ["family", "p"]).select(words(F.col("p")).alias("w"))
+    cut = t.select(F.when(F.size("w") > 6, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w")).alias("w"), F.lit(1.0).alias("label"))
+    hold = written(cut.unionByName(some(True).select("w", F.lit(0.0).alias("label"))).coalesce(1), "licence-calibration")
     # features: grams of the templates with a word that ordinary paragraphs don't use
     plain = train.where(F.col("label") == len(families) - 1).select(F.explode("grams").alias("g")).where("instr(g, ' ') = 0")
     template_words = sorted({w for _, p in TEMPLATES for w in _plain_words(p)})
     usual = {r["g"] for r in plain.where(F.col("g").isin(template_words)).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").collect()}
     grams_of = train.where(F.col("label") < len(families) - 1).select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()
     vocabulary = [r["g"] for r in grams_of if any(w not in usual for w in r["g"].split(" "))]
-    places = F.array(*[F.lit(g) for g in vocabulary])
-    present = array_to_vector(F.transform(places, lambda g: F.array_contains(F.col("grams"), g).cast("double")))
+    present = array_to_vector(F.transform(_list(vocabulary), lambda g: F.array_contains(F.col("grams"), g).cast("double")))
     model = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.5, weightCol="weight", maxIter=60, tol=1e-4, standardization=False) \
         .fit(train.select(present.alias("features"), "label", "weight"))
     matrix = model.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vocabulary) if abs(matrix[:, j]).max() > 1e-3}
     raw = Licences(families, weights, [float(b) for b in model.interceptVector.toArray()], 1.0, 0.0, templates, usual)
     # calibration on windows of the templates and on ordinary paragraphs that the fit has not seen
-    t = _table(spark, TEMPLATES, ["family", "p"]).select(words(F.col("p")).alias("w"))
-    cut = t.select(F.when(F.size("w") > 6, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w")).alias("w"), F.lit(1.0).alias("label"))
-    hold = cut.unionByName(some(True).select("w", F.lit(0.0).alias("label"))).coalesce(1)
-    hold = hold.select(array_to_vector(F.array(raw.margin(raw.logits(F.col("w"))))).alias("features"), "label")
+    scores = F.transform(F.array(raw.logits(F.col("w"))), lambda s: raw.margin(s))      # the scores once, not once a class
+    hold = hold.select(array_to_vector(scores).alias("features"), "label")
     line = LogisticRegression(family="binomial", regParam=0.01, maxIter=50).fit(hold)
     return Licences(families, weights, raw.bias, float(line.coefficients[0]), float(line.intercept), templates, usual)
 
@@ -171,7 +181,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Licenc
 def scan_licences(docs: DataFrame, model: Licences, known_at: float = KNOWN_AT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): paragraphs, predicted and confirmed
     ones, the families (sorted, comma-joined) and the best confirmed one."""
-    trigger = F.array(*[F.lit(x) for x in model.triggers])
+    trigger = _list(model.triggers)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
     d = d.select("doc_id", F.size(F.filter("lines", lambda p: F.trim(p) != "")).cast("long").alias("n_paragraphs"),
                  F.filter(F.transform("lines", lambda p: F.split(F.lower(p), "[^a-z0-9]+")),
@@ -182,7 +192,9 @@ def scan_licences(docs: DataFrame, model: Licences, known_at: float = KNOWN_AT)
         x["w"].alias("w"), model.known(x["s"]).alias("p"), model.best(x["s"]).alias("family"))).alias("some"))
     found = F.filter("some", lambda x: x["p"] >= known_at)
     judged = judged.select("doc_id", "n_paragraphs", F.transform(found, lambda x: F.struct(
-        x["p"].alias("p"), x["family"].alias("family"), model.confirmed(x["w"], x["family"]).alias("confirmed"))).alias("found"))
+        x["p"].alias("p"), x["family"].alias("family"), bigrams(x["w"]).alias("b"))).alias("found"))
+    judged = judged.select("doc_id", "n_paragraphs", F.transform("found", lambda x: F.struct(
+        x["p"].alias("p"), x["family"].alias("family"), model.confirmed(x["b"], x["family"]).alias("confirmed"))).alias("found"))
     sure = F.filter("found", lambda x: x["confirmed"])
     names = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
     return judged.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
