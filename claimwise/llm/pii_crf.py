@@ -63,13 +63,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def byte(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def base_spans(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in order."""
     found = []
     if "email" in kinds and "@" in text:
         found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
     if "ip" in kinds:
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(byte(p) for p in m[0].split("."))]
     if "card" in kinds:
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() < 40 else m[0].replace(" ", "").replace("-", "")
