@@ -23,7 +23,9 @@ tree's k best are merged by a window per query.
 Defined cases.  A null vector, one with a null or non-finite component, or a
 null vec_id takes no part.  Only vectors of one length meet.  Rows that share a
 vec_id are candidates each, but none for a query of that vec_id.  Empty tables
-give no rows.  Components are expected below 2^27 in size after floor(256 x).
+give no rows.  Scores are exact: in floating point while all squared norms are
+below 2^53, in 64-bit integers beyond; a score has to fit 64 bits, as the result
+does.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ SLACK = 1e-6
 
 
 def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dim, norm2, v): floor(256 x) of the vectors that take part, as little-endian 32-bit integers."""
+    """(vec_id, dim, norm2, v): floor(256 x) of the vectors that take part, as little-endian 64-bit integers."""
     for b in batches:
         rows = []
         for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding")):
@@ -54,22 +56,34 @@ def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x = np.floor(256 * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
             if np.isfinite(x).all():
-                x = x.astype(np.int64)
-                rows.append((i, len(x), float((x * x).sum()), x.astype("<i4").tobytes()))
+                rows.append((i, len(x), float((x * x).sum()), x.astype("<i8").tobytes()))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()),
                                           pa.array(cols[3], pa.binary())], names=["vec_id", "dim", "norm2", "v"])
 
 
+def whole(col: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col), "<i8").reshape(len(col), dim)
+
+
 def matrix(col: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col), "<i4").reshape(len(col), dim).astype(np.float64)
+    return whole(col, dim).astype(np.float64)
+
+
+EXACT = 2.0 ** 53        # squared norms below it: every score is exact in floating point
+
+
+def reach_of(base: float, score: float) -> float:
+    """The distance at which an object of that score lies, with the margin that bounds need."""
+    wide = 0.0 if base < EXACT else SLACK * float(np.sqrt(base))
+    return float(np.sqrt(max(0.0, base - 2 * score))) * (1 + SLACK) + SLACK + wide
 
 
 class MTree:
     """Pages over (ids, vectors); built by splitting around spread-out routing objects."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, top2: float):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.exact = ids, x, None
         lift = np.sqrt(np.maximum(0.0, top2 - (x * x).sum(1)))
         self.lifted = np.hstack([x, lift[:, None]])
         self.pages: list[tuple] = []
@@ -106,10 +120,12 @@ class MTree:
         self.pages.append(("inner", at, self._from(at, center), np.array([e[1] for e in entries]), np.array([e[2] for e in entries])))
         return len(self.pages) - 1
 
-    def search(self, q: np.ndarray, own: int, k: int, top2: float, floor: float) -> list[tuple[float, int]]:
-        """The k best (score, id), those with scores under ``floor`` may be missing."""
+    def search(self, q: np.ndarray, own: int, k: int, top2: float, floor: float, whole_q: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k best (score, id), those with scores under ``floor`` may be missing.  With
+        ``whole_q`` scores are 64-bit sums over ``exact``; without, floating point holds them."""
         base = float((q * q).sum()) + top2
-        reach = lambda score: np.sqrt(max(0.0, base - 2 * score)) * (1 + SLACK) + SLACK
+        reach = lambda score: reach_of(base, score)
+        wide = 0.0 if base < EXACT else SLACK * float(np.sqrt(base))
         best: list[tuple[float, int]] = []      # a heap of the k best as (score, -id)
         bound = reach(floor) if floor > -np.inf else np.inf
         heap = [(0.0, self.root, -1.0)]
@@ -120,7 +136,7 @@ class MTree:
             kind, rows, to_parent, *inner = self.pages[page]
             if above >= 0:                      # what the stored distances already rule out
                 apart = np.abs(above - to_parent) - (inner[0] if inner else 0.0)
-                go = np.flatnonzero(apart <= bound)
+                go = np.flatnonzero(apart <= bound + wide)
             else:
                 go = np.arange(len(rows))
             if not len(go):
@@ -128,10 +144,12 @@ class MTree:
             score = self.x[rows[go]] @ q
             if kind == "inner":
                 d = np.sqrt(np.maximum(0.0, base - 2 * score))
-                least_of = np.maximum(0.0, d * (1 - SLACK) - inner[0][go] - SLACK)
+                least_of = np.maximum(0.0, d * (1 - SLACK) - inner[0][go] - SLACK - wide)
                 for j in np.flatnonzero(least_of <= bound):
                     heapq.heappush(heap, (float(least_of[j]), int(inner[1][go[j]]), float(d[j])))
                 continue
+            if whole_q is not None:
+                score = (self.exact[rows[go]] * whole_q).sum(1)
             if len(best) == k:
                 keep = score >= best[0][0]
                 go, score = go[keep], score[keep]
@@ -181,8 +199,9 @@ def _top_k(v: DataFrame, dim: int, top2: float, rows: int, queries: int, k: int,
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = MTree(pdf["vec_id"].to_numpy(), matrix(list(pdf["v"]), dim), top2)
-        narrow = np.int16 if np.abs(tree.x).max(initial=0) < 1 << 15 else np.int32
-        pages = pickle.dumps((tree.ids, tree.x.astype(narrow), tree.pages, tree.root))
+        high = np.abs(tree.x).max(initial=0)
+        narrow = np.int16 if high < 1 << 15 else np.int32 if high < 1 << 31 else np.int64
+        pages = pickle.dumps((tree.ids, whole(list(pdf["v"]), dim).astype(narrow), tree.pages, tree.root))
         return pd.DataFrame({"tree": [(int(pdf["cell"].iloc[0]) << 32) + int(pdf["part"].iloc[0])], "pages": [pages]})
 
     trees = written(placed.groupBy("cell", "part").applyInPandas(build, "tree long, pages binary"), "mtree-pages")
@@ -204,12 +223,15 @@ def _top_k(v: DataFrame, dim: int, top2: float, rows: int, queries: int, k: int,
                 ids, x, tree.pages, tree.root = pickle.loads(b.column("pages")[i].as_py())
                 tree.ids, tree.x = ids, x.astype(np.float64)
                 own = np.frombuffer(b.column("ids")[i].as_py(), "<i8")
-                q = np.frombuffer(b.column("q")[i].as_py(), "<i4").reshape(len(own), dim).astype(np.float64)
+                whole_q = whole([b.column("q")[i].as_py()[8 * dim * n:8 * dim * (n + 1)] for n in range(len(own))], dim)
+                q = whole_q.astype(np.float64)
+                tree.exact = None if top2 < EXACT else x.astype(np.int64)
                 found = []
                 for at in range(len(own)):
                     known = np.sort((pivots @ q[at])[pivot_ids != own[at]])
                     floor = known[-k] if len(known) >= k else -np.inf
-                    found += [(b.column("block")[i].as_py(), at, own[at], n, s) for s, n in tree.search(q[at], own[at], k, top2, floor)]
+                    best = tree.search(q[at], own[at], k, top2, floor, None if tree.exact is None else whole_q[at])
+                    found += [(b.column("block")[i].as_py(), at, own[at], n, s) for s, n in best]
                 cols = list(zip(*found, strict=True)) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array([int(s) for s in cols[4]], pa.int64())],
                                                  names=["block", "at", "query_id", "vec_id", "score"])
