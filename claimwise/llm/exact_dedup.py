@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, flat, golomb, if_small, read, shuffle_partitions, ungolomb, written
+from .common import by_value, flat, golomb, if_small, own_names, read, shuffle_partitions, ungolomb, written
 
 BLOCK_ROWS = 1 << 18     # rows of a block at most
 OWNER_ROWS = 1 << 20     # fingerprints of an owner on average, at most
@@ -145,13 +145,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts."""
     d = written(exact_duplicates(docs), "exact-decided")
     per = d.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
-    per = written(per.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "stays"), "exact-gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col("_sha"))
-    out = docs.join(if_small(per.where("not stays")), same, "left_anti")
+    per = written(per, "exact-gone")
+    own, at = own_names(docs)
+    i, text = F.col(at["doc_id"]), F.col(at["text"])
+    same = i.cast("long").eqNullSafe(F.col("doc_id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("text_sha256"))
+    out = own.join(if_small(per.where("not stays")), same, "left_anti")
     again = per.where("stays")
     if again.limit(1).count():      # rows equal in doc_id and text
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([at["doc_id"], at["text"]]))
+    return out.toDF(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (GOLD, by_value, chunks, flat, if_small, mix, read, windows, word_hashes, word_spans, written)
+from .common import (GOLD, by_value, chunks, flat, if_small, mix, own_names, read, windows, word_hashes, word_spans, written)
 from .components import components
 
 SLOTS, ROWS = 128, 4
@@ -245,8 +245,9 @@ def _residue_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> D
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group; null doc_ids stay."""
-    gone = written(near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "minhash-gone")
-    return docs.join(if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = written(near_duplicates(docs).where("component_id != doc_id").select("doc_id").distinct(), "minhash-gone")
+    own, at = own_names(docs)
+    return own.join(if_small(gone), F.col(at["doc_id"]) == F.col("doc_id"), "left_anti").toDF(*docs.columns)
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

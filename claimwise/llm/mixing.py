@@ -6,9 +6,10 @@
    share all words; a target stops at 3 times its source and the excess goes to
    the others by weight, until none is above.
 3. Fitting, per source, on its histogram (documents per exact size): whole
-   passes first, then a proportional part of each size, then a bounded knapsack
-   over the sizes left (binary-split counts, a bitset of reachable sums) that
-   meets the remaining budget exactly wherever sums allow.
+   passes first, then a proportional part of all sizes (15 of 16 words of any
+   budget, more of a very large one), then a bounded knapsack over the sizes left
+   (binary-split counts, a bitset of reachable sums) that meets the remaining
+   budget exactly wherever sums allow.
 4. Of each (source, size) the fitted number of documents is picked by a seeded
    hash of doc_id.  A large (source, size) group is cut into hash ranges of
    about 512 rows, counted, and only the range in which the cut falls is ranked.
@@ -34,10 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_value, chunks, if_small, read, word_spans, written
+from .common import by_value, chunks, if_small, own_names, read, word_spans, written
 
 MOST_PASSES = 3
-KNAPSACK_WORDS = 1 << 16   # budget that the knapsack handles; larger budgets are first filled in proportion
+KNAPSACK_WORDS = 1 << 16   # words the knapsack settles at most (its memory)
+KNAPSACK_SHARE = 16        # and its share of a budget: one in so many words; the others go in proportion
 SEED = 20240229
 
 
@@ -100,7 +102,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = KNAPSACK_WORDS) -> tuple[int, np.ndarray]:
-    """Whole passes over a source and how many documents of each length to add."""
+    """Whole passes over a source and how many documents of each length (ascending) to add."""
     total = int((lengths * counts).sum())
     none = np.zeros(len(lengths), np.int64)
     if not total:
@@ -109,22 +111,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = KNAP
     budget = min(total, max(0, round(target) - passes * total))
     if passes == MOST_PASSES or not budget:
         return passes, none
-    n = none.copy()
-    if budget > most:
-        n = np.array([int(c) * budget // total for c in counts], np.int64)
-        left = budget - int((n * lengths).sum())
-        for i in np.argsort(-lengths):       # long ones down to what the knapsack handles
-            if left > most and lengths[i]:
-                k = min(int(counts[i] - n[i]), (left - most) // int(lengths[i]))
-                n[i] += k
-                left -= k * int(lengths[i])
-        for i in np.argsort(lengths):        # and short ones back, for it to choose from
-            if lengths[i] and left < most // 2:
-                k = min(int(n[i]), (most - left) // int(lengths[i]))
-                n[i] -= k
-                left += k * int(lengths[i])
-        budget = left
-    return passes, n + knapsack(lengths, counts - n, budget)
+    # the knapsack's share: a sixteenth, or what its longest document needs
+    rest = min(most // 2, max(budget // KNAPSACK_SHARE, min(int(lengths.max()), budget)))
+    # in proportion over the running count of documents, so that lengths with few of them get theirs too
+    run = [0]
+    for c in counts:
+        run.append(run[-1] + int(c))
+    n = np.diff(np.array([c * (budget - rest) // total for c in run], np.int64))
+    left = budget - int((n * lengths).sum())
+    for i in np.argsort(-lengths):           # rounding may be off by a document: long ones out, or in, until the rest is in reach
+        if lengths[i] and left < 0:
+            k = min(int(n[i]), -(left // int(lengths[i])))
+        elif lengths[i] and left > most:
+            k = -min(int(counts[i] - n[i]), (left - most) // int(lengths[i]))
+        else:
+            continue
+        n[i] -= k
+        left += k * int(lengths[i])
+    return passes, n + knapsack(lengths, counts - n, left)
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,21 +196,23 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     by_value()
     _, rules = _decided(_inputs(docs), seed)
     rules = written(rules.where("z > 0 and (passes > 0 or picks > 0)"), "mix-rules")
-    columns = docs.columns
+    d, at = own_names(docs)
+    columns, text = d.columns, at["text"]
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in chunks(batches):
+        for b, data, off in chunks(batches, col=text):
             _, _, bounds = word_spans(data, off)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(bounds))], names=[*columns, "_size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(bounds))], names=[*columns, "size"])
 
-    rows = docs.mapInArrow(sized, StructType([*docs.schema.fields, StructField("_size", LongType())]))
-    rows = rows.join(if_small(rules), F.col("source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")))
-    u, i, none = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.col("doc_id").cast("long"), F.lit(-1 << 63)
+    rows = d.mapInArrow(sized, StructType([*d.schema.fields, StructField("size", LongType())]))
+    rows = rows.join(if_small(rules), F.col(at["source"]).eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    i, none = F.col(at["doc_id"]).cast("long"), F.lit(-1 << 63)
+    u = F.xxhash64(F.lit(seed), i)
     before = (u < F.col("last_u")) | ((u == F.col("last_u")) & (F.coalesce(i, none) <= F.coalesce("last_id", none)))
     more = (F.col("picks") > 0) & ((F.col("picks") == F.col("docs")) | before)
     copies = F.col("passes") + F.coalesce(more, F.lit(False)).cast("int")
-    rows = rows.withColumn("_copies", copies).where("_copies > 0")
-    return rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_no")).select(*columns)
+    rows = rows.withColumn("copies", copies).where("copies > 0")
+    return rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("no")).select(*columns).toDF(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -34,3 +34,15 @@ def documents(spark, seed=5):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+CLASH = ["s", "z", "docs", "picks", "passes", "last_id", "last_u", "copies", "no", "_size", "_copies", "_no", "_id", "_sha", "stays", "sha", "rid", "h", "u",
+         "component_id", "keep_id", "text_sha256", "document_column_0", "node", "e"]
+
+
+def clashing(spark, seed=5):
+    """The documents with further columns that have the names of the operators' own."""
+    from pyspark.sql import functions as F
+
+    d = documents(spark, seed)
+    return d.select("*", *[F.lit(c).alias(c) for c in CLASH if c not in d.columns])
