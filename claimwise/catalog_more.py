@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -146,13 +147,11 @@ def q_audit_tail(spark, sf_dir):
 @query("j16_resolve_locked_accounts")
 def q_resolve(spark, sf_dir):
     """Every locked account is reset at its first lock: all of that user's
-    unresolved LOGIN_FAILED / ACCOUNT_LOCKED rows are resolved."""
+    unresolved LOGIN_FAILED / ACCOUNT_LOCKED rows are resolved.  The whole log after it."""
     log = _log(spark, sf_dir)
     locked = log.where(F.col("event_type") == "ACCOUNT_LOCKED").groupBy("user_id").agg(
         F.min("created_at").alias("resolved_at")).withColumn("resolved_by", F.lit("admin"))
-    out = AU.resolve_alerts(log, locked)
-    return out.groupBy("event_type", "severity", "is_resolved").agg(
-        F.count(F.lit(1)).alias("n"), F.count("resolved_at").alias("n_with_resolution_time"))
+    return AU.resolve_alerts(log, locked).select("event_id", "seq", "user_id", "event_type", "severity", "is_resolved", "resolved_by", "resolved_at")
 
 
 @query("g9_audit_log_with_user_role")
@@ -172,8 +171,7 @@ def q_perms(spark, sf_dir):
 
 @query("g11_login_conflicts")
 def q_conflicts(spark, sf_dir):
-    _, us = _audit_inputs(spark, sf_dir)
-    return AU.login_conflicts(us)
+    return AU.key_conflicts(BND.accounts(_T(spark, sf_dir)), ["login", "email", "username"])
 
 
 @query("h19_user_counters")
@@ -369,50 +367,71 @@ def q_changed(spark, sf_dir):
 from .streaming import jobs as ST  # noqa: E402
 
 
-def _stream_paths(spark, sf_dir, name):
-    root = _L.layer_root(spark, sf_dir)
-    return f"{root}/stream_{name}/sink", f"{root}/stream_{name}/checkpoint"
+ARRIVALS = 5                     # landings of a replay
+SPAN_DAYS = 480                  # event time that one of them covers
 
 
-def _s1_sink(spark, sf_dir):
-    sink, ck = _stream_paths(spark, sf_dir, "s1_claims")
-    t = _T(spark, sf_dir)
-    ST.ingest_claims(spark, sf_dir, t.orders, sink, ck, BND.claims_raw_from)
-    return sink
+def claim_arrivals(t) -> list:
+    """The line items in five landings by the order's date: every 7th part comes one
+    landing late, every 11th comes again with the next."""
+    o = t.orders.select("o_orderkey", "o_orderdate")
+    place = F.least(F.lit(ARRIVALS - 1), F.floor(F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) / SPAN_DAYS))
+    moved = F.col("l_partkey") % 7 == 0
+    first = F.least(F.lit(ARRIVALS - 1), place + moved.cast("int"))
+    again = F.when((F.col("l_partkey") % 11 == 0) & (first < ARRIVALS - 1), F.array(first, first + 1)).otherwise(F.array(first))
+    rows = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("_at", F.explode(again))
+    return [rows.where(F.col("_at") == k).select(*t.lineitem.columns) for k in range(ARRIVALS)]
+
+
+def _replayed(spark, sf_dir) -> str:
+    """The sinks of the claim streams after a replay of the five landings (once per input)."""
+    root = f"{_L.layer_root(spark, sf_dir)}/stream_claims"
+    m = _L.Materializer(spark, root)
+    if not m._exists(m.path("done")):
+        t, place = _T(spark, sf_dir), f"{root}/{uuid.uuid4().hex[:12]}"
+        at = lambda n: f"{place}/{n}"
+        ST.replay(claim_arrivals(t), at("landing"), [
+            lambda: ST.ingest_claims(spark, at("landing"), t.orders, at("stg"), at("ck_stg"), BND.claims_raw_from),
+            lambda: ST.dedup_claims(spark, at("stg"), at("ids"), at("ck_ids")),
+            lambda: ST.dedup_claims(spark, at("stg"), at("rows"), at("ck_rows"), whole_rows=True),
+            lambda: ST.daily_claim_kpis(spark, at("rows"), at("days"), at("ck_days"))])
+        m(spark.createDataFrame([(place,)], "place string"), "done")
+    return spark.read.parquet(m.path("done")).first()["place"]
 
 
 @query("s1_streaming_claim_ingest")
 def q_s1(spark, sf_dir):
-    return spark.read.parquet(_s1_sink(spark, sf_dir)).drop("batch_id")
+    """All landed rows, cleaned, with their batch and whether they came late."""
+    return spark.read.parquet(f"{_replayed(spark, sf_dir)}/stg")
 
 
 @query("s5_streaming_dedup_claim_ids")
 def q_s5(spark, sf_dir):
-    src = _s1_sink(spark, sf_dir)
-    sink, ck = _stream_paths(spark, sf_dir, "s5_dedup")
-    ST.dedup_claim_ids(spark, src, sink, ck)
-    return spark.read.parquet(sink).select("claim_id")
+    return spark.read.parquet(f"{_replayed(spark, sf_dir)}/ids").select("claim_id")
 
 
 @query("s4_streaming_daily_claim_kpis")
 def q_s4(spark, sf_dir):
-    src = _s1_sink(spark, sf_dir)
-    sink, ck = _stream_paths(spark, sf_dir, "s4_daily")
-    ST.daily_claim_kpis(spark, src, sink, ck)
-    latest = ST.latest_per_key(spark.read.parquet(sink), ["window_start"])
+    latest = ST.latest_per_key(spark.read.parquet(f"{_replayed(spark, sf_dir)}/days"), ["window_start"])
     return latest.select(F.date_format(F.col("window_start").cast("timestamp_ntz"), "yyyy-MM-dd").alias("day"),
                          "claims", R(F.col("payout"), 2).alias("payout"), "delayed")
 
 
 @query("s3_streaming_login_monitor")
 def q_s3(spark, sf_dir):
-    sink, ck = _stream_paths(spark, sf_dir, "s3_logins")
-    ev = BND.audit_events_from(ST.file_stream(spark, sf_dir, "events*.parquet"))
-    res = AU.resolve_users(ev, BND.users(_T(spark, sf_dir)))
-    ST.run_available(ST.login_monitor(res), sink, ck)
-    out = spark.read.parquet(sink)
-    return out.select("event_id", "user_id", "event_type", "ip_address", "consecutive_failures",
-                      F.col("previous_ip").alias("previous_success_ip"))
+    """The events in six landings by day, monitored batch by batch."""
+    place, t = _scratch(spark, "stream-logins"), _T(spark, sf_dir)
+    day = F.floor((F.dayofmonth("ts") - 1) / 6)
+    users = BND.users(t)
+    sink, landing = f"{place}/sink", f"{place}/landing"
+
+    def monitor():
+        ev = BND.audit_events_from(ST.file_stream(spark, landing, "*.parquet"))
+        ST.login_monitor(AU.resolve_users(ev, users), sink, f"{place}/checkpoint")
+
+    ST.replay([t.events.where(day == k) for k in range(6)], landing, [monitor])
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type", "ip_address", "consecutive_failures",
+                                           F.col("previous_ip").alias("previous_success_ip"))
 
 
 # ==========================================================================

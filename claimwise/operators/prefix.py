@@ -1,15 +1,12 @@
 """Distributed running sums (prefix sums) over a global order.
 
 A global running sum written as ``sum(x).over(Window.orderBy(v))`` runs in
-one task.  Here every row gets a bucket that is a pure function of its value:
-the split values are taken from the rows with the smallest hashes of the value
-(a fixed number per key, the same rows whenever they are computed), and the
-bucket is the number of splits below the value.  Local running sums run inside
-(key, bucket); a table with one row per (key, bucket) gives every bucket its
-offset; offset + local sum is the global running sum.  Nothing rests on Spark
-reusing an exchange or sampling the same range bounds twice.  Equal values
-share a bucket, so ties are handled exactly; memory per task is bounded by the
-bucket size, the offset table by keys x buckets.
+one task.  Here the rows are range-partitioned by (key, value) and written once
+with the number of their range as bucket: buckets hold about equally many rows, at
+any number of partitions, equal values share one, and all later steps read the
+same written buckets, so nothing rests on two samplings giving the same bounds.
+Local running sums run inside (key, bucket); one row per (key, bucket) gives every
+bucket its offset; offset + local sum is the global running sum.
 """
 
 from __future__ import annotations
@@ -17,7 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 16
+from ..session import scratch_path
+
+
+def bucketed(df: DataFrame, order: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``order``, with the range's number as ``_b`` (ascending, nulls first)."""
+    by = [F.col(c).asc_nulls_first() for c in order]
+    placed = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
+    placed = placed.withColumn("_b", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, name)
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], key: list[str] | None = None,
@@ -25,27 +32,7 @@ def running_sums(df: DataFrame, order: str, values: list[str], key: list[str] |
     """Adds ``<prefix><v>`` = sum of v over rows with (key equal and) order <=
     this row's order position (inclusive, rows ordered by ``order``)."""
     key = key or []
-    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2)
-    k = n * SAMPLE_PER_BUCKET
-    by_hash = Window.partitionBy(*key).orderBy("_h", order)
-    sample = df.select(*key, order).where(F.col(order).isNotNull()).withColumn("_h", F.xxhash64(order))
-    if key:
-        sample = sample.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= k)
-    else:
-        sample = sample.orderBy("_h", order).limit(k)
-    picked = F.sort_array(F.collect_set(order))
-    every = F.greatest(F.lit(1), F.floor(F.size("_s") / n).cast("int"))
-    splits = sample.groupBy(*key).agg(picked.alias("_s")) \
-                   .select(*key, F.filter("_s", lambda x, i: (i + 1) % every == 0).alias("_splits"))
-    splits = splits.withColumnsRenamed({c: f"_k_{c}" for c in key})
-    if key:
-        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
-        placed = df.join(splits, same, "left").drop(*[f"_k_{c}" for c in key])
-    else:
-        placed = df.crossJoin(F.broadcast(splits))          # one row
-    # nulls order first and get bucket 0
-    below = F.size(F.filter("_splits", lambda s: s < F.col(order)))
-    placed = placed.withColumn("_b", F.when(F.col(order).isNull() | F.col("_splits").isNull(), 0).otherwise(below)).drop("_splits")
+    placed = bucketed(df, [*key, order], "running-sums", buckets)
     w = Window.partitionBy(*key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.withColumns({f"_l_{v}": F.sum(v).over(w) for v in values})
     per = placed.groupBy(*key, "_b").agg(*[F.sum(v).alias(f"_p_{v}") for v in values])

@@ -5,9 +5,8 @@ attached with a broadcast cross join — a one-row build side, so its size bound
 is proven.
 
 There is one path for every input size: exact quantiles (linear interpolation,
-equal to pandas ``quantile``) from counts per distinct value and a distributed
-prefix sum (see ``distributed_quantile_row``), so no task holds all distinct
-values.  ``method="approx"`` (per call, or for a whole job with the session conf
+equal to pandas ``quantile``) from counts per distinct value in written ranges
+(see ``distributed_quantile_row``), so no task holds all distinct values.  ``method="approx"`` (per call, or for a whole job with the session conf
 ``claimwise.quantile.method``) asks for the mergeable ``percentile_approx``
 sketch instead.
 """
@@ -16,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from .prefix import bucketed
 
 QCOL = "__q_{}"
 
@@ -38,33 +37,42 @@ def distributed_quantile_row(df: DataFrame, specs: dict[str, tuple[Column, list[
 
     1. values of every spec are stacked to (name, v) and counted per distinct
        value (partial aggregation; the shuffle carries distinct values);
-    2. a distributed prefix sum (``operators/prefix.py``: buckets by value,
-       local running counts plus per-bucket offsets) gives every distinct
-       value its cumulative count;
-    3. the values at the needed positions (pos = (n-1)·p, floor and ceil) are
-       picked with a filter and interpolated exactly like ``percentile``:
+    2. the counts are written in ranges of (name, v) (``operators/prefix.py``), and
+       the sum of each range, one row a range, says which range holds each of the
+       needed positions (pos = (n-1)·p, floor and ceil);
+    3. only those ranges are read again: a running sum inside each picks the
+       values, which are interpolated exactly like ``percentile``:
        (hi - pos)·v[lo] + (pos - lo)·v[hi].
     """
     spark = df.sparkSession
     names = list(specs)
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), specs[n][0].cast("double").alias("v")) for n in names])
     long = df.select(F.explode(pairs).alias("s")).select("s.name", "s.v").where(F.col("v").isNotNull())
-    # written once: the input is scanned a single time, and all later steps see the same counts
-    dv = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    path = scratch_path(spark, "quantile-counts")
-    dv.write.parquet(path)
-    dv = spark.read.schema(dv.schema).parquet(path)
-    from .prefix import running_sums
-    cum = running_sums(dv, "v", ["c"], key=["name"], prefix="_cum_").withColumnRenamed("_cum_c", "_cum")
-    # a few rows from here on: one total per name, two positions per probability
-    totals = {r["name"]: r["n"] for r in dv.groupBy("name").agg(F.sum("c").alias("n")).collect()}
+    counts = bucketed(long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")), ["name", "v"], "quantile-counts")
+    ranges: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("name", "_b").agg(F.sum("c").alias("n")).orderBy("name", "_b").collect():
+        ranges.setdefault(r["name"], []).append((r["_b"], r["n"]))
+    totals = {n: sum(k for _, k in found) for n, found in ranges.items()}
     want = {(n, i): (totals[n] - 1) * float(p) for n in names if n in totals for i, p in enumerate(specs[n][1])}
-    at = sorted({(n, int(f(pos))) for (n, _), pos in want.items() for f in (math.floor, math.ceil)})
+    at = set()
+    for (n, _), pos in want.items():
+        for place in (math.floor(pos), math.ceil(pos)):
+            before = 0
+            for b, k in ranges[n]:
+                if place < before + k:
+                    at.add((n, b, before, place))
+                    break
+                before += k
     got = {}
     if at:
-        places = spark.createDataFrame(at, "name string, at long")
+        places = spark.createDataFrame(sorted(at), "name string, _b int, before long, at long")      # two a probability
+        few = F.broadcast(places.select("name", "_b", "before").distinct())
+        w = Window.partitionBy("name", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = counts.where(F.col("_b").isin(*sorted({b for _, b, _, _ in at}))).join(few, ["name", "_b"]) \
+                       .withColumn("cum", F.col("before") + F.sum("c").over(w))
         # the distinct value covering 0-based position `at`: cum - c <= at < cum
-        hit = cum.join(F.broadcast(places), "name").where((F.col("_cum") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("_cum")))
+        hit = inside.join(F.broadcast(places.select("name", "_b", "at")), ["name", "_b"]) \
+                    .where((F.col("cum") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("cum")))
         got = {(r["name"], r["at"]): r["v"] for r in hit.select("name", "at", "v").collect()}
 
     def value(n: str, i: int) -> float:

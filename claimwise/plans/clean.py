@@ -226,7 +226,10 @@ def clean_vehicles(raw: DataFrame, as_of: _dt.date = AS_OF_DATE, stage=None) ->
 # claims
 # --------------------------------------------------------------------------
 
-def clean_claims(raw: DataFrame, order_cols: list[str] | None = None, stage=None) -> DataFrame:
+def clean_claim_rows(raw: DataFrame) -> DataFrame:
+    """The row-local part (ids, dates, text, status, amounts, flags, durations,
+    is_delayed), the same for batch tables and streams; what rests on the whole
+    table (clip bounds, severity bands, dedup) follows in ``clean_claims``."""
     df = align.normalize_columns(raw)
     df = align.require_column(df, K.CLAIM_ID_ALIASES, "claim_id")
     df = align.require_column(df, K.CONTRACT_ID_ALIASES, "contract_id")
@@ -273,7 +276,13 @@ def clean_claims(raw: DataFrame, order_cols: list[str] | None = None, stage=None
         # null comparison counts as "not delayed" (ruling Q2)
         df = df.withColumn("is_delayed", F.coalesce(
             F.col("duree_traitement_jours") > F.col("sla_jours"), F.lit(False)).cast("int"))
-    df = _staged(df, stage)
+    return df
+
+
+def clean_claims(raw: DataFrame, order_cols: list[str] | None = None, stage=None) -> DataFrame:
+    df = _staged(clean_claim_rows(raw), stage)
+    has = set(df.columns)
+    money = [c for c in K.AMOUNT_COLUMNS if c in has]
 
     # pass 1: clip the money columns
     df = stats.attach_quantiles(df, {c: (F.col(c), [K.CLIP_LOW, K.CLIP_HIGH]) for c in money})

@@ -120,14 +120,15 @@ def audit_events(t: Tables) -> DataFrame:
 
 
 def audit_events_from(events: DataFrame) -> DataFrame:
-    """Login-attempt binding over the event log (batch or stream)."""
+    """Login-attempt binding over the event log (batch or stream), every row of
+    it: errors and bare views are failed attempts, all other actions succeed."""
     e = F.expr
-    return events.where(F.col("event_type").isin("error", "signup")).select(
+    return events.select(
         "event_id",
         F.col("ts").alias("created_at"),
         "user_id",
         e("concat('user', cast(user_id as string))").alias("login_attempted"),
-        e("case when event_type = 'error' then 'LOGIN_FAILED' else 'LOGIN_SUCCESS' end").alias("event_type"),
+        e("case when event_type in ('error', 'view') then 'LOGIN_FAILED' else 'LOGIN_SUCCESS' end").alias("event_type"),
         e("concat('10.0.0.', cast(cast(floor(value) as bigint) % 4 as string))").alias("ip_address"),
     )
 
@@ -140,3 +141,13 @@ def users(t: Tables) -> DataFrame:
         (F.col("user_id") % 10 != 0).alias("is_active"),
         (F.lit(1) + F.col("user_id") % 3).cast("int").alias("role_id"),
     )
+
+
+def accounts(t: Tables) -> DataFrame:
+    """The users with further keys: every 50th has the e-mail address of the user
+    before, every 70th, in capitals, the user name of the second before."""
+    e = F.expr
+    return users(t).select(
+        "user_id", "login",
+        e("concat('user', cast(if(user_id % 50 = 0, user_id - 1, user_id) as string), '@example.org')").alias("email"),
+        e("if(user_id % 70 = 0, upper(concat(' name', cast(user_id - 2 as string))), concat('name', cast(user_id as string)))").alias("username"))

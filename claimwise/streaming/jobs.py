@@ -6,19 +6,28 @@ keeps its progress in a checkpoint folder under ``spark.checkpoint.dir``, so
 a restarted or failed run resumes exactly where it stopped.  Sinks are
 Parquet folders written by ``foreachBatch`` (idempotent per batch id) — no
 driver-side memory sink.
+
+Bounds.  ``max_files`` limits a micro-batch.  Event time runs against one
+``delay``: the ingest marks rows that come later than it (they are kept, as
+``late``, for a batch job to fold in), and the stateful jobs behind it use a
+watermark a little longer, so they forget what no on-time row can still touch and
+drop nothing themselves.  Run them once per ingested batch, as ``replay`` does: their
+watermark then trails the ingest's by a batch.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from .. import contracts as K
-from ..functions import dates as D
-from ..functions import numeric as N
-from ..functions import text as T
+from ..operators import audit
+from ..plans.clean import clean_claim_rows
+
+DELAY = "120 days"          # on-time rows are at most so far behind the newest one before their batch
+WATERMARK = "121 days"
+LOGIN_TTL = "90 days"       # a user unseen for so long is forgotten
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str | None = None,
@@ -45,76 +54,89 @@ def _batch_writer(path: str):
     return write
 
 
-def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    q = (df.writeStream.outputMode(mode).foreachBatch(_batch_writer(sink))
+def run_available(df: DataFrame, sink: str | None, checkpoint: str, mode: str = "append", write: Callable | None = None):
+    """Process what is there and stop; returns the query (its progress tells the state's size)."""
+    q = (df.writeStream.outputMode(mode).foreachBatch(write or _batch_writer(sink))
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
+
+
+def _batches(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Batch number -> folder of the batches written whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch_id=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    folders = [f.getPath().getParent() for f in found or []]
+    return {int(f.getName().removeprefix("batch_id=")): f.toString() for f in folders}
 
 
 # --------------------------------------------------------------------------
-# S1 incremental ingest (+ S5 dedup)
+# S1 incremental ingest with late rows apart
 # --------------------------------------------------------------------------
 
-def clean_claims_rowwise(raw: DataFrame) -> DataFrame:
-    """The row-local part of claim cleaning (ids, dates, text, status,
-    amounts, flags, durations, is_delayed).  The global-statistics part
-    (clip bounds, severity bands) runs on the accumulated table in batch."""
-    dt = {f.name: f.dataType for f in raw.schema.fields}
-    out = raw.withColumns({
-        "claim_id": T.normalize_id("claim_id"), "contract_id": T.normalize_id("contract_id"),
-        "client_id": T.normalize_id("client_id"), "vehicle_id": T.normalize_id("vehicle_id"),
-        "date_sinistre_claim": D.to_ts("date_sinistre_claim", dt["date_sinistre_claim"]),
-        "date_cloture_claim": D.to_ts("date_cloture_claim", dt["date_cloture_claim"]),
-        "type_sinistre_claim": T.clean_text("type_sinistre_claim", "title"),
-        "statut_sinistre_claim": T.standardize_status("statut_sinistre_claim"),
-        "est_frauduleux_claim": N.flag01("est_frauduleux_claim"),
-    })
-    for c in K.AMOUNT_COLUMNS:
-        v = N.to_double(c, dt[c])
-        out = out.withColumn(c, F.when(~(v < 0), v))
-    sla = N.to_double("sla_jours", dt["sla_jours"])
-    out = out.withColumn("sla_jours", F.when(~(sla < 0), sla))
-    h = D.hours_between("date_sinistre_claim", "date_cloture_claim")
-    out = out.withColumns({"duree_traitement_heures": h, "duree_traitement_jours": h / 24.0})
-    return out.withColumn("is_delayed", F.coalesce(F.col("duree_traitement_jours") > F.col("sla_jours"),
-                                                   F.lit(False)).cast("int"))
+MARK = "top timestamp_ntz"
+
+
+def late_marking_writer(sink: str, event_time: str, delay: str = DELAY) -> Callable:
+    """foreachBatch sink that adds ``late``: the row's event time is ``delay`` or more
+    behind the newest one of earlier batches.  Those maxima are one row a batch
+    beside the sink, so a batch that is run again decides alike.  Rows without event time are on time."""
+    marks = f"{sink}-marks"
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        before = [p for b, p in _batches(spark, marks).items() if b < batch_id]
+        top = spark.read.schema(MARK).parquet(*before).agg(F.max("top")).first()[0] if before else None
+        late = F.coalesce(F.col(event_time) <= F.lit(top).cast("timestamp_ntz") - F.expr(f"interval {delay}"), F.lit(False))
+        out = f"{sink}/batch_id={batch_id}"
+        df.withColumn("late", late).write.mode("overwrite").parquet(out)
+        spark.read.parquet(out).agg(F.max(event_time).cast("timestamp_ntz").alias("top")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+
+    return write
 
 
 def ingest_claims(spark: SparkSession, landing_dir: str, orders: DataFrame, sink: str, checkpoint: str,
-                  binding) -> None:
+                  binding, glob: str = "*.parquet", max_files: int | None = None, delay: str = DELAY):
     """New line-item files -> stream-static join with orders -> raw claim
-    binding -> row-local cleaning -> appended to the stg sink."""
-    li = file_stream(spark, landing_dir, "lineitem*.parquet")
-    raw = binding(li, orders)
-    run_available(clean_claims_rowwise(raw), sink, checkpoint)
+    binding -> the row-local cleaning of the batch layer -> the stg sink, with
+    ``late`` rows marked."""
+    raw = binding(file_stream(spark, landing_dir, glob, max_files), orders)
+    return run_available(clean_claim_rows(raw), None, checkpoint, write=late_marking_writer(sink, "date_sinistre_claim", delay))
 
 
-def dedup_claim_ids(spark: SparkSession, stg_dir: str, sink: str, checkpoint: str,
-                    watermark: str = "3650 days") -> None:
-    """Drop repeated claim ids within the watermark (event time = claim
-    date).  State per key is kept only until the watermark passes it."""
-    s = file_stream(spark, stg_dir).select("claim_id", "date_sinistre_claim") \
-        .withColumn("_et", F.col("date_sinistre_claim").cast("timestamp"))
-    d = s.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(["claim_id"]).drop("_et")
-    run_available(d, sink, checkpoint)
+def _on_time(spark: SparkSession, stg_dir: str, watermark: str, max_files: int | None) -> DataFrame:
+    s = file_stream(spark, stg_dir, max_files=max_files).where("not late and date_sinistre_claim is not null")
+    return s.withColumn("_et", F.col("date_sinistre_claim").cast("timestamp")).withWatermark("_et", watermark)
 
 
 # --------------------------------------------------------------------------
-# S4 windowed KPI
+# S5 dedup, S4 windowed KPI
 # --------------------------------------------------------------------------
 
+def dedup_claims(spark: SparkSession, stg_dir: str, sink: str, checkpoint: str, whole_rows: bool = False,
+                 watermark: str = WATERMARK, max_files: int | None = None):
+    """The first row of each claim id, or each different row (``whole_rows``),
+    among the rows on time.  A key is held until the watermark passes it."""
+    s = _on_time(spark, stg_dir, watermark, max_files).drop("batch_id")
+    keys = ["claim_id"]
+    if whole_rows:
+        s = s.withColumn("_row", F.xxhash64(*[c for c in s.columns if c != "_et"]))
+        keys = ["claim_id", "_row"]
+    return run_available(s.dropDuplicatesWithinWatermark(keys).drop("_et", "_row"), sink, checkpoint)
+
+
 def daily_claim_kpis(spark: SparkSession, stg_dir: str, sink: str, checkpoint: str,
-                     watermark: str = "3650 days") -> None:
-    """Claims per event-time day (count, payout sum, delayed count) with
-    a watermark; update mode — each batch emits the windows it changed."""
-    s = file_stream(spark, stg_dir).withColumn("_et", F.col("date_sinistre_claim").cast("timestamp"))
-    agg = (s.withWatermark("_et", watermark)
+                     watermark: str = WATERMARK, max_files: int | None = None):
+    """Claims per event-time day (count, payout sum, delayed count); update
+    mode — each batch emits the windows it changed, a day's state goes once the
+    watermark has passed its end."""
+    agg = (_on_time(spark, stg_dir, watermark, max_files)
              .groupBy(F.window("_et", "1 day").alias("w"))
              .agg(F.count(F.lit(1)).alias("claims"),
-                  F.sum("montant_indemnisation_claim").alias("payout"),
+                  F.sum(F.col("montant_indemnisation_claim").cast("decimal(28,6)")).cast("double").alias("payout"),    # exact in any order
                   F.sum("is_delayed").alias("delayed")))
     out = agg.select(F.col("w.start").alias("window_start"), "claims", "payout", "delayed")
-    run_available(out, sink, checkpoint, mode="update")
+    return run_available(out, sink, checkpoint, mode="update")
 
 
 def latest_per_key(sink_df: DataFrame, key: list[str]) -> DataFrame:
@@ -123,55 +145,53 @@ def latest_per_key(sink_df: DataFrame, key: list[str]) -> DataFrame:
                                               F.col("batch_id")).alias("_r")).select(*key, "_r.*").drop("batch_id")
 
 
+def replay(arrivals: list[DataFrame], landing: str, jobs: list[Callable[[], object]]) -> None:
+    """Lands the arrivals one by one and runs the jobs, in order, after each."""
+    for rows in arrivals:
+        rows.write.mode("append").parquet(landing)
+        for job in jobs:
+            job()
+
+
 # --------------------------------------------------------------------------
-# S3 stateful login monitor
+# S3 login monitor
 # --------------------------------------------------------------------------
 
-MONITOR_OUT = ("event_id long, user_id long, login_attempted string, created_us long, event_type string, "
-               "ip_address string, consecutive_failures int, previous_ip string")
-MONITOR_STATE = "fails long, last_ip string"
-
-
-def _monitor(key, pdfs, state):
-    """Per user: the running state is (failures since the last success, the
-    last success IP).  Rows of one micro-batch are ordered by event time and
-    processed with vectorised cumulative sums (no per-row loop)."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["created_us", "event_id"], kind="stable")
-    fails0, ip0 = (state.get if state.exists else (0, None))
-    succ = (pdf["event_type"] == "LOGIN_SUCCESS").astype("int64")
-    fail = (pdf["event_type"] == "LOGIN_FAILED").astype("int64")
-    grp = succ.cumsum()
-    fails_before = fail.groupby(grp).cumsum() - fail
-    since = fails_before.where(grp > 0, fails_before + int(fails0))
-    # previous success IP seen strictly before each row
-    prev_ip = pdf["ip_address"].where(succ == 1).shift(1).ffill()
-    prev_ip = prev_ip.where(prev_ip.notna() | (grp - succ > 0), ip0) if ip0 is not None else prev_ip
-    out = pd.DataFrame({
-        "event_id": pdf["event_id"].astype("int64"),
-        "user_id": pdf["known_user_id"].astype("int64"),
-        "login_attempted": pdf["login_attempted"],
-        "created_us": pdf["created_us"].astype("int64"),
-        "event_type": pdf["event_type"],
-        "ip_address": pdf["ip_address"],
-        "consecutive_failures": (since.clip(upper=K.AUDIT_MAX_LOOKBACK) + 1).where(fail == 1).astype("Int32"),
-        "previous_ip": prev_ip.where(succ == 1),
-    })
-    if succ.any():
-        last = succ[succ == 1].index[-1]
-        pos = pdf.index.get_loc(last)
-        new_fails = int(fail.iloc[pos + 1:].sum())
-        new_ip = pdf["ip_address"].loc[last]
-    else:
-        new_fails = int(fails0) + int(fail.sum())
-        new_ip = ip0
-    state.update((new_fails, new_ip))
-    yield out
-
-
-def login_monitor(resolved_events: DataFrame) -> DataFrame:
-    """S3: stateful per-user run length and previous success IP."""
-    ev = resolved_events.where(F.col("known_user_id").isNotNull()) \
-        .withColumn("created_us", F.unix_micros(F.col("created_at").cast("timestamp")))
-    ev = ev.select("event_id", "known_user_id", "login_attempted", "created_us", "event_type", "ip_address")
-    return ev.groupBy("known_user_id").applyInPandasWithState(
-        _monitor, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
+def login_writer(sink: str, ttl: str = LOGIN_TTL) -> Callable:
+    """foreachBatch sink of resolved login attempts: the segmented scan of the batch
+    layer over the micro-batch, with the users' state of the batch before carried in.
+
+    A user's rows spread over as many tasks as they fill (segments), and only one row
+    per user and segment meets the state.  The state after a batch is a table of
+    its own, read by the next batch only (so a batch run again starts from the same
+    state); users unseen for ``ttl``, by event time, leave it: it is bounded by the
+    users of that span, each with one row."""
+    states = f"{sink}-state"
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        earlier = {b: p for b, p in _batches(spark, states).items() if b < batch_id}
+        state = spark.read.schema(audit.LOGIN_STATE).parquet(earlier[max(earlier)]) if earlier else None
+        known = df.where(F.col("known_user_id").isNotNull()).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+        scan, after = audit.login_scan(known, state)
+        failed, success = F.col("event_type") == "LOGIN_FAILED", F.col("event_type") == "LOGIN_SUCCESS"
+        run = (F.least(F.col("fails_since_success"), F.lit(audit.K.AUDIT_MAX_LOOKBACK)) + 1).cast("int")
+        scan.select("event_id", F.col("known_user_id").alias("user_id"), "login_attempted", "created_at", "event_type", "ip_address",
+                    F.when(failed, run).alias("consecutive_failures"), F.when(success, F.col("prev_success_ip")).alias("previous_ip")) \
+            .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        newest = after.agg(F.max("last_seen").alias("_newest"))
+        kept = after.crossJoin(F.broadcast(newest)).where(F.col("last_seen") > F.col("_newest") - F.expr(f"interval {ttl}")).drop("_newest")
+        kept.write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
+
+    return write
+
+
+def login_monitor(resolved_events: DataFrame, sink: str, checkpoint: str, ttl: str = LOGIN_TTL):
+    """S3: per user the run of failures and the previous success IP, over micro-batches."""
+    return run_available(resolved_events, None, checkpoint, write=login_writer(sink, ttl))
+
+
+def login_state(spark: SparkSession, sink: str) -> DataFrame:
+    """The users' state after the last batch."""
+    found = _batches(spark, f"{sink}-state")
+    return spark.read.schema(audit.LOGIN_STATE).parquet(found[max(found)])

@@ -203,9 +203,9 @@ select concat(' clm-', cast(l_orderkey as string), '-', cast(l_linenumber as str
 from lineitem join orders on l_orderkey = o_orderkey""",
 "audit_events": """
 select event_id, ts as created_at, user_id, concat('user', cast(user_id as string)) as login_attempted,
-  case when event_type = 'error' then 'LOGIN_FAILED' else 'LOGIN_SUCCESS' end as event_type,
+  case when event_type = 'error' or event_type = 'view' then 'LOGIN_FAILED' else 'LOGIN_SUCCESS' end as event_type,
   concat('10.0.0.', cast(cast(floor(value) as bigint) % 4 as string)) as ip_address
-from events where event_type in ('error', 'signup')""",
+from events""",
 "users": """
 select user_id, concat('user', cast(user_id as string)) as login, user_id % 10 <> 0 as is_active, cast(1 + user_id % 3 as int) as role_id
 from (select distinct user_id from events) u""",

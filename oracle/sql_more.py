@@ -252,16 +252,11 @@ S["h18_audit_counters"] = """SELECT count_if(NOT is_resolved AND severity = 'ERR
 S["b12_j7_audit_filter_tail"] = """SELECT event_id, seq, created_at, user_id, severity, message, consecutive_failures FROM alog
 WHERE severity = 'ERROR' AND event_type = 'LOGIN_FAILED' ORDER BY created_at DESC, event_id DESC, seq DESC LIMIT 200"""
 S["j16_resolve_locked_accounts"] = """
-SELECT event_type, severity, is_resolved, count(*) AS n, count(resolved_at) AS n_with_resolution_time FROM (
-  SELECT a.event_type, a.severity,
-    CASE WHEN l.user_id IS NOT NULL AND NOT a.is_resolved AND a.event_type IN ('LOGIN_FAILED', 'ACCOUNT_LOCKED')
-         THEN true ELSE a.is_resolved END AS is_resolved,
-    CASE WHEN l.user_id IS NOT NULL AND NOT a.is_resolved AND a.event_type IN ('LOGIN_FAILED', 'ACCOUNT_LOCKED')
-         THEN l.resolved_at ELSE a.resolved_at END AS resolved_at
-  FROM alog a LEFT JOIN (SELECT user_id, min(created_at) AS resolved_at FROM alog WHERE event_type = 'ACCOUNT_LOCKED'
-                         GROUP BY user_id) l ON a.user_id = l.user_id) x
-GROUP BY event_type, severity, is_resolved"""
-
+SELECT a.event_id, a.seq, a.user_id, a.event_type, a.severity, h.hit AS is_resolved,
+  CASE WHEN h.hit THEN 'admin' END AS resolved_by, CASE WHEN h.hit THEN l.first_lock END AS resolved_at
+FROM alog a LEFT JOIN (SELECT user_id, min(created_at) AS first_lock FROM alog WHERE event_type = 'ACCOUNT_LOCKED' GROUP BY user_id) l
+  ON a.user_id = l.user_id,
+LATERAL (SELECT l.first_lock IS NOT NULL AND a.event_type IN ('LOGIN_FAILED', 'ACCOUNT_LOCKED') AS hit) h"""
 _ROLES = ", ".join(f"({i}, '{n}')" for i, n, _d in K.ROLES)
 _PERM = ", ".join(f"({i}, '{r}:{a}')" for i, _n, r, a in K.PERMISSIONS)
 _RP = ", ".join(f"({r}, {p})" for _i, r, p in K.ROLE_PERMISSIONS)
@@ -274,7 +269,11 @@ LEFT JOIN (SELECT role_id, string_agg(p, ',' ORDER BY permission_id) AS permissi
 S["g9_audit_log_with_user_role"] = """SELECT a.event_id, a.seq, a.event_type, a.severity, a.user_id, u.login, u.role_name
 FROM alog a LEFT JOIN uperm u ON a.user_id = u.user_id"""
 S["g10_user_permissions"] = "SELECT * FROM uperm"
-S["g11_login_conflicts"] = """SELECT * FROM users u WHERE EXISTS (SELECT 1 FROM users o WHERE o.login = u.login AND o.user_id <> u.user_id)"""
+EXTRA_CTES["accounts"] = """SELECT user_id, 'user' || user_id AS login,
+  'user' || (CASE WHEN user_id % 50 = 0 THEN user_id - 1 ELSE user_id END) || '@example.org' AS email,
+  CASE WHEN user_id % 70 = 0 THEN 'name' || (user_id - 2) ELSE 'name' || user_id END AS username FROM users"""
+S["g11_login_conflicts"] = " UNION ALL ".join(f"""SELECT a.user_id, '{k}' AS key, any_value(a.{k}) AS value, count(*) AS others, min(o.user_id) AS other
+FROM accounts a JOIN accounts o ON a.{k} = o.{k} AND a.user_id <> o.user_id GROUP BY a.user_id""" for k in ("login", "email", "username"))
 S["h19_user_counters"] = """SELECT count(*) AS total_users, count_if(is_active) AS active_users, count_if(NOT is_active) AS inactive_users
 FROM users"""
 
@@ -408,11 +407,20 @@ S["g14_distinct_run_ids"] = "SELECT DISTINCT prediction_run_id FROM drec WHERE p
 # ---------------------------------------------------------------------------
 # streaming results equal the batch definitions
 # ---------------------------------------------------------------------------
-S["s1_streaming_claim_ingest"] = "SELECT * FROM cl1"
-S["s5_streaming_dedup_claim_ids"] = "SELECT DISTINCT claim_id FROM cl1"
+# five landings by the claim date, every 7th part one later, every 11th sent again; late: 120 days or more behind the newest before
+EXTRA_CTES.update({
+    "landed": """SELECT c.*, CAST(a.first + r.more AS INTEGER) AS batch_id FROM (SELECT *, least(4, least(4,
+  datediff('day', DATE '1995-01-01', CAST(date_sinistre_claim AS DATE)) // 480) + CAST(l_partkey % 7 = 0 AS INTEGER)) AS first FROM cl1) a
+  JOIN (VALUES (0), (1)) r(more) ON r.more = 0 OR (a.l_partkey % 11 = 0 AND a.first < 4), LATERAL (SELECT a.* EXCLUDE (first)) c""",
+    "marked": """SELECT l.*, coalesce(l.date_sinistre_claim <= t.top - INTERVAL 120 DAY, false) AS late FROM landed l LEFT JOIN (
+  SELECT b.batch_id, max(e.date_sinistre_claim) AS top FROM (SELECT DISTINCT batch_id FROM landed) b JOIN landed e ON e.batch_id < b.batch_id
+  GROUP BY b.batch_id) t ON l.batch_id = t.batch_id""",
+})
+S["s1_streaming_claim_ingest"] = "SELECT * FROM marked"
+S["s5_streaming_dedup_claim_ids"] = "SELECT DISTINCT claim_id FROM marked WHERE NOT late"
 S["s4_streaming_daily_claim_kpis"] = """SELECT strftime(CAST(date_sinistre_claim AS DATE), '%Y-%m-%d') AS day, count(*) AS claims,
-  round_even(sum(montant_indemnisation_claim), 2) AS payout, CAST(sum(is_delayed) AS BIGINT) AS delayed
-FROM cl1 GROUP BY 1"""
+  round_even(CAST(sum(CAST(montant_indemnisation_claim AS DECIMAL(28,6))) AS DOUBLE), 2) AS payout, CAST(sum(is_delayed) AS BIGINT) AS delayed
+FROM (SELECT DISTINCT * EXCLUDE (batch_id) FROM marked WHERE NOT late) x GROUP BY 1"""
 S["s3_streaming_login_monitor"] = """SELECT ks.event_id, ks.known_user_id AS user_id, ks.event_type, ks.ip_address,
   kf.consecutive_failures, CASE WHEN ks.event_type = 'LOGIN_SUCCESS' THEN ks.prev_success_ip END AS previous_success_ip
 FROM ks LEFT JOIN kf ON ks.event_id = kf.event_id"""
