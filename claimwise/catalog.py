@@ -382,24 +382,30 @@ def q_latest(spark, sf_dir):
 
 @query("b11_c10_cost_dashboard_filter")
 def q_dash_filter(spark, sf_dir):
-    """Risk level equals + claim id contains + run id equals."""
+    """Risk level equals + claim id contains."""
     pred = runs.cost_predictions(Ctx(spark, sf_dir).scored)
-    return (pred.where((F.col("cost_risk_level") == "High") & T.contains_text("claim_id", "-7"))
-                .select("claim_id", "predicted_cost", "cost_risk_level"))
+    return scoring.dashboard_filter(pred, risk="Medium", risk_col="cost_risk_level", claim_text="-3").select(
+        "claim_id", "predicted_cost", "cost_risk_level")
+
+
+@query("b11_delay_dashboard_filter")
+def q_dash_delay(spark, sf_dir):
+    """The records of one run: risk level, delayed flag, run id and claim id text together."""
+    rec = runs.delay_records(runs.delay_predictions(Ctx(spark, sf_dir).scored))
+    return scoring.dashboard_filter(rec, risk="High", claim_text="-2", run_id=runs.run_id("RUN"), flag_col="predicted_delayed", flag=1).select(
+        "prediction_run_id", "claim_id", "delay_probability", "predicted_delayed", "risk_level")
 
 
 @query("b7_closed_claims_amount")
 def q_closed(spark, sf_dir):
-    c = Ctx(spark, sf_dir).ml
-    cl = scoring.closed_claims(c)
-    return cl.groupBy("statut_sinistre_claim").agg(
-        F.count(F.lit(1)).alias("n"), r2(F.avg("montant_indemnisation_claim")).alias("avg_amount"))
+    """The closed claims themselves (a null status counts as closed), with their amounts."""
+    return scoring.closed_claims(Ctx(spark, sf_dir).ml).select("claim_id", "statut_sinistre_claim", "montant_indemnisation_claim", "montant_estime_dommage_claim")
 
 
 @query("b8_cost_target_claims")
 def q_cost_target(spark, sf_dir):
-    c = Ctx(spark, sf_dir).ml
-    return scoring.cost_target_claims(c).groupBy("statut_sinistre_claim").agg(F.count(F.lit(1)).alias("n"))
+    """The claims that the cost model learns from, with its target."""
+    return scoring.cost_target_claims(Ctx(spark, sf_dir).ml).select("claim_id", "statut_sinistre_claim", "montant_indemnisation_claim")
 
 
 @query("h14_prediction_period")

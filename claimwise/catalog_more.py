@@ -187,6 +187,7 @@ def q_user_counts(spark, sf_dir):
 from . import contracts as _K  # noqa: E402
 from .functions import text as _TX  # noqa: E402
 from .operators import align as _AL  # noqa: E402
+from .plans import documents as DOC  # noqa: E402
 from .plans import layers as _L  # noqa: E402
 from .plans import runs as _RUNS  # noqa: E402
 from .sources import sinks as SK  # noqa: E402
@@ -301,6 +302,43 @@ def q_preview(spark, sf_dir):
     return SK.preview(BND.clients_raw(_T(spark, sf_dir)), ["client_id", "dup"])
 
 
+# the documents are written, read back by their schema and taken apart again
+
+def _document(spark, doc, name):
+    path = f"{_scratch(spark, name)}/document"
+    DOC.write_document(doc, path)
+    return DOC.read_document(spark, path, doc.schema)
+
+
+@query("a18_delay_document")
+def q_doc_delay(spark, sf_dir):
+    """One row per claim listed in the delay document, with the summary and the tier counts beside it."""
+    d = _document(spark, DOC.delay_document(_RUNS.delay_predictions(Ctx(spark, sf_dir).scored)), "doc-delay")
+    tiers = [F.coalesce(F.col("risk_distribution")[t], F.lit(0)).alias(f"n_{t.lower()}") for t in ("High", "Medium", "Low")]
+    return d.select("run_timestamp", "model_name", "decision_threshold", "currency", "summary.*", *tiers, F.posexplode("top_high_risk_claims").alias("pos", "c")) \
+            .select("*", *[F.col(f"c.{f}").alias(f) for f in DOC.DELAY_TOP]).drop("c")
+
+
+@query("a18_fraud_document")
+def q_doc_fraud(spark, sf_dir):
+    d = _document(spark, DOC.fraud_document(_RUNS.fraud_predictions(Ctx(spark, sf_dir).scored)), "doc-fraud")
+    s = d.select("summary.*", F.posexplode("top_suspicious_claims").alias("pos", "c"))
+    return s.select(*[c for c in s.columns if c not in ("c", "risk_distribution", "assumptions")], F.col("assumptions.amount_column").alias("amount_column"),
+                    F.size("risk_distribution").alias("n_tiers"), *[F.col(f"c.{f}").alias(f) for f in DOC.FRAUD_TOP])
+
+
+@query("a18_forecast_document")
+def q_doc_forecast(spark, sf_dir):
+    """One row per month and alert of the nested details (months without one keep a row)."""
+    d = _document(spark, DOC.forecast_document(forecast_run.run(Ctx(spark, sf_dir).ml).monthly), "doc-forecast")
+    m = d.select("currency", F.col("summary.total_alerts").alias("total_alerts"), F.size("flat_table").alias("n_flat"),
+                 F.posexplode("monthly_details").alias("pos", "m"))
+    return m.select("currency", "total_alerts", "n_flat", "pos", "m.period", "m.month", "m.seasonal_context", "m.risk_level", "m.is_surge_month",
+                    "m.forecast.*", "m.business_kpis.*", F.array_join("m.recommendations", " | ").alias("recommendations"),
+                    F.explode_outer("m.alerts").alias("a")) \
+            .select("*", F.col("a.level").alias("alert_level"), F.col("a.type").alias("alert_type"), F.col("a.message").alias("alert_message")).drop("a")
+
+
 @query("a19_table_stats")
 def q_stats(spark, sf_dir):
     return SK.table_stats(Ctx(spark, sf_dir).ml, "statut_sinistre_claim", _K.ACTIVE_STATUSES)
@@ -528,6 +566,34 @@ def trained(spark, sf_dir, kind: str):
     return _TRAINED[key]
 
 
+@query("m5_stratified_split")
+def q_split(spark, sf_dir):
+    """The delay model's split: which closed claim trains and which tests."""
+    d = _closed(Ctx(spark, sf_dir).ml).where(F.col("is_delayed").isNotNull())
+    return TR.stratified_split(d.select("claim_id", "is_delayed"), "claim_id", "is_delayed")
+
+
+@query("g7_duration_labels")
+def q_duration(spark, sf_dir):
+    """The duration model's table: features with the excess delay of the clean claims."""
+    c = Ctx(spark, sf_dir)
+    return TR.duration_labels(c.ml, c.cl.claims)
+
+
+@query("m9_duration_folds")
+def q_folds(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TR.with_folds(TR.duration_labels(c.ml, c.cl.claims), "claim_id", TR.DURATION_FOLDS).select("claim_id", "excess_delay_days", "fold")
+
+
+@query("m9_duration_search_scores")
+def q_duration_search(spark, sf_dir):
+    """Every sampled parameter set and fold with its error; no rows below the least number of labels."""
+    c = Ctx(spark, sf_dir)
+    found = TR.tune_duration_regressor(TR.duration_labels(c.ml, c.cl.claims), "claim_id", TR.DELAY_DROP)
+    return found.scores if found else spark.createDataFrame([], "draw int, max_depth int, max_iter int, fold int, n long, rmse double")
+
+
 @query("m1_m6_m22_delay_model_comparison")
 def q_m_delay(spark, sf_dir):
     tr, path = trained(spark, sf_dir, "delay")

@@ -128,18 +128,25 @@ def roc_pr_auc(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, actual: str, pred: str) -> DataFrame:
-    """MAE, RMSE, R² (1 − SSE/SST, not regr_r2) and median absolute error."""
+    """MAE, RMSE, R² (1 − SSE/SST, not regr_r2) and median absolute error, and
+    AUC, precision and accuracy of the prediction as a sign that the actual value lies
+    above its median (F5); precision is 0 when nothing is predicted above it."""
+    from . import stats
     d = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull())
     e = F.col(pred) - F.col(actual)
-    mean_y = d.agg(F.avg(actual).alias("_my"))
-    x = d.crossJoin(F.broadcast(mean_y))
-    from . import stats
-    med = stats.quantile_row(d, {"ae": (F.abs(e), [0.5])}).select(F.col(stats.QCOL.format("ae"))[0].alias("median_ae"))
+    one = d.agg(F.avg(actual).alias("_my"))
+    q = stats.quantile_row(d, {"ae": (F.abs(e), [0.5]), "y": (F.col(actual), [0.5])}).select(
+        F.col(stats.QCOL.format("ae"))[0].alias("median_ae"), F.col(stats.QCOL.format("y"))[0].alias("_mid"))
+    x = d.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(q.select("_mid")))
+    high, said = F.col(actual) > F.col("_mid"), F.col(pred) > F.col("_mid")
+    auc = roc_pr_auc(x.withColumn("_high", high.cast("int")), "_high", pred).select(F.col("roc_auc").alias("auc"))
     return x.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        (1 - F.sum(e * e) / F.sum((F.col(actual) - F.col("_my")) ** 2)).alias("r2")).crossJoin(med)
+        (1 - F.sum(e * e) / F.sum((F.col(actual) - F.col("_my")) ** 2)).alias("r2"),
+        F.coalesce(F.try_divide(F.count_if(high & said), F.count_if(said)), F.lit(0.0)).alias("precision"),
+        (F.count_if(high == said) / F.count(F.lit(1))).alias("accuracy")).crossJoin(F.broadcast(q.select("median_ae"))).crossJoin(F.broadcast(auc))
 
 
 def forecast_metrics(actual_vs_pred: DataFrame, key: str = "kpi") -> DataFrame:

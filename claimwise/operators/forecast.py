@@ -35,10 +35,11 @@ def clamp_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kpi string, lo double, hi double, always boolean")
 
 
-def anchor_month(series_end: Column, live_anchor: Column) -> Column:
+def anchor_month(series_end: Column, live_anchor: Column, today: Column | None = None) -> Column:
     """K4: the later of the latest active-claim month and the series end
-    (either may be missing)."""
-    return F.greatest(F.trunc(series_end, "MM"), F.trunc(live_anchor, "MM"))
+    (either may be missing); with neither, the month before ``today``."""
+    later = F.greatest(F.trunc(series_end, "MM"), F.trunc(live_anchor, "MM"))
+    return later if today is None else F.coalesce(later, F.add_months(F.trunc(today, "MM"), -1))
 
 
 def horizon_grid(anchor: DataFrame, horizon: int = K.FORECAST_HORIZON) -> DataFrame:

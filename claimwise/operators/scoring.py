@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as K
 from ..functions import numeric as N
+from ..functions import text as T
 
 
 def _c(c) -> Column:
@@ -41,6 +42,27 @@ def closed_claims(df: DataFrame, status_col: str = "statut_sinistre_claim") -> D
     return df.where(~F.coalesce(F.col(status_col).isin(*K.ACTIVE_STATUSES), F.lit(False)))
 
 
+def required_active(df: DataFrame) -> DataFrame:
+    """B6 (delay, cost): the active claims; a run without any is an error."""
+    active = active_claims(df)
+    if active.isEmpty():
+        raise ValueError("No active claims found. Check data or status values.")
+    return active
+
+
+def dashboard_filter(df: DataFrame, risk: str | None = None, risk_col: str = "risk_level", claim_text: str | None = None,
+                     run_id: str | None = None, flag_col: str | None = None, flag: int | None = None) -> DataFrame:
+    """The dashboards' filters, each one optional: risk level, part of the
+    claim id (C10), run, flagged / delayed or not."""
+    if risk:
+        df = df.where(F.col(risk_col) == risk)
+    if claim_text:
+        df = df.where(T.contains_text("claim_id", claim_text))
+    if run_id:
+        df = df.where(F.col("prediction_run_id") == run_id)
+    return df.where(F.col(flag_col) == flag) if flag_col and flag is not None else df
+
+
 def cost_target_claims(df: DataFrame, status_col: str = "statut_sinistre_claim",
                        closed_statuses: list[str] | None = None) -> DataFrame:
     """Closed-status IN filter for the cost target."""

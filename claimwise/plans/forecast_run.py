@@ -45,7 +45,7 @@ def run(ml: DataFrame, horizon: int = K.FORECAST_HORIZON, as_of: _dt.date = AS_O
     base = series.baselines(long)
     live = scoring.active_claims(ml).agg(F.max("date_sinistre_claim").alias("_live"))
     end = hist.agg(F.max("period").alias("_end"))
-    anchor = end.crossJoin(live).select(FC.anchor_month(F.col("_end"), F.col("_live").cast("date")).alias("anchor"))
+    anchor = end.crossJoin(live).select(FC.anchor_month(F.col("_end"), F.col("_live").cast("date"), F.lit(as_of)).alias("anchor"))
     grid = FC.horizon_grid(anchor, horizon)
     point = (forecaster or FC.seasonal_naive)(long, grid)
     adj = FC.adjust(point, base)

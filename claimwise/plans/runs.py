@@ -73,7 +73,7 @@ DELAY_RECORD_PRED = ["delay_probability", "predicted_delayed", "risk_level", "pr
 
 
 def delay_predictions(scored: DataFrame, threshold: float = DELAY_THRESHOLD) -> DataFrame:
-    active = scoring.active_claims(scored)
+    active = scoring.required_active(scored)
     amt = align.first_present(active, K.AMOUNT_COLUMNS)
     p = scoring.delay_tiers(active, threshold)
     p = scoring.excess_days(p, threshold)
@@ -137,4 +137,4 @@ def tiered_queues(pred: DataFrame, n: int = K.TOP_QUEUE_SIZE, prob: str = "fraud
 # --------------------------------------------------------------------------
 
 def cost_predictions(scored: DataFrame) -> DataFrame:
-    return scoring.cost_tiers(scoring.active_claims(scored))
+    return scoring.cost_tiers(scoring.required_active(scored))

@@ -133,18 +133,6 @@ def ensure_database(spark: SparkSession, name: str) -> bool:
     return existed
 
 
-def json_document(summary: DataFrame, rows: DataFrame, rows_name: str, order_col: str,
-                  top: int) -> DataFrame:
-    """One JSON document = summary struct + the top ``top`` rows by
-    ``order_col``; how many is the document's own contract, so the caller
-    states it (and thereby bounds the array gathered into one row)."""
-    rows = rows.orderBy(order_col).limit(top)
-    arr = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_k"), F.struct(*rows.columns).alias("r"))))
-                   .alias("_a")).select(F.transform("_a", lambda s: s["r"]).alias(rows_name))
-    doc = summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(arr)
-    return doc.select(F.to_json(F.struct("summary", rows_name)).alias("document"))
-
-
 def table_stats(df: DataFrame, status_col: str, active: list[str]) -> DataFrame:
     """Rows, columns, first 10 column names, counts per status (null
     included as its own group) and the active total."""

@@ -258,12 +258,13 @@ FROM (SELECT claim_id, delay_probability, risk_level FROM dp WHERE risk_level =
 S["j5_latest_claim"] = """SELECT claim_id, date_sinistre_claim, statut_sinistre_claim FROM clean_claims
 ORDER BY date_sinistre_claim DESC NULLS LAST, claim_id DESC LIMIT 1"""
 S["b11_c10_cost_dashboard_filter"] = """SELECT claim_id, predicted_cost, cost_risk_level FROM cp
-WHERE cost_risk_level = 'High' AND contains(claim_id, '-7')"""
-S["b7_closed_claims_amount"] = """SELECT statut_sinistre_claim, count(*) AS n, round_even(avg(montant_indemnisation_claim), 2) AS avg_amount
-FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN ('Ouvert', 'En_cours', 'En_cours_d_expertise'), false)
-GROUP BY statut_sinistre_claim"""
-S["b8_cost_target_claims"] = """SELECT statut_sinistre_claim, count(*) AS n FROM ml_claim
-WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé') GROUP BY statut_sinistre_claim"""
+WHERE cost_risk_level = 'Medium' AND contains(claim_id, '-3')"""
+S["b11_delay_dashboard_filter"] = """SELECT prediction_run_id, claim_id, delay_probability, predicted_delayed, risk_level FROM drec
+WHERE risk_level = 'High' AND contains(claim_id, '-2') AND prediction_run_id = 'RUN-20260428-000000' AND predicted_delayed = 1"""
+S["b7_closed_claims_amount"] = """SELECT claim_id, statut_sinistre_claim, montant_indemnisation_claim, montant_estime_dommage_claim
+FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN ('Ouvert', 'En_cours', 'En_cours_d_expertise'), false)"""
+S["b8_cost_target_claims"] = """SELECT claim_id, statut_sinistre_claim, montant_indemnisation_claim FROM ml_claim
+WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')"""
 S["h14_prediction_period"] = """SELECT COALESCE(year(max(date_sinistre_claim)), 2026) AS prediction_year,
   COALESCE(month(max(date_sinistre_claim)), 4) AS prediction_month FROM active"""
 

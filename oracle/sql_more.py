@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from claimwise import contracts as K
 
 from .sql import S
@@ -490,16 +492,19 @@ FROM (SELECT *, COALESCE(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECED
         FROM scored WHERE est_frauduleux_claim IS NOT NULL GROUP BY 1) g) w,
   (SELECT count_if(est_frauduleux_claim = 1) AS P, count_if(est_frauduleux_claim <> 1) AS Nn FROM scored
    WHERE est_frauduleux_claim IS NOT NULL) t"""
+EXTRA_CTES["reg0"] = """SELECT montant_estime_dommage_claim AS p, montant_indemnisation_claim AS y FROM ml_claim
+WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
+AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL"""
+EXTRA_CTES["reg1"] = f"SELECT p, y, p - y AS e, avg(y) OVER () AS my, m.mid FROM reg0, (SELECT ({_B.qlist('y', [0.5])})[1] AS mid FROM reg0) m"
 S["m15_cost_regression_metrics"] = f"""
 SELECT count(*) AS n, round_even(avg(abs(e)), 4) AS mae, round_even(sqrt(avg(e * e)), 4) AS rmse,
   round_even(1 - sum(e * e) / sum((y - my) * (y - my)), 4) AS r2,
-  round_even(({_B.qlist('abs(e)', [0.5])})[1], 4) AS median_ae
-FROM (SELECT montant_estime_dommage_claim - montant_indemnisation_claim AS e, montant_indemnisation_claim AS y
-  FROM ml_claim WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
-  AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL) d,
-  (SELECT avg(montant_indemnisation_claim) AS my FROM ml_claim
-   WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')
-   AND montant_indemnisation_claim IS NOT NULL AND montant_estime_dommage_claim IS NOT NULL) m"""
+  round_even(({_B.qlist('abs(e)', [0.5])})[1], 4) AS median_ae,
+  round_even(COALESCE(count_if(y > mid AND p > mid) / NULLIF(count_if(p > mid), 0), 0.0), 4) AS precision,
+  round_even(count_if((y > mid) = (p > mid)) / count(*), 4) AS accuracy,
+  round_even((SELECT (sum(rk) FILTER (WHERE y > mid) - count_if(y > mid) * (count_if(y > mid) + 1) / 2) / (count_if(y > mid) * count_if(y <= mid))
+    FROM (SELECT y, mid, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM reg1) r), 4) AS auc
+FROM reg1"""
 S["m16_forecast_holdout_metrics"] = """
 SELECT h.kpi, count(*) AS n, round_even(avg(abs(l.value - h.value)), 4) AS mae,
   round_even(avg(abs(l.value - h.value) / (abs(h.value) + 1e-9)) * 100, 4) AS mape_pct,
@@ -515,6 +520,39 @@ SELECT count(*) AS rows, count_if(est_frauduleux_claim = 1) AS positives,
   round_even((count(*) - count_if(est_frauduleux_claim = 1)) / greatest(count_if(est_frauduleux_claim = 1), 1), 4) AS imbalance_ratio
 FROM ml_claim WHERE est_frauduleux_claim IS NOT NULL"""
 
+# M5, M9: the id's hash, 60 bits of its MD5 with the seed
+_H = "CAST('0x' || substr(md5(claim_id || '|42'), 1, 15) AS BIGINT)"
+S["m5_stratified_split"] = f"""SELECT claim_id, is_delayed, CASE WHEN rk <= n - (n * 20 + 99) // 100 THEN 'train' ELSE 'test' END AS part FROM (
+  SELECT claim_id, is_delayed, row_number() OVER (PARTITION BY is_delayed ORDER BY {_H}, claim_id) AS rk, count(*) OVER (PARTITION BY is_delayed) AS n
+  FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN {ACTIVE}, false) AND is_delayed IS NOT NULL) s"""
+_EXCESS = """SELECT claim_id, greatest(duree_traitement_jours - sla_jours, 0.0) AS excess_delay_days FROM clean_claims
+WHERE is_delayed = 1 AND duree_traitement_jours IS NOT NULL AND sla_jours IS NOT NULL AND duree_traitement_jours > sla_jours"""
+S["g7_duration_labels"] = f"SELECT m.*, e.excess_delay_days FROM ml_claim m JOIN ({_EXCESS}) e ON m.claim_id = e.claim_id"
+S["m9_duration_folds"] = f"""SELECT m.claim_id, e.excess_delay_days, CAST({_H.replace('claim_id', 'm.claim_id')} % 2 AS INTEGER) AS fold
+FROM ml_claim m JOIN ({_EXCESS}) e ON m.claim_id = e.claim_id"""
+
+# The documents taken apart
+_DTOP = "claim_id, delay_probability, predicted_excess_days, delay_cost_at_risk_tnd, type_sinistre_claim, sla_jours"
+_DSUM = ("decision_threshold, total_active_claims, predicted_delayed_count, predicted_on_time_count, predicted_delay_rate_pct, high_risk_count, "
+         "medium_risk_count, low_risk_count, total_excess_days, avg_excess_days_per_delayed, total_amount_at_risk_tnd, cost_at_risk_tnd, "
+         "estimated_delay_penalty_tnd, recommended_agents, staffing_cost_tnd")
+S["a18_delay_document"] = f"""SELECT '2026-04-28 00:00:00' AS run_timestamp, 'surrogate' AS model_name, 'TND' AS currency, {_DSUM},
+  high_risk_count AS n_high, medium_risk_count AS n_medium, low_risk_count AS n_low, t.* FROM ({S["h4_h10_delay_run_summary"]}) s,
+  (SELECT CAST(row_number() OVER (ORDER BY delay_probability DESC, claim_id) - 1 AS INTEGER) AS pos, {_DTOP} FROM dp WHERE risk_level = 'High'
+   ORDER BY delay_probability DESC, claim_id LIMIT 15) t"""
+S["a18_fraud_document"] = f"""SELECT s.*, t.*, 'montant_indemnisation_claim' AS amount_column, (SELECT count(DISTINCT risk_level) FROM fp) AS n_tiers
+FROM ({S["h5_h8_fraud_kpis"]}) s,
+  (SELECT CAST(row_number() OVER (ORDER BY fraud_probability DESC, claim_id) - 1 AS INTEGER) AS pos, claim_id, fraud_probability, risk_level,
+   recommended_action, client_id, contract_id, type_sinistre_claim, statut_sinistre_claim, predicted_fraud, montant_indemnisation_claim FROM fp
+   ORDER BY fraud_probability DESC, claim_id LIMIT 20) t"""
+_NAMES = re.findall(r"(?:forecast|kpi)_[a-z_]+", _MONTH_COLS)
+S["a18_forecast_document"] = f"""SELECT 'TND' AS currency, t.n AS total_alerts, t.k AS n_flat, m.pos, m.period_label AS period, m.month, m.seasonal_context,
+  m.risk_level, m.is_surge_month, {', '.join(f"m.{c} AS {c.split('_', 1)[1]}" for c in _NAMES)}, r.recommendations_text AS recommendations,
+  a.alert_level, a.alert_type, a.alert_message
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY period_label) - 1 AS INTEGER) AS pos FROM ({S["k5_k6_k7_forecast_monthly_kpis"]}) x) m
+LEFT JOIN ({S["k8_k9_forecast_alerts"]}) a ON a.period_label = m.period_label
+JOIN ({S["k10_k12_forecast_monthly_flat"]}) r ON r.period_label = m.period_label,
+(SELECT CAST(sum(alert_count) AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS k FROM ({S["k5_k6_k7_forecast_monthly_kpis"]}) y) t"""
 S["a2_a17_csv_sink_and_scan"] = "SELECT * FROM clean_policies"
 S["g8_run_join_records_summary"] = """
 SELECT d.prediction_run_id, d.risk_level, s.total_active_claims, s.recommended_agents, count(*) AS n

@@ -26,17 +26,20 @@ def test_run_length_and_lockout(spark):
     ev = _events(spark, "SFFFFSF")
     users = spark.createDataFrame([(1, "user1", True, 1)], "user_id long, login string, is_active boolean, role_id int")
     known = AU.resolve_users(ev, users)
-    for chunk in (60, 3600, 86400):
-        f = AU.consecutive_failures(AU.segmented_login_scan(known, chunk)).orderBy("event_id").collect()
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    for segments in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(segments))
+        f = AU.consecutive_failures(AU.segmented_login_scan(known)).orderBy("event_id").collect()
         assert [r.consecutive_failures for r in f] == [1, 2, 3, 4, 1]
-    locks = AU.lockouts(AU.consecutive_failures(AU.segmented_login_scan(known, 60))).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", keep)
+    locks = AU.lockouts(AU.consecutive_failures(AU.segmented_login_scan(known))).collect()
     assert [r.event_id for r in locks] == [3]
 
 
 def test_run_length_caps_at_eleven(spark):
     ev = _events(spark, "S" + "F" * 14)
     users = spark.createDataFrame([(1, "user1", True, 1)], "user_id long, login string, is_active boolean, role_id int")
-    f = AU.consecutive_failures(AU.segmented_login_scan(AU.resolve_users(ev, users), 3600)).orderBy("event_id")
+    f = AU.consecutive_failures(AU.segmented_login_scan(AU.resolve_users(ev, users))).orderBy("event_id")
     assert [r.consecutive_failures for r in f.collect()][-4:] == [11, 11, 11, 11]
 
 
@@ -198,13 +201,21 @@ def test_running_sums_with_ties_nulls_and_a_hot_value(spark):
     assert running_sums(grouped.where("false"), "v", ["c"]).count() == 0
 
 
-def test_json_document_and_small_helpers(spark):
+def test_documents_keep_their_order_and_nulls(spark, tmp_path):
     import json
+    from claimwise.plans import documents as DOC
+    rows = spark.createDataFrame([(f"c{i:02}", i % 4 / 4, None if i == 3 else "x") for i in range(40)], "claim_id string, p double, note string").repartition(7)
+    doc = DOC.top_claims(rows, "p", 12, ["claim_id", "p", "note", "absent"], "top")
+    DOC.write_document(doc, str(tmp_path / "d"))
+    (text,) = [r[0] for r in spark.read.text(str(tmp_path / "d")).collect()]
+    top = json.loads(text)["top"]
+    assert [t["claim_id"] for t in top] == [f"c{i:02}" for i in range(3, 40, 4)] + ["c02", "c06"] and top[0]["note"] is None
+    assert DOC.read_document(spark, str(tmp_path / "d"), doc.schema).first()["top"][0]["p"] == 0.75
+    assert DOC.top_claims(rows.where("false"), "p", 3, ["claim_id"], "top").first()["top"] == []
+
+
+def test_small_helpers(spark):
     from claimwise.operators import stats
-    summary = spark.createDataFrame([(3, 1.5)], "n long, total double")
-    rows = spark.createDataFrame([("b", 2), ("a", 1)], "claim_id string, rank int")
-    doc = json.loads(SK.json_document(summary, rows, "top", "rank", 20).first()[0])
-    assert doc["summary"] == {"n": 3, "total": 1.5} and [r["claim_id"] for r in doc["top"]] == ["a", "b"]
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
     assert sorted(r.v for r in stats.median_fill(df, ["v"], "exact").collect()) == [1.0, 3.0, 3.0, 10.0]
     assert [r.above for r in stats.median_split(df.dropna(), "v", "above", "exact").orderBy("v").collect()] == [0, 0, 1]
@@ -228,29 +239,79 @@ def test_duration_regressor_tuning(spark):
         sla = float(rnd.randint(5, 40))
         excess = rnd.random() * 30 + 1
         rows.append((f"c{i}", 1, sla + excess, sla, rnd.random() * 1e4, rnd.choice(["Vol", "Accident"])))
-    df = spark.createDataFrame(rows, "claim_id string, is_delayed int, duree_traitement_jours double, "
-                                     "sla_jours double, montant_indemnisation_claim double, type_sinistre_claim string")
+    claims = spark.createDataFrame(rows, "claim_id string, is_delayed int, duree_traitement_jours double, "
+                                         "sla_jours double, montant_indemnisation_claim double, type_sinistre_claim string")
+    more = spark.createDataFrame([("x1", 0, 9.0, 5.0, 1.0, "Vol"), ("x2", 1, None, 5.0, 1.0, "Vol"), ("x3", 1, 4.0, 5.0, 1.0, "Vol")], claims.schema)
+    ml = claims.unionByName(more).drop("duree_traitement_jours")
+    df = TR.duration_labels(ml, claims.unionByName(more))
+    assert df.count() == 420 and df.where("excess_delay_days <= 0").count() == 0
     assert TR.tune_duration_regressor(df.limit(100), "claim_id", ["claim_id"]) is None
-    model = TR.tune_duration_regressor(df, "claim_id", ["claim_id"], draws=2)
-    assert model is not None
-    d = TR.apply_caps(df, {"type_sinistre_claim": ["Vol", "Accident"]})
-    assert model.transform(d).count() == 420
-
-
-def test_changed_table_is_reported_once_and_saved_after_success(spark, tmp_path):
-    from claimwise.plans import layers
-    from claimwise.sources import sinks
-
-    def refresh(policies, rebuild):
-        now = spark.createDataFrame([("clients", "1:1"), ("policies", policies)], "table_name string, fingerprint string")
-        return sorted(r["table_name"] for r in layers.refresh_changed(spark, str(tmp_path), now, sinks.snapshot_diff, rebuild).collect())
-
-    def fails(*_):
-        raise ValueError("rebuild")
-
-    built = []
-    good = lambda *_: built.append(1)
-    assert refresh("1:1", good) == ["clients", "policies"] and refresh("1:1", good) == [] and len(built) == 1
-    with pytest.raises(ValueError):
-        refresh("2:2", fails)
-    assert refresh("2:2", good) == ["policies"] and refresh("2:2", good) == [] and len(built) == 2
+    found = TR.tune_duration_regressor(df, "claim_id", ["claim_id"], draws=2, folds=3)
+    scores = found.scores.collect()
+    assert len(scores) == 6 and all(sum(r["n"] for r in scores if r["draw"] == d) == 420 for d in (0, 1))
+    means = {d: sum(r["rmse"] for r in scores if r["draw"] == d) for d in (0, 1)}
+    best = next(r for r in scores if r["draw"] == min(means, key=means.get))
+    assert found.params == {"maxDepth": best["max_depth"], "maxIter": best["max_iter"]}
+    d = TR.apply_caps(df, {"type_sinistre_claim": ["Vol", "Accident"]}, False)
+    assert found.best.transform(d).count() == 420
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 99, 20_000])
+def test_split_meets_each_labels_quota(spark, n):
+    from claimwise.models import training as TR
+    df = spark.range(n).select(F.concat(F.lit("c"), "id").alias("claim_id"), F.when(F.col("id") % 7 == 0, 1).when(F.col("id") % 7 < 6, 0).alias("y"))
+    got = TR.stratified_split(df.repartition(5), "claim_id", "y")
+    per = {r["y"]: (r["train"], r["n"]) for r in got.groupBy("y").agg(F.count_if(F.col("part") == "train").alias("train"), F.count("*").alias("n")).collect()}
+    assert sum(k for _, k in per.values()) == n and all(t == k - -(-k * 20 // 100) for t, k in per.values())
+    again = TR.stratified_split(df.repartition(3), "claim_id", "y")
+    assert got.exceptAll(again).count() == 0
+
+
+def test_conflicts_on_several_keys(spark):
+    from claimwise.operators import audit as AU
+    rows = [(1, "ann", "a@x", "n1"), (2, "ANN ", "b@x", "n2"), (3, "cid", "A@X", "n1"), (4, "dee", "", None), (5, "eve", "", None), (6, "fay", "fay", "fay")]
+    rows += [(i, f"l{i}", "shared@x", f"u{i}") for i in range(10, 40)]
+    got = {(r[0], r[1]): tuple(r[2:]) for r in AU.key_conflicts(spark.createDataFrame(rows, "user_id long, login string, email string, username string"),
+                                                                ["login", "email", "username"]).collect()}
+    want = {(1, "login"): ("ann", 1, 2), (2, "login"): ("ann", 1, 1), (1, "email"): ("a@x", 1, 3), (3, "email"): ("a@x", 1, 1),
+            (1, "username"): ("n1", 1, 3), (3, "username"): ("n1", 1, 1)}
+    want |= {(i, "email"): ("shared@x", 29, 11 if i == 10 else 10) for i in range(10, 40)}
+    assert got == want
+
+
+def test_runs_without_active_claims_fail(spark):
+    from claimwise.plans import runs
+    df = spark.createDataFrame([("c", "Clos", 1.0, 0.5, 0.5, 10.0)], "claim_id string, statut_sinistre_claim string, montant_indemnisation_claim double, "
+                                                                    "delay_probability double, fraud_probability double, predicted_cost double")
+    for run in (runs.delay_predictions, runs.cost_predictions):
+        with pytest.raises(ValueError, match="No active claims"):
+            run(df)
+    assert runs.fraud_predictions(df).count() == 1
+
+
+def test_anchor_falls_back_to_last_month(spark):
+    import datetime
+    from claimwise.operators import forecast as FC
+    d = datetime.date
+    rows = spark.createDataFrame([(None, None), (d(2024, 3, 9), None), (d(2024, 3, 9), d(2024, 5, 2))], "a date, b date")
+    got = [r[0] for r in rows.select(FC.anchor_month(F.col("a"), F.col("b"), F.lit(d(2026, 1, 15)))).collect()]
+    assert got == [d(2025, 12, 1), d(2024, 3, 1), d(2024, 5, 1)]
+
+
+def test_quantiles_stay_in_ranges_at_200_partitions(spark):
+    """Many distinct values, 200 shuffle partitions: no range holds the column, and only few ranges are read again."""
+    from claimwise.operators import prefix, stats
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 1_000_000
+        df = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"))
+        b = prefix.bucketed(df, ["v"], "test-ranges")
+        sizes = [r["count"] for r in b.groupBy("_b").count().collect()]
+        assert len(sizes) == 200 and max(sizes) < 4 * n / 200
+        row = stats.quantile_row(df, {"v": (F.col("v"), [0.0, 0.01, 0.5, 0.99, 1.0])}).first()[0]
+        assert row == pytest.approx([0.0, 9999.99, 499999.5, 989999.01, 999999.0])
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 # the llm queries and the pipeline are tested in tests/llm
 QUERIES = {k: v for k, v in E.queries().items() if not (k.startswith("op") or k == "pipeline")}
 ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
-PY_OK = {"s3_streaming_login_monitor", "m20_m21_series_model_selection", "m20_k5_forecast_with_fitted_models"}
+PY_OK = {"m20_m21_series_model_selection", "m20_k5_forecast_with_fitted_models"}
 
 
 
