@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts as K
-from ..session import scratch_path
+from ..session import written
 
 ORDER = ["created_at", "event_id"]
 
@@ -60,9 +60,7 @@ def _segments(events: DataFrame) -> DataFrame:
         "_ip_local": F.last(F.when(succ, F.col("ip_address")), ignorenulls=True).over(before),
         "_ts_local": F.last(F.when(succ, F.col("created_at")), ignorenulls=True).over(before),
     })
-    path = scratch_path(events.sparkSession, "login-segments")
-    ev.write.parquet(path)
-    return events.sparkSession.read.schema(ev.schema).parquet(path)
+    return written(ev, "login-segments")
 
 
 def _summaries(ev: DataFrame, state: DataFrame | None) -> DataFrame:

@@ -1,11 +1,11 @@
 """G1 keep-first dedup by key.
 
-Expressed as an aggregate, not a window: ``min_by(struct(row), struct(order))``
-per key.  The aggregate is partial (map-side), so a hot key holding a third of
-all rows is reduced to one candidate per input partition before the shuffle —
-no single task ever sees the whole hot group.  The order must be total
-(ties broken by every payload column here) so the result does not depend on
-physical row order.
+Expressed as an aggregate, not a window: the least struct of the row's columns, in
+the wanted order, per key.  The aggregate is partial (map-side), so a hot key
+holding a third of all rows is reduced to one candidate per input partition
+before the shuffle — no single task ever sees the whole hot group.  The struct
+holds every payload column once, the order's first, so the order is total and the
+result does not depend on physical row order.
 """
 
 from __future__ import annotations
@@ -17,20 +17,8 @@ from pyspark.sql import functions as F
 def keep_first(df: DataFrame, keys: list[str], order_cols: list[str] | None = None) -> DataFrame:
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
-    order_cols = [c for c in (order_cols or []) if c in df.columns]
-    tiebreak = order_cols + [c for c in payload if c not in order_cols]
     if not payload:
         return df.select(*keys).distinct()
-    row = F.struct(*[F.col(c) for c in payload])
-    order = F.struct(*[F.col(c) for c in tiebreak])
-    out = df.groupBy(*keys).agg(F.min_by(row, order).alias("__row"))
-    return out.select(*[F.col(k) for k in keys], *[F.col("__row")[c].alias(c) for c in payload]) \
-              .select(*df.columns)
-
-
-def keep_first_window(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """Window form (row_number = 1).  Use when rows must stay in their
-    partitions, e.g. inside an already key-partitioned stage."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    first = [c for c in (order_cols or []) if c in payload]
+    row = F.struct(*first, *[c for c in payload if c not in first])
+    return df.groupBy(*keys).agg(F.min(row).alias("__row")).select(*keys, "__row.*").select(*df.columns)

@@ -14,17 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import written
 
 
 def bucketed(df: DataFrame, order: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """``df`` written in ranges of ``order``, with the range's number as ``_b`` (ascending, nulls first)."""
     by = [F.col(c).asc_nulls_first() for c in order]
     placed = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
-    placed = placed.withColumn("_b", F.spark_partition_id())
-    path = scratch_path(df.sparkSession, name)
-    placed.write.parquet(path)
-    return df.sparkSession.read.schema(placed.schema).parquet(path)
+    return written(placed.withColumn("_b", F.spark_partition_id()), name)
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], key: list[str] | None = None,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import contracts as K
 from ..functions import numeric as N
 from ..functions import text as T
+from .prefix import bucketed
 
 
 def _c(c) -> Column:
@@ -317,46 +318,36 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: list[str]) -> DataFr
     return df.groupBy(row).agg(*[F.count_if(F.col(col) == v).alias(f"{v.lower()}_count") for v in values])
 
 
-def precision_capture_at_k(df: DataFrame, k: float, prob: str, buckets: int = 1 << 16) -> DataFrame:
+def precision_capture_at_k(df: DataFrame, k: float, prob: str) -> DataFrame:
     """H9: precision@k = mean p of the top m = ceil(k·n) claims, capture@k =
     Σp(top m) / Σp.
 
-    No global sort or global window: (1) a histogram of p over ``buckets``
-    fixed-width buckets (≤ buckets+1 rows, whatever n is) locates the bucket
-    holding the m-th largest score; (2) only that bucket's distinct scores
-    are ranked to find the exact cut-off score v*; (3) rows tied at v* add
-    (m − count above v*)·v*, so ties never need ordering.  Exact, and every
-    step is a partial aggregate or a window over a bounded row set."""
-    p = F.col(prob)
-    base = df.select(p.cast("double").alias("_p")).where(F.col("_p").isNotNull())
-    tot = base.agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_sum")) \
-              .withColumn("_m", F.ceil(F.lit(float(k)) * F.col("_n")))
-    b = base.withColumn("_b", F.floor(F.col("_p") * buckets))
-    hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"), F.sum("_p").alias("_s"))
-    wb = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"_cc": F.sum("_c").over(wb), "_cs": F.sum("_s").over(wb)}) \
-               .crossJoin(F.broadcast(tot))
-    # boundary bucket: first (from the top) whose cumulative count reaches m
-    edge = hist.where(F.col("_cc") >= F.col("_m")).agg(
-        F.max("_b").alias("_eb"))
-    edge = edge.join(hist, F.col("_b") == F.col("_eb")).select(
-        "_eb", (F.col("_cc") - F.col("_c")).alias("_above_n"), (F.col("_cs") - F.col("_s")).alias("_above_s"),
-        "_m", "_n", "_sum")
-    inb = b.join(F.broadcast(edge), F.col("_b") == F.col("_eb")) \
-           .groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    wv = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inb = inb.withColumns({"_cc": F.sum("_c").over(wv), "_cs": F.sum(F.col("_c") * F.col("_p")).over(wv)}) \
-             .crossJoin(F.broadcast(edge))
-    cut = inb.where(F.col("_above_n") + F.col("_cc") >= F.col("_m")).agg(
-        F.max_by(F.struct("_p", "_c", "_cc", "_cs"), F.col("_p")).alias("_v"))
-    res = cut.crossJoin(F.broadcast(edge)).select(
-        "_m", "_n", "_sum",
-        (F.col("_above_s") + F.col("_v._cs") - F.col("_v._c") * F.col("_v._p")
-         + (F.col("_m") - F.col("_above_n") - (F.col("_v._cc") - F.col("_v._c"))) * F.col("_v._p")).alias("_top"))
-    return res.select(
-        F.lit(float(k)).alias("k"), F.col("_m").alias("top_n"),
-        N.np_round(F.col("_top") / F.col("_m") * 100.0, 4).alias("precision_at_k_pct"),
-        N.np_round(F.col("_top") / F.col("_sum") * 100.0, 4).alias("capture_at_k_pct"))
+    No global sort or global window: the claims are scanned once into counts per
+    distinct score, written in ranges of the score; the ranges' sums (one row a
+    range) say in which range the m-th largest score lies, and only that
+    range is read again and ranked.  Rows tied at the cut-off score v* add
+    (m − count above v*)·v*, so ties never need ordering."""
+    spark = df.sparkSession
+    scores = df.select(F.col(prob).cast("double").alias("_p")).where(F.col("_p").isNotNull())
+    counts = bucketed(scores.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")), ["_p"], "score-counts")
+    ranges = counts.groupBy("_b").agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_p")).alias("s")).orderBy(F.desc("_b")).collect()
+    n, total = sum(r["n"] for r in ranges), sum(r["s"] for r in ranges)
+    m, above, top = math.ceil(float(k) * n), 0, 0.0
+    for r in ranges:
+        if above + r["n"] >= m:
+            break
+        above, top = above + r["n"], top + r["s"]
+    columns = "k double, top_n long, precision_at_k_pct double, capture_at_k_pct double"
+    if not n:
+        return spark.createDataFrame([(float(k), 0, None, None)], columns)
+    w = Window.partitionBy("_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.where(F.col("_b") == r["_b"]).withColumns({
+        "_before": F.lit(above) + F.coalesce(F.sum("_c").over(w), F.lit(0)),
+        "_sum": F.lit(top) + F.coalesce(F.sum(F.col("_c") * F.col("_p")).over(w), F.lit(0.0))})
+    cut = inside.where((F.col("_before") < m) & (F.col("_before") + F.col("_c") >= m)) \
+                .select((F.col("_sum") + (F.lit(m) - F.col("_before")) * F.col("_p")).alias("_top"))
+    return cut.select(F.lit(float(k)).alias("k"), F.lit(m).cast("long").alias("top_n"), N.np_round(F.col("_top") / F.lit(m) * 100.0, 4).alias("precision_at_k_pct"),
+                      N.np_round(F.col("_top") / F.lit(float(total)) * 100.0, 4).alias("capture_at_k_pct"))
 
 
 def coherence_violations(df: DataFrame, kind: str) -> DataFrame:

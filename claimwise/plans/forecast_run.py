@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import contracts as K
 from ..operators import forecast as FC
 from ..operators import scoring, series
+from ..session import written
 
 AS_OF = _dt.date(2026, 4, 28)
 KPIS = series.KPI_NAMES
@@ -39,7 +40,7 @@ def monthly_history(ml: DataFrame, as_of: _dt.date = AS_OF) -> DataFrame:
 
 def run(ml: DataFrame, horizon: int = K.FORECAST_HORIZON, as_of: _dt.date = AS_OF,
         forecaster=None) -> ForecastRun:
-    hist = monthly_history(ml, as_of)
+    hist = written(monthly_history(ml, as_of), "monthly-history")       # one row a month; all later steps read it
     kp = [k for k in KPIS if k in hist.columns]
     long = series.to_long(hist, kp)
     base = series.baselines(long)
@@ -49,5 +50,5 @@ def run(ml: DataFrame, horizon: int = K.FORECAST_HORIZON, as_of: _dt.date = AS_O
     grid = FC.horizon_grid(anchor, horizon)
     point = (forecaster or FC.seasonal_naive)(long, grid)
     adj = FC.adjust(point, base)
-    monthly = FC.business_kpis(FC.to_wide(adj), base)
+    monthly = written(FC.business_kpis(FC.to_wide(adj), base), "forecast-months")     # a row per month ahead
     return ForecastRun(hist, long, base, point, adj, monthly)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Shuffle partition count and file split size for a cluster run.  At ~100 TB
 # of claims input, 128 MB splits give ~800k scan tasks; shuffle partitions are
@@ -69,3 +69,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     temp folder) for written intermediate tables and streaming checkpoints."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/claimwise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later steps share
+    its rows, and a lost executor recomputes from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
