@@ -408,6 +408,27 @@ def q_cost_target(spark, sf_dir):
     return scoring.cost_target_claims(Ctx(spark, sf_dir).ml).select("claim_id", "statut_sinistre_claim", "montant_indemnisation_claim")
 
 
+@query("b14_cost_records")
+def q_cost_records(spark, sf_dir):
+    return runs.cost_records(runs.cost_predictions(Ctx(spark, sf_dir).scored))
+
+
+@query("b14_fraud_records")
+def q_fraud_records(spark, sf_dir):
+    return runs.fraud_records(runs.fraud_predictions(Ctx(spark, sf_dir).scored))
+
+
+@query("d22_cost_summary_record")
+def q_cost_summary(spark, sf_dir):
+    scored = Ctx(spark, sf_dir).scored
+    return runs.cost_summary_record(runs.cost_predictions(scored), scored)
+
+
+@query("d22_fraud_summary_record")
+def q_fraud_summary(spark, sf_dir):
+    return runs.fraud_summary_record(runs.fraud_predictions(Ctx(spark, sf_dir).scored))
+
+
 @query("h14_prediction_period")
 def q_period(spark, sf_dir):
     return runs.prediction_month(scoring.active_claims(Ctx(spark, sf_dir).ml))

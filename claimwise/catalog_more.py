@@ -566,6 +566,19 @@ def trained(spark, sf_dir, kind: str):
     return _TRAINED[key]
 
 
+@query("m2_m3_fill_values")
+def q_fill(spark, sf_dir):
+    """What the fraud model's training rows fill and keep: each numeric feature's median, each
+    categorical feature's kept values by rank."""
+    ml = Ctx(spark, sf_dir).ml
+    d = ml.where(F.col("est_frauduleux_claim").isNotNull())
+    num, cat = TR.feature_columns(d, TR.FRAUD_DROP, "est_frauduleux_claim")
+    train, _ = TR.train_test(d, "claim_id", "est_frauduleux_claim")
+    rows = [(c, "median", 1, None, v) for c, v in TR.medians(train, num).items()]
+    rows += [(c, "kept", i, v, None) for c, values in TR.cap_categories(train, cat, TR.CATEGORY_CAP).items() for i, v in enumerate(values, 1)]
+    return spark.createDataFrame(rows, "feature string, kind string, rank int, value string, median double")
+
+
 @query("m5_stratified_split")
 def q_split(spark, sf_dir):
     """The delay model's split: which closed claim trains and which tests."""

@@ -80,3 +80,13 @@ def map_to_contract(df: DataFrame, expected: list[str]) -> DataFrame:
     """Select contract columns by case-insensitive match, ignore extras."""
     by_lower = {c.strip().lower(): c for c in df.columns}
     return df.select(*[F.col(f"`{by_lower[e.lower()]}`").alias(e) for e in expected if e.lower() in by_lower])
+
+
+def default_filled(df: DataFrame, contract: list[tuple[str, str, object]]) -> DataFrame:
+    """Exactly the contract's columns, (name, type, default) in its order: a column
+    that is absent, and a null in one, gets the default; None leaves nulls."""
+    out = []
+    for name, kind, default in contract:
+        c = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        out.append((c if default is None else F.coalesce(c, F.lit(default).cast(kind))).alias(name))
+    return df.select(*out)

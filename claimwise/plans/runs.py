@@ -138,3 +138,63 @@ def tiered_queues(pred: DataFrame, n: int = K.TOP_QUEUE_SIZE, prob: str = "fraud
 
 def cost_predictions(scored: DataFrame) -> DataFrame:
     return scoring.cost_tiers(scoring.required_active(scored))
+
+
+# FIXED VALUES — the record contracts of a cost and a fraud run: (column, type, default)
+RUN_COLUMNS = [("prediction_record_id", "string", None), ("prediction_run_id", "string", None), ("scored_at", "timestamp_ntz", None)]
+CLAIM_COLUMNS = [("claim_id", "string", None), ("client_id", "string", None), ("contract_id", "string", None), ("vehicle_id", "string", None),
+                 ("date_sinistre_claim", "timestamp_ntz", None), ("statut_sinistre_claim", "string", None), ("type_sinistre_claim", "string", None)]
+COST_RECORD = [*RUN_COLUMNS, *CLAIM_COLUMNS, ("type_couverture", "string", None), ("claim_severity_bucket", "string", None),
+               ("predicted_cost", "double", None), ("cost_risk_level", "string", None), ("prediction_month", "int", None)]
+COST_SUMMARY = [("prediction_run_id", "string", None), ("scored_at", "timestamp_ntz", None), ("total_active_claims", "int", 0),
+                ("total_predicted_cost", "double", 0.0), ("average_cost_per_claim", "double", 0.0), ("high_cost_rate", "double", 0.0),
+                ("budget_deviation_risk", "double", 0.0), ("cost_threshold_tnd", "double", 0.0), ("projection_month", "int", None)]
+FRAUD_RECORD = [*RUN_COLUMNS, *CLAIM_COLUMNS, ("claim_severity_bucket", "string", None), ("fraud_probability", "double", None),
+                ("risk_level", "string", None), ("recommended_action", "string", None), ("predicted_fraud", "int", None),
+                ("estimated_investigation_hours", "double", None), ("estimated_investigation_cost_tnd", "double", None),
+                ("claim_amount_tnd", "double", 0.0), ("expected_fraud_exposure_claim_tnd", "double", 0.0),
+                ("expected_preventable_loss_claim_tnd", "double", 0.0), ("prediction_month", "int", None)]
+FRAUD_SUMMARY = [("prediction_run_id", "string", None), ("scored_at", "timestamp_ntz", None), ("model_name", "string", "unknown"),
+                 ("threshold_used", "double", 0.0), ("total_scored_claims", "long", 0), ("flagged_for_investigation", "long", 0),
+                 ("total_investigation_hours", "double", 0.0), ("expected_fraud_exposure_total_tnd", "double", 0.0),
+                 ("expected_preventable_loss_tnd", "double", 0.0), ("expected_review_cost_tnd", "double", 0.0),
+                 ("expected_net_savings_tnd", "double", 0.0), ("expected_roi", "double", 0.0), ("low_risk_count", "long", 0),
+                 ("medium_risk_count", "long", 0), ("high_risk_count", "long", 0), ("critical_risk_count", "long", 0), ("projection_month", "int", None)]
+
+
+def _run_summary(kpis: DataFrame, pred: DataFrame, contract: list, renamed: dict[str, str], rid: str) -> DataFrame:
+    s = kpis.withColumnsRenamed(renamed).withColumns({"prediction_run_id": F.lit(rid), "scored_at": F.lit(DEFAULT_RUN_TS)})
+    s = s.crossJoin(F.broadcast(prediction_month(pred).select(F.col("prediction_month").alias("projection_month"))))      # one row each
+    return align.default_filled(s, contract)
+
+
+def cost_records(pred: DataFrame, rid: str | None = None) -> DataFrame:
+    """The cost run's per-claim records by contract."""
+    rec = stamp(pred, rid or run_id("COST"))
+    return align.default_filled(rec.crossJoin(F.broadcast(prediction_month(pred).select("prediction_month"))), COST_RECORD)
+
+
+def cost_summary_record(pred: DataFrame, history: DataFrame, rid: str | None = None) -> DataFrame:
+    kpis = scoring.cost_kpis(pred, history, align.first_present(history, K.AMOUNT_COLUMNS))
+    return _run_summary(kpis, pred, COST_SUMMARY, {"total_predicted_indemnisation_tnd": "total_predicted_cost"}, rid or run_id("COST"))
+
+
+def fraud_records(pred: DataFrame, rid: str | None = None) -> DataFrame:
+    """The fraud run's per-claim records; without an amount column the money is 0."""
+    amt = align.first_present(pred, K.FRAUD_AMOUNT_COLUMNS)
+    rec = stamp(pred, rid or run_id("FRAUD"))
+    if amt:
+        money, p = F.coalesce(F.col(amt).cast("double"), F.lit(0.0)), F.col("fraud_probability")
+        rec = rec.withColumns({"claim_amount_tnd": money, "expected_fraud_exposure_claim_tnd": p * money,
+                               "expected_preventable_loss_claim_tnd": F.when(F.col("predicted_fraud") == 1, p * money * F.lit(K.PREVENTED_LOSS_RATIO))})
+    return align.default_filled(rec.crossJoin(F.broadcast(prediction_month(pred).select("prediction_month"))), FRAUD_RECORD)
+
+
+def fraud_summary_record(pred: DataFrame, threshold: float = FRAUD_THRESHOLD, model_name: str | None = None, rid: str | None = None) -> DataFrame:
+    kpis = scoring.fraud_kpis(pred, threshold, align.first_present(pred, K.FRAUD_AMOUNT_COLUMNS))
+    if model_name:
+        kpis = kpis.withColumn("model_name", F.lit(model_name))
+    names = {"expected_fraud_exposure_total": "expected_fraud_exposure_total_tnd", "expected_preventable_loss": "expected_preventable_loss_tnd",
+             "expected_review_cost": "expected_review_cost_tnd", "expected_net_savings": "expected_net_savings_tnd", "low_count": "low_risk_count",
+             "medium_count": "medium_risk_count", "high_count": "high_risk_count", "critical_count": "critical_risk_count"}
+    return _run_summary(kpis, pred, FRAUD_SUMMARY, names, rid or run_id("FRAUD"))

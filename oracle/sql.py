@@ -265,6 +265,24 @@ S["b7_closed_claims_amount"] = """SELECT claim_id, statut_sinistre_claim, montan
 FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN ('Ouvert', 'En_cours', 'En_cours_d_expertise'), false)"""
 S["b8_cost_target_claims"] = """SELECT claim_id, statut_sinistre_claim, montant_indemnisation_claim FROM ml_claim
 WHERE statut_sinistre_claim IN ('Clos_avec_indemnisation', 'Clos_sans_indemnisation', 'Refusé')"""
+_RUN = "sha256('{0}-20260428-000000|' || claim_id) AS prediction_record_id, '{0}-20260428-000000' AS prediction_run_id, TIMESTAMP '2026-04-28 00:00:00' AS scored_at"
+_WHO = "claim_id, client_id, contract_id, vehicle_id, date_sinistre_claim, statut_sinistre_claim, type_sinistre_claim"
+_PM = "(SELECT COALESCE(month(max(date_sinistre_claim)), 4) FROM active)"
+S["b14_cost_records"] = f"""SELECT {_RUN.format('COST')}, {_WHO}, type_couverture, claim_severity_bucket, predicted_cost, cost_risk_level,
+  {_PM} AS prediction_month FROM cp"""
+S["b14_fraud_records"] = f"""SELECT {_RUN.format('FRAUD')}, {_WHO}, claim_severity_bucket, fraud_probability, risk_level, recommended_action, predicted_fraud,
+  estimated_investigation_hours, estimated_investigation_cost_tnd, COALESCE(montant_indemnisation_claim, 0.0) AS claim_amount_tnd,
+  COALESCE(fraud_probability * COALESCE(montant_indemnisation_claim, 0.0), 0.0) AS expected_fraud_exposure_claim_tnd,
+  COALESCE(CASE WHEN predicted_fraud = 1 THEN fraud_probability * COALESCE(montant_indemnisation_claim, 0.0) * 0.7 END, 0.0)
+    AS expected_preventable_loss_claim_tnd, {_PM} AS prediction_month FROM fp"""
+S["d22_cost_summary_record"] = f"""SELECT 'COST-20260428-000000' AS prediction_run_id, TIMESTAMP '2026-04-28 00:00:00' AS scored_at, total_active_claims,
+  total_predicted_indemnisation_tnd AS total_predicted_cost, average_cost_per_claim, high_cost_rate,
+  COALESCE(budget_deviation_risk, 0.0) AS budget_deviation_risk, cost_threshold_tnd, {_PM} AS projection_month FROM ({S["h3_h22_cost_kpis"]}) k"""
+S["d22_fraud_summary_record"] = f"""SELECT 'FRAUD-20260428-000000' AS prediction_run_id, TIMESTAMP '2026-04-28 00:00:00' AS scored_at, 'unknown' AS model_name,
+  threshold_used, total_scored_claims, flagged_for_investigation, total_investigation_hours, expected_fraud_exposure_total AS expected_fraud_exposure_total_tnd,
+  expected_preventable_loss AS expected_preventable_loss_tnd, expected_review_cost AS expected_review_cost_tnd, expected_net_savings AS expected_net_savings_tnd,
+  expected_roi, low_count AS low_risk_count, medium_count AS medium_risk_count, high_count AS high_risk_count, critical_count AS critical_risk_count,
+  {_PM} AS projection_month FROM ({S["h5_h8_fraud_kpis"]}) k"""
 S["h14_prediction_period"] = """SELECT COALESCE(year(max(date_sinistre_claim)), 2026) AS prediction_year,
   COALESCE(month(max(date_sinistre_claim)), 4) AS prediction_month FROM active"""
 

@@ -527,6 +527,21 @@ S["m5_stratified_split"] = f"""SELECT claim_id, is_delayed, CASE WHEN rk <= n -
   FROM ml_claim WHERE NOT COALESCE(statut_sinistre_claim IN {ACTIVE}, false) AND is_delayed IS NOT NULL) s"""
 _EXCESS = """SELECT claim_id, greatest(duree_traitement_jours - sla_jours, 0.0) AS excess_delay_days FROM clean_claims
 WHERE is_delayed = 1 AND duree_traitement_jours IS NOT NULL AND sla_jours IS NOT NULL AND duree_traitement_jours > sla_jours"""
+# M2, M3: medians and kept categories of the fraud model's training rows
+_NUM = ["montant_estime_dommage_claim", "montant_indemnisation_claim", "sla_jours", "claim_gap_amount", "claim_gap_ratio", "prime_assurance_annuelle",
+        "nb_sinistres_precedents", "delai_souscription_sinistre_jours", "policy_duration_days", "age", "revenu_annuel", "score_credit",
+        "nb_retards_paiement", "nb_infractions_majeures", "points_permis_retires", "driving_risk_score", "financial_stress_score",
+        "responsible_behavior_score", "risque_global", "vehicle_age", "valeur_vehicule", "kilometrage_actuel", "mileage_per_year", "puissance_fiscale",
+        "premium_to_value_ratio", "claim_year", "claim_month", "claim_quarter", "claim_dayofweek", "claim_hour"]
+_CAT = ["type_sinistre_claim", "type_couverture", "policy_tenure_bucket", "age_group", "genre", "income_band", "credit_band", "type_vehicule", "marque",
+        "modele", "usage_vehicule", "vehicle_value_band"]
+EXTRA_CTES["ftrain"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY est_frauduleux_claim ORDER BY {_H}, claim_id) AS rk,
+  count(*) OVER (PARTITION BY est_frauduleux_claim) AS n FROM ml_claim WHERE est_frauduleux_claim IS NOT NULL) t WHERE rk <= n - (n * 20 + 99) // 100"""
+S["m2_m3_fill_values"] = " UNION ALL ".join(
+    [f"""SELECT '{c}' AS feature, 'median' AS kind, 1 AS rank, CAST(NULL AS VARCHAR) AS value, COALESCE(({_B.qlist(f'CAST({c} AS DOUBLE)', [0.5])})[1], 0.0) AS median
+FROM ftrain""" for c in _NUM]
+    + [f"""SELECT '{c}', 'kept', CAST(r AS INTEGER), value, NULL FROM (SELECT {c} AS value, row_number() OVER (ORDER BY count(*) DESC, {c}) AS r FROM ftrain
+WHERE {c} IS NOT NULL GROUP BY {c}) x WHERE r <= 11""" for c in _CAT])
 S["g7_duration_labels"] = f"SELECT m.*, e.excess_delay_days FROM ml_claim m JOIN ({_EXCESS}) e ON m.claim_id = e.claim_id"
 S["m9_duration_folds"] = f"""SELECT m.claim_id, e.excess_delay_days, CAST({_H.replace('claim_id', 'm.claim_id')} % 2 AS INTEGER) AS fold
 FROM ml_claim m JOIN ({_EXCESS}) e ON m.claim_id = e.claim_id"""
