@@ -136,7 +136,7 @@ def test_precision_at_k_matches_sort(spark):
     rnd = random.Random(7)
     vals = [round(rnd.random(), 2) for _ in range(997)]
     df = spark.createDataFrame([(v,) for v in vals], "p double")
-    r = scoring.precision_capture_at_k(df, 0.10, "p", buckets=16).first()
+    r = scoring.precision_capture_at_k(df, 0.10, "p").first()
     m = -(-len(vals) // 10)
     top = sorted(vals, reverse=True)[:m]
     assert r.top_n == m
@@ -315,3 +315,36 @@ def test_quantiles_stay_in_ranges_at_200_partitions(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_records_follow_their_contract(spark):
+    from claimwise.operators import align
+    from claimwise.plans import runs
+    df = spark.createDataFrame([("c", None, 2)], "claim_id string, x double, more int")
+    got = align.default_filled(df, [("x", "double", 0.5), ("claim_id", "string", None), ("absent", "string", "unknown"), ("gone", "int", None)])
+    assert got.columns == ["x", "claim_id", "absent", "gone"] and tuple(got.first()) == (0.5, "c", "unknown", None)
+    pred = spark.createDataFrame([("c1", 0.95, 1), ("c2", None, 0)], "claim_id string, fraud_probability double, predicted_fraud int") \
+                .withColumn("date_sinistre_claim", F.lit("2024-05-06").cast("timestamp_ntz"))
+    rec = {r["claim_id"]: r for r in runs.fraud_records(pred).collect()}          # no amount column
+    assert [c for c, _, _ in runs.FRAUD_RECORD] == list(rec["c1"].asDict()) and rec["c1"]["prediction_month"] == 5
+    assert rec["c1"]["claim_amount_tnd"] == 0.0 and rec["c2"]["expected_preventable_loss_claim_tnd"] == 0.0 and rec["c2"]["fraud_probability"] is None
+
+
+def test_dashboard_filters_are_optional(spark):
+    rows = [("c-1", "High", "r1", 1), ("c-2", "High", "r2", 0), ("d-1", "Low", "r1", 0)]
+    df = spark.createDataFrame(rows, "claim_id string, risk_level string, prediction_run_id string, flagged int")
+    ids = lambda **kw: sorted(r["claim_id"] for r in scoring.dashboard_filter(df, **kw).collect())
+    assert ids() == ["c-1", "c-2", "d-1"] and ids(risk="High") == ["c-1", "c-2"] and ids(claim_text="-1") == ["c-1", "d-1"]
+    assert ids(run_id="r1", flag_col="flagged", flag=0) == ["d-1"] and ids(flag_col="flagged") == ["c-1", "c-2", "d-1"]
+
+
+def test_precision_at_k_with_ties_and_no_rows(spark):
+    for scores, k in (([0.9, 0.5, 0.5, 0.5, 0.1, None], 0.5), ([0.2] * 10, 0.25), ([1.0], 0.01)):
+        df = spark.createDataFrame([(s,) for s in scores], "p double")
+        have = sorted((s for s in scores if s is not None), reverse=True)
+        m = -int(-len(have) * k // 1)
+        r = scoring.precision_capture_at_k(df.repartition(3), k, "p").first()
+        assert r["top_n"] == m
+        assert r["precision_at_k_pct"] == pytest.approx(sum(have[:m]) / m * 100, abs=1e-4)
+        assert r["capture_at_k_pct"] == pytest.approx(sum(have[:m]) / sum(have) * 100, abs=1e-4)
+    assert tuple(scoring.precision_capture_at_k(spark.createDataFrame([], "p double"), 0.1, "p").first()) == (0.1, 0, None, None)
