@@ -248,18 +248,21 @@ def portfolio_summary(monthly: DataFrame) -> DataFrame:
         return F.min_by(F.struct(c("month").alias("m"), c(col).alias("v")),
                         F.struct((-c(col)).alias("nv"), c("period").alias("p")))
 
+    # the months' values are rounded: exact sums, so that no order of them tips a later rounding
+    total = lambda col: F.sum(c(col).cast("decimal(28,6)")).cast("double")
+    mean = lambda col: total(col) / F.count(c(col))
     labels = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(c("period"), c("month"))))),
                                       lambda s: s["month"])
     a = monthly.agg(
         F.count(F.lit(1)).alias("horizon_months"),
         F.min("period_label").alias("_first"), F.max("period_label").alias("_last"),
-        F.sum("forecast_claim_volume").alias("_vol"),
-        F.sum("forecast_total_indemnisation_tnd").alias("_cost"),
-        F.avg("forecast_delay_rate_pct").alias("_delay"),
-        F.avg("forecast_fraud_rate_pct").alias("_fraud"),
-        F.sum("kpi_expected_delayed_claims").alias("_delays"),
-        F.sum("kpi_expected_fraud_exposure_tnd").alias("_exp"),
-        F.sum("kpi_net_savings_potential_tnd").alias("_sav"),
+        total("forecast_claim_volume").alias("_vol"),
+        total("forecast_total_indemnisation_tnd").alias("_cost"),
+        mean("forecast_delay_rate_pct").alias("_delay"),
+        mean("forecast_fraud_rate_pct").alias("_fraud"),
+        total("kpi_expected_delayed_claims").alias("_delays"),
+        total("kpi_expected_fraud_exposure_tnd").alias("_exp"),
+        total("kpi_net_savings_potential_tnd").alias("_sav"),
         F.avg("kpi_recommended_agents").alias("_agents"),
         peak("forecast_claim_volume").alias("_pv"),
         peak("forecast_delay_rate_pct").alias("_pd"),

@@ -184,7 +184,8 @@ SELECT horizon_months, first_p || ' → ' || last_p AS total_forecast_period, ro
     CASE WHEN sv > 30000 THEN printf({_pf(K.INS_SAVINGS)}, CAST(trunc(sv / 1000) AS BIGINT)) END), ''),
     {_pf(K.INS_STABLE)}) AS strategic_insight
 FROM (SELECT count(*) AS horizon_months, min(period_label) AS first_p, max(period_label) AS last_p,
-  sum(rv) AS v, sum(rc) AS c, avg(rd) AS d, avg(rf) AS f, sum(rdl) AS dl, sum(rex) AS ex, sum(rn) AS sv,
+  CAST(sum(CAST(rv AS DECIMAL(28,6))) AS DOUBLE) AS v, CAST(sum(CAST(rc AS DECIMAL(28,6))) AS DOUBLE) AS c, CAST(sum(CAST(rd AS DECIMAL(28,6))) AS DOUBLE) / count(rd) AS d, CAST(sum(CAST(rf AS DECIMAL(28,6))) AS DOUBLE) / count(rf) AS f,
+  CAST(sum(CAST(rdl AS DECIMAL(28,6))) AS DOUBLE) AS dl, CAST(sum(CAST(rex AS DECIMAL(28,6))) AS DOUBLE) AS ex, CAST(sum(CAST(rn AS DECIMAL(28,6))) AS DOUBLE) AS sv,
   avg(agents) AS ag,
   (list(month ORDER BY rv DESC, period))[1] AS pv_m, max(rv) AS pv_v,
   (list(month ORDER BY rd DESC, period))[1] AS pd_m, max(rd) AS pd_v,
