@@ -7,7 +7,8 @@
    the others by weight, until none is above.
 3. Fitting, per source, on its histogram (documents per exact size): whole
    passes first, then a proportional part of all sizes (15 of 16 words of any
-   budget, more of a very large one), then a bounded knapsack over the sizes left
+   budget, more of a very large one, less where the rest couldn't meet it), then a
+   bounded knapsack over the sizes left
    (binary-split counts, a bitset of reachable sums) that meets the remaining
    budget exactly wherever sums allow.
 4. Of each (source, size) the fitted number of documents is picked by a seeded
@@ -111,9 +112,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = KNAP
     budget = min(total, max(0, round(target) - passes * total))
     if passes == MOST_PASSES or not budget:
         return passes, none
-    # the knapsack's share: a sixteenth, or what its longest document needs
-    rest = min(most // 2, max(budget // KNAPSACK_SHARE, min(int(lengths.max()), budget)))
-    # in proportion over the running count of documents, so that lengths with few of them get theirs too
+    # the knapsack's share: a sixteenth, or what its longest document needs; more only where that can't meet the budget
+    all_ = min(most, budget)
+    rest = min(all_, max(budget // KNAPSACK_SHARE, int(lengths.max())))
+    best = None
+    while True:
+        n, left = _in_proportion(lengths, counts, total, budget, rest, most)
+        more = knapsack(lengths, counts - n, left)
+        gap = left - int((more * lengths).sum())
+        if best is None or gap < best[0]:
+            best = gap, n + more
+        if not gap or rest == all_:
+            return passes, best[1]
+        rest = min(all_, 2 * rest)
+
+
+def _in_proportion(lengths: np.ndarray, counts: np.ndarray, total: int, budget: int, rest: int, most: int) -> tuple[np.ndarray, int]:
+    """Documents of each length for ``budget`` less ``rest`` words, and the words left
+    of the budget: taken over the running count of documents, so that lengths with few of them get theirs too."""
     run = [0]
     for c in counts:
         run.append(run[-1] + int(c))
@@ -128,7 +144,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = KNAP
             continue
         n[i] -= k
         left += k * int(lengths[i])
-    return passes, n + knapsack(lengths, counts - n, left)
+    return n, left
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
