@@ -85,7 +85,7 @@ def test_bounds_are_constants_and_the_dedup_carries_no_derived_column(spark):
     out = clean.clean_claims(raw, ["montant_indemnisation_claim"])
     text = plan(out)
     assert "Join" not in text
-    assert not any("claim_gap" in line or "severity" in line for line in text.splitlines() if line.strip(" +-:").startswith("Aggregate"))
+    assert not any("claim_gap" in line or "severity" in line or "duree_" in line for line in text.splitlines() if line.strip(" +-:").startswith("Aggregate"))
     got = {r["claim_id"]: r for r in out.collect()}
     assert set(got) == {"C1", "C2"} and abs(got["C1"]["montant_indemnisation_claim"] - 80.2) < 1e-9      # clipped at 1 % of all rows
     assert abs(got["C1"]["claim_gap_amount"] + 19.8) < 0.3 and got["C2"]["claim_gap_ratio"] is None
