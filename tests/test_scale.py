@@ -1,11 +1,15 @@
 """What a query builds, shuffles and joins: only what it reads."""
 
 import datetime as dt
+import math
+import random
 
+import pytest
 from claimwise.operators import stats
 from claimwise.plans import clean
 from claimwise.plans import layers as L
 from claimwise.plans import warehouse as W
+from claimwise.sources import bindings, sinks
 from claimwise.sources.tables import Tables
 from pyspark.sql import functions as F
 
@@ -91,3 +95,61 @@ def test_bounds_are_constants_and_the_dedup_carries_no_derived_column(spark):
     assert abs(got["C1"]["claim_gap_amount"] + 19.8) < 0.3 and got["C2"]["claim_gap_ratio"] is None
     empty = stats.attach_quantiles(raw.where("false"), {"x": (F.col("montant_indemnisation_claim"), [0.5])})
     assert dict(empty.dtypes)["__q_x"] == "array<double>"
+
+
+@pytest.mark.parametrize(("bins", "depth"), [(4096, 6), (8, 3), (2, 40)])
+def test_quantiles_by_cutting_ranges_equal_percentile(spark, monkeypatch, bins, depth):
+    rnd = random.Random(7)
+    odd = [math.inf, -math.inf, math.nan, 1.7e308, -1.7e308, 5e-324, 0.0]
+    rows = [(float(rnd.randint(0, 9)), math.exp(rnd.gauss(0, 40)) if rnd.random() > 0.1 else None, rnd.choice([*odd, rnd.random()]), 7.0) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in df.columns]).first().asDict()
+    monkeypatch.setattr(stats, "BINS", bins)
+    monkeypatch.setattr(stats, "DEPTH", depth)
+    monkeypatch.setattr(stats, "FEW", 0)
+    got = stats.distributed_quantiles(df, {c: (F.col(c), probs) for c in df.columns} | {"none": (F.lit(None).cast("double"), [0.5])})
+    assert {c: str(got[c]) for c in want} == {c: str(v) for c, v in want.items()} and got["none"] is None
+
+
+def test_only_few_values_are_shuffled_for_quantiles(spark, monkeypatch):
+    df, seen = spark.range(50_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v")), []
+    cut = stats.bucketed
+    monkeypatch.setattr(stats, "bucketed", lambda df, *a: seen.append(cut(df, *a)) or seen[-1])
+    monkeypatch.setattr(stats, "FEW", 1000)
+    got = stats.distributed_quantiles(df, {"v": (F.col("v"), [0.5])})
+    assert got["v"][0] == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+    assert sum(d.count() for d in seen) <= 1000
+
+
+def lines(spark, folder, rows, orders):
+    spark.createDataFrame(rows, LINES).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_claims_joined_by_their_order_are_not_shuffled_again_for_the_dedup(spark, tmp_path):
+    day = dt.datetime(1996, 1, 2)
+    rows = [(k % 40 if k % 9 else None, k % 3 if k % 7 else None, k % 5, 1, float(k % 11), 1.0, 0.01 * (k % 10), 0.0, day, "N", "OF"[k % 2], "x") for k in range(400)]
+    t = lines(spark, tmp_path, rows, [(k, k % 4, day) for k in [*range(30), 3, 3, -1]])
+    out = clean.clean_claims(bindings.claims_raw_keyed(t), bindings.CLAIM_ORDER_COLS, within=bindings.CLAIM_WITHIN)
+    plain = clean.clean_claims(bindings.claims_raw(t), bindings.CLAIM_ORDER_COLS)
+    assert out.columns == plain.columns and "l_orderkey" not in out.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert text.count("Exchange hashpartitioning") == 2      # the join's two sides
+
+
+def test_the_statistics_stage_only_what_they_read(spark, tmp_path):
+    day, staged = dt.datetime(1996, 1, 2), []
+    t = lines(spark, tmp_path, [(1, 1, 1, 1, 10.0, 1.0, 0.1, 0.0, day, "N", "O", "x")], [(1, 1, day)])
+    clean.clean_claims(bindings.claims_raw_keyed(t), bindings.CLAIM_ORDER_COLS, stage=lambda df: staged.append(sorted(df.columns)) or df, within=bindings.CLAIM_WITHIN).collect()
+    assert staged == [["montant_estime_dommage_claim", "montant_indemnisation_claim"]]
+
+
+def test_quick_prints_tell_tables_apart(spark):
+    rows = lambda *r: sinks.quick_print(spark.createDataFrame(list(r), "a double, b double, s string").repartition(2), "t").first()["fingerprint"]
+    one, two = (1.0, None, "x"), (None, 1.0, "x")
+    kinds = [rows(one), rows(two), rows(one, one), rows(one, two), rows((1.0, None, None)), rows((1.0, None, "")), rows((None, None, "x"))]
+    assert len(set(kinds)) == 7 and rows(one, two) == rows(two, one)
+    assert sinks.quick_print(spark.range(3).where("false"), "t").first()["fingerprint"].startswith("0:")
