@@ -42,6 +42,7 @@ STEPS, RATE, LASSO = 200, 0.05, 3e-5
 SCALE = 0.25
 TELLING = 4.0               # and how much more often one grade must hold it than another
 LEAST_DOCS = 12             # training documents that a feature needs to get a weight
+TEXT_BYTES = 1 << 18        # text whose features a task makes at once: some 150 bytes are held for each of it
 
 CORE = np.zeros(256, bool)
 CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -186,7 +187,7 @@ class Ordinal:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, data, off in chunks(batches):
+    for b, data, off in chunks(batches, TEXT_BYTES):
         places, bounds = features(data, off)
         yield pa.RecordBatch.from_arrays([b.column("grade"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(places))],
                                          names=["grade", "places"])
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Ordinal | None, keep_at: float = KEEP_AT) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if model is None else model.table()
-        for b, data, off in chunks(batches):
+        for b, data, off in chunks(batches, TEXT_BYTES):
             if model is None:
                 expected, top = np.full(b.num_rows, 2.0), np.ones(b.num_rows)
             else:
@@ -241,7 +242,7 @@ def keep_clean(docs: DataFrame, model: Ordinal | None, keep_at: float = KEEP_AT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if model is None else model.table()
-        for b, data, off in chunks(batches):
+        for b, data, off in chunks(batches, TEXT_BYTES):
             yield b if model is None else b.filter(pa.array(model.grades(data, off, table)[2] >= keep_at))
 
     return docs.mapInArrow(run, docs.schema)
