@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # text handled at once inside a task (or one longer document)
+TEXT_BYTES = 1 << 18   # the same where some 150 bytes are held for each byte of it
 
 
 BATCH_ROWS = 1000        # rows that a Python task gets at once

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (GOLD, by_value, chunks, flat, if_small, mix, own_names, read, windows, word_hashes, word_spans, written)
+from .common import (GOLD, TEXT_BYTES, by_value, chunks, flat, if_small, mix, own_names, read, windows, word_hashes, word_spans, written)
 from .components import components
 
 SLOTS, ROWS = 128, 4
@@ -100,7 +100,7 @@ SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: set size, 128-bit fingerprint of the set, band hashes."""
-    for b, data, off in chunks(batches):
+    for b, data, off in chunks(batches, TEXT_BYTES):
         e, bounds = shingles(data, off)
         size = np.diff(bounds)
         sig = superminhash(e, bounds)
@@ -128,7 +128,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         db, ob = flat(b.column("tb"))
         hit, i, n = np.zeros(b.num_rows, bool), 0, b.num_rows
         while i < n:
-            j = max(i + 1, int(np.searchsorted(oa + ob, oa[i] + ob[i] + (1 << 21), "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(oa + ob, oa[i] + ob[i] + 2 * TEXT_BYTES, "right")) - 1)
             j = min(j, n)
             sa, ba = shingles(da[oa[i]:oa[j]], oa[i:j + 1] - oa[i])
             sb, bb = shingles(db[ob[i]:ob[j]], ob[i:j + 1] - ob[i])
@@ -217,7 +217,7 @@ def _more_hub_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of a node, a row each."""
-    for b, data, off in chunks(batches):
+    for b, data, off in chunks(batches, TEXT_BYTES):
         e, bounds = shingles(data, off)
         size = np.diff(bounds)
         at = np.repeat(np.arange(len(size)), size)

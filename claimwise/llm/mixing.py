@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_value, chunks, if_small, own_names, read, word_spans, written
+from .common import TEXT_BYTES, by_value, chunks, if_small, own_names, read, word_spans, written
 
 MOST_PASSES = 3
 KNAPSACK_WORDS = 1 << 16   # words the knapsack settles at most (its memory)
@@ -45,7 +45,7 @@ SEED = 20240229
 
 
 def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, data, off in chunks(batches):
+    for b, data, off in chunks(batches, TEXT_BYTES):
         _, _, bounds = word_spans(data, off)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(np.diff(bounds))],
                                          names=["doc_id", "source", "size"])
@@ -216,7 +216,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     columns, text = d.columns, at["text"]
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in chunks(batches, col=text):
+        for b, data, off in chunks(batches, TEXT_BYTES, text):
             _, _, bounds = word_spans(data, off)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(bounds))], names=[*columns, "size"])
 

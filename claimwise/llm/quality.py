@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BYTE_KEYS, GOLD, LOWER_KEYS, WHITE, by_value, chunks, mix, prefix, range_hash, read, word_spans, written)
+from .common import (BYTE_KEYS, GOLD, LOWER_KEYS, TEXT_BYTES, WHITE, by_value, chunks, mix, prefix, range_hash, read, word_spans, written)
 
 BITS = 22
 PER_GRADE = 3000
@@ -42,7 +42,6 @@ STEPS, RATE, LASSO = 200, 0.05, 3e-5
 SCALE = 0.25
 TELLING = 4.0               # and how much more often one grade must hold it than another
 LEAST_DOCS = 12             # training documents that a feature needs to get a weight
-TEXT_BYTES = 1 << 18        # text whose features a task makes at once: some 150 bytes are held for each of it
 
 CORE = np.zeros(256, bool)
 CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
