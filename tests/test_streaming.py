@@ -2,7 +2,10 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+from claimwise import catalog_more as M
+from claimwise.catalog import all_queries
 from claimwise.operators import audit as AU
 from claimwise.streaming import jobs as ST
 from pyspark.sql import functions as F
@@ -155,3 +158,21 @@ def test_five_batches_with_late_and_repeated_rows_equal_batch(spark, tmp_path):
     assert {g["window_start"].replace(tzinfo=None): (g["claims"], g["payout"], g["delayed"]) for g in got} == days
     # state is forgotten: the last batches hold no more days than the span of the watermark and a batch
     assert max(progress) <= 31 + 2 * 40 + 1 and progress[-1] < len(days)
+
+
+def test_the_landings_are_joined_once_and_a_query_runs_only_its_own_jobs(spark, tmp_path, monkeypatch):
+    all_queries()
+    day = dt.datetime(1995, 1, 1)
+    orders = spark.createDataFrame([(1, day), (2, day + dt.timedelta(days=500)), (3, day + dt.timedelta(days=9000))], "o_orderkey long, o_orderdate timestamp_ntz")
+    lines = spark.createDataFrame([(1, 5), (1, 7), (2, 11), (3, 77), (9, 5)], "l_orderkey long, l_partkey long")
+    landed = M.claim_arrivals(SimpleNamespace(orders=orders, lineitem=lines))
+    assert all("Join" not in rows._jdf.queryExecution().optimizedPlan().toString() for rows in landed)
+    assert [sorted(map(tuple, rows.collect())) for rows in landed] == [[(1, 5)], [(1, 7), (2, 11)], [(2, 11)], [], [(3, 77)]]
+
+    ran = []
+    monkeypatch.setattr(M, "claim_arrivals", lambda t: [])
+    monkeypatch.setattr(M._L, "layer_root", lambda spark, sf_dir: str(tmp_path / "root"))
+    monkeypatch.setattr(M.ST, "replay", lambda arrivals, landing, jobs: ran.append(len(jobs)))
+    for sinks in (("stg",), ("stg", "ids"), ("stg", "rows", "days")):
+        M._replayed(spark, "/root/testdata/sf0.001", *sinks)
+    assert ran == [1, 2, 3]
