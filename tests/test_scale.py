@@ -82,6 +82,19 @@ def test_the_joined_view_leaves_out_joins_that_a_reader_needs_none_of(spark):
     assert plan(view.select("claim_id", "type_couverture")).count("Join") == 1      # the policies only
 
 
+def test_the_ratios_bounds_come_from_one_staged_column(spark):
+    for build, ratio in ((W.fact_claim, "loss_ratio"), (W.ml_claim, "premium_to_value_ratio")):
+        handed = []
+
+        def stage(df, handed=handed):
+            handed.append(df.columns)
+            return spark.createDataFrame(df.collect(), df.schema)
+
+        out, plain = build(layer(spark), stage=stage), build(layer(spark))
+        assert handed == [[ratio]]
+        assert out.columns == plain.columns and sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_bounds_are_constants_and_the_dedup_carries_no_derived_column(spark):
     rows = [("c1", "p", "k", "v", 100.0, 90.0), ("c1", "p", "k", "v", 100.0, 80.0), ("c2", "p", "k", "v", 50.0, None), (None, "p", "k", "v", 10.0, 1000.0)]
     raw = spark.createDataFrame(rows, "claim_id string, contract_id string, client_id string, vehicle_id string, "
