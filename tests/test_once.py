@@ -1,7 +1,12 @@
-"""Texts are parsed once a row."""
+"""Texts are parsed once a row, and threshold scans carry a few sums a row, not some for every threshold."""
+
+import math
+import random
 
 from claimwise import contracts as K
+from claimwise.operators import evaluation as EV
 from claimwise.plans import clean
+from pyspark.sql import functions as F
 
 from tests.test_scale import plan
 
@@ -30,3 +35,24 @@ def test_a_claims_texts_are_parsed_once(spark):
     assert plan(out.select("sla_jours", "duree_traitement_jours")).count("regexp_replace(regexp_replace(") == 1
     got = {r["claim_id"]: r["sla_jours"] for r in out.collect()}
     assert [got[f"C{i}"] for i in range(len(values))] == [4.0, 12.0, None, None, None, None, None, None]
+
+
+def test_a_threshold_scan_sums_bins_and_counts_every_row(spark):
+    rnd, grid = random.Random(3), [0.5, 0.1, 0.9, 0.3]
+    odd = [None, math.nan, math.inf, -math.inf, *grid, 0.0]
+    rows = [(rnd.choice([0, 1, None]), rnd.choice(odd) if rnd.random() < 0.4 else rnd.random()) for _ in range(600)]
+    df = spark.createDataFrame(rows, "y int, p double").repartition(3)
+    scan = EV.confusion_scan(df, "y", "p", grid)
+    rows_read = [line for line in plan(scan).splitlines() if "Aggregate [" in line][-1]
+    assert rows_read.count("count(") + rows_read.count("sum(") <= 4
+    high = lambda p, t: math.isnan(p) or p >= t
+    for r in scan.collect():
+        known = [(y, p) for y, p in rows if y is not None]
+        tp, fp, tn, fn = (sum(1 for y, p in known if p is not None and y == a and high(p, r["threshold"]) == b) for a, b in ((1, True), (0, True), (0, False), (1, False)))
+        assert (r["n"], r["tp"], r["fp"], r["tn"], r["fn"]) == (len(known), tp, fp, tn, fn) and math.isnan(r["flagged_p"])
+    finite = df.where("p is not null and not isnan(p) and abs(p) <= 1")
+    for r in EV.confusion_scan(finite, "y", "p", grid).collect():
+        want = finite.where(F.col("y").isNotNull() & (F.col("p") >= r["threshold"])).agg(F.sum("p")).first()[0]
+        assert abs(r["flagged_p"] - want) < 1e-9
+    empty = EV.confusion_scan(df.where("false"), "y", "p", grid).first()
+    assert (empty["n"], empty["tp"], empty["flagged_p"], empty["f1_score"]) == (0, 0, 0.0, 0.0)
