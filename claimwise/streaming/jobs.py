@@ -50,7 +50,7 @@ def _batch_writer(path: str):
     """foreachBatch sink: each batch goes to its own ``batch_id=`` folder
     (overwritten on replay, so a re-run batch never duplicates rows)."""
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}", compression="zstd")
     return write
 
 
@@ -89,7 +89,7 @@ def late_marking_writer(sink: str, event_time: str, delay: str = DELAY) -> Calla
         top = spark.read.schema(MARK).parquet(*before).agg(F.max("top")).first()[0] if before else None
         late = F.coalesce(F.col(event_time) <= F.lit(top).cast("timestamp_ntz") - F.expr(f"interval {delay}"), F.lit(False))
         out = f"{sink}/batch_id={batch_id}"
-        df.withColumn("late", late).write.mode("overwrite").parquet(out)
+        df.withColumn("late", late).write.mode("overwrite").parquet(out, compression="zstd")
         spark.read.parquet(out).agg(F.max(event_time).cast("timestamp_ntz").alias("top")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
 
     return write
@@ -113,15 +113,21 @@ def _on_time(spark: SparkSession, stg_dir: str, watermark: str, max_files: int |
 # S5 dedup, S4 windowed KPI
 # --------------------------------------------------------------------------
 
+KPI_COLUMNS = ["date_sinistre_claim", "late", "montant_indemnisation_claim", "is_delayed"]     # what ``daily_claim_kpis`` reads
+
+
 def dedup_claims(spark: SparkSession, stg_dir: str, sink: str, checkpoint: str, whole_rows: bool = False,
-                 watermark: str = WATERMARK, max_files: int | None = None):
+                 watermark: str = WATERMARK, max_files: int | None = None, keep: list[str] | None = None):
     """The first row of each claim id, or each different row (``whole_rows``),
-    among the rows on time.  A key is held until the watermark passes it."""
+    among the rows on time.  A key is held until the watermark passes it.  The sink gets
+    all columns, or the claim id and those that its reader wants (``keep``); rows differ by all."""
     s = _on_time(spark, stg_dir, watermark, max_files).drop("batch_id")
     keys = ["claim_id"]
     if whole_rows:
         s = s.withColumn("_row", F.xxhash64(*[c for c in s.columns if c != "_et"]))
         keys = ["claim_id", "_row"]
+    if keep is not None:
+        s = s.select(*dict.fromkeys([*keys, *keep]), "_et")
     return run_available(s.dropDuplicatesWithinWatermark(keys).drop("_et", "_row"), sink, checkpoint)
 
 
@@ -148,7 +154,7 @@ def latest_per_key(sink_df: DataFrame, key: list[str]) -> DataFrame:
 def replay(arrivals: list[DataFrame], landing: str, jobs: list[Callable[[], object]]) -> None:
     """Lands the arrivals one by one and runs the jobs, in order, after each."""
     for rows in arrivals:
-        rows.write.mode("append").parquet(landing)
+        rows.write.mode("append").parquet(landing, compression="zstd")
         for job in jobs:
             job()
 

@@ -176,3 +176,17 @@ def test_the_landings_are_joined_once_and_a_query_runs_only_its_own_jobs(spark,
     for sinks in (("stg",), ("stg", "ids"), ("stg", "rows", "days")):
         M._replayed(spark, "/root/testdata/sf0.001", *sinks)
     assert ran == [1, 2, 3]
+
+
+def test_a_dedup_of_whole_rows_hands_on_only_what_its_reader_wants(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    rows = [("c1", day(1), False, 1.0, 0, "x"), ("c1", day(1), False, 1.0, 0, "x"), ("c1", day(1), False, 1.0, 0, "y"), ("c2", day(2), False, 5.0, 1, "x"), ("c3", day(2), True, 7.0, 1, "x")]
+    spark.createDataFrame(rows, "claim_id string, date_sinistre_claim timestamp_ntz, late boolean, montant_indemnisation_claim double, is_delayed int, note string") \
+         .write.parquet(at("stg"))
+    ST.dedup_claims(spark, at("stg"), at("rows"), at("ck"), whole_rows=True, keep=ST.KPI_COLUMNS)
+    got = spark.read.parquet(at("rows"))
+    assert set(got.columns) == {"claim_id", *ST.KPI_COLUMNS, "batch_id"}
+    assert sorted(got.toPandas()["montant_indemnisation_claim"]) == [1.0, 1.0, 5.0]        # rows that differ in a column not kept both stay
+    ST.daily_claim_kpis(spark, at("rows"), at("days"), at("ck2"))
+    days = spark.read.parquet(at("days")).collect()
+    assert sorted((r["claims"], r["payout"], r["delayed"]) for r in days) == [(1, 5.0, 1), (2, 2.0, 0)]
